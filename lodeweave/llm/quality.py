@@ -1,7 +1,7 @@
 """Quality classifier: learned word and character n-gram vectors, averaged per document.
 
 Each word and each character n-gram of a word is hashed to a row of a table
-of vectors.  A document is the mean of the rows of all its features; a
+of vectors; of word pairs, those that repeat one word share a row.  A document is the mean of the rows of all its features; a
 softmax over the two labels reads that mean.  Vectors and output weights are
 learned by stochastic gradient descent in numpy on a bounded sample of
 labelled rows.
@@ -14,9 +14,11 @@ of the margin is computed once per distinct word and kept in a bounded cache.
 from __future__ import annotations
 
 import math
+import operator
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -36,6 +38,8 @@ BUCKETS, WIDTH, GRAMS = 1 << 16, 12, (3, 4, 5)
 EPOCHS, RATE, SEED = 4, 0.5, 7
 #: Words longer than this give n-grams of their ends only; the word itself stays a feature.
 LONG_WORD = 40
+#: Stands for a pair of equal neighbouring words; weighs as much as a word's n-grams do.
+SAME, SAME_WEIGHT = "\x00", 8
 _CACHED_WORDS = 300_000
 _PIECE = 1 << 20
 
@@ -46,6 +50,8 @@ def features(word: str, buckets: int = BUCKETS) -> list[int]:
     Case and symbols are kept: they are what tells shouting and junk from prose.
     """
     marked = f"<{word}>"
+    if word == SAME:
+        return [crc32(b"same pair") % buckets] * SAME_WEIGHT
     found = [crc32(marked.encode("utf-8", "replace")) % buckets]
     if len(marked) > LONG_WORD:
         marked = marked[: LONG_WORD // 2] + marked[-LONG_WORD // 2 :]
@@ -56,13 +62,17 @@ def features(word: str, buckets: int = BUCKETS) -> list[int]:
 
 
 def word_counts(text: str | None) -> Iterator[tuple[str, int]]:
-    """Words of the whole text with counts; a long text is counted piece by piece."""
+    """Words and equal pairs of the whole text with counts; a long text is counted piece by piece."""
     text, at = text or "", 0
     while at < len(text):
         end = at + _PIECE
         while end < len(text) and not text[end].isspace():
             end += 1
-        yield from Counter(text[at:end].split()).items()
+        words = text[at:end].split()
+        yield from Counter(words).items()
+        same = sum(map(operator.eq, words, islice(words, 1, None)))
+        if same:
+            yield SAME, same
         at = end
 
 
@@ -101,21 +111,23 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
         return Model(np.zeros(BUCKETS, np.float32), math.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
-    weights, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
-    weights += rng.normal(0, 0.1, weights.shape)
+    weights = rng.normal(0, 0.1, (2, WIDTH)).astype(np.float32)
+    bias = np.array([math.log(1 - share), math.log(share)], np.float32)  # what a text without words gets
     cache: dict[str, list[int]] = {}
     bags = []
     for text in texts:
-        bag = np.zeros(BUCKETS, np.float32)
+        each, counts = [], []
         for word, n in word_counts(text):
             ids = cache.get(word)
             if ids is None:
                 ids = features(word)
                 if len(cache) < _CACHED_WORDS:
                     cache[word] = ids
-            np.add.at(bag, ids, n)
-        rows = np.flatnonzero(bag)
-        bags.append((rows.astype(np.int32), bag[rows] / max(1.0, float(bag.sum()))))
+            each += ids
+            counts += [n] * len(ids)
+        rows, place = np.unique(np.array(each, np.int32), return_inverse=True)
+        part = np.bincount(place, counts, len(rows)).astype(np.float32)
+        bags.append((rows, part / max(1.0, float(part.sum()))))
     cache.clear()
     of_label = np.bincount(labels, minlength=2)
     balance = len(labels) / (2.0 * of_label)
@@ -134,7 +146,6 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
             p[labels[k]] -= 1
             back = weights.T @ p
             weights -= step * np.outer(p, mean)
-            bias -= 0.1 * step * p
             # A row's share of the mean is small; scaled by their number, rows move as fast as the weights do.
             vectors[rows] -= (step * math.sqrt(len(rows)) * part)[:, None] * back[None, :]
     return Model((vectors @ (weights[1] - weights[0])).astype(np.float32), float(bias[1] - bias[0]))
