@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import decontam, exact_dedup, simhash, substring
+from lodeweave.llm import bpe, decontam, exact_dedup, simhash, substring
 from lodeweave.llm import quality as quality_model
 from lodeweave.llm.common import prepare, table
 
@@ -52,6 +52,22 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Counts and digests of the ids of each text and of the bytes they decode to."""
+    decoded = bpe.decode(bpe.encode(docs))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -99,6 +115,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_byte_bpe": op2_byte_bpe,
         "op3_decontamination": op3_decontamination,
         "op4_simhash": op4_simhash,
         "op6_quality": op6_quality,
