@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import bpe, decontam, exact_dedup, simhash, substring
+from lodeweave.llm import bpe, decontam, exact_dedup, simhash, substring, tokencount, warc
 from lodeweave.llm import quality as quality_model
 from lodeweave.llm.common import prepare, table
+from lodeweave.workspace import materialize
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +113,41 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return tokencount.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    archives = materialize(warc.write_archives(table(spark, sf_dir, "pages")), "archives")
+    read = warc.read_archives(archives)
+    return read.select(
+        warc.page_of(F.col("record_id")).cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.page_of(F.col("refers_to")).cast("bigint").alias("refers_to"),
+    )
+
+
+SQL_OP9 = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), named AS (
+  SELECT page_id, octet_length(payload) AS payload_bytes, min(page_id) OVER (PARTITION BY payload) AS first,
+         array_to_string(list_transform(range(8), lambda k: array_to_string(list_transform(range(4), lambda j:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(hex, CAST(5 * k + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * j AS INT)) & 31) + 1 AS INT), 1)), '')), '')
+         AS payload_digest
+  FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM named
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -120,8 +156,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_simhash": op4_simhash,
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_token_counts": op8_token_counts,
+        "op9_warc": op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": SQL_OP1, "op3_decontamination": SQL_OP3, "op7_exact_dedup": SQL_OP7}
+    return {"op1_substring_dedup": SQL_OP1, "op3_decontamination": SQL_OP3, "op7_exact_dedup": SQL_OP7, "op9_warc": SQL_OP9}
