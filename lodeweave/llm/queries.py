@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import bpe, decontam, exact_dedup, simhash, substring, tokencount, warc
+from lodeweave.llm import bpe, decontam, exact_dedup, htmltext, simhash, substring, surrogates, tokencount, warc
 from lodeweave.llm import quality as quality_model
 from lodeweave.llm.common import prepare, table
 from lodeweave.workspace import materialize
@@ -108,6 +108,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return surrogates.replace_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality_model.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -148,16 +153,24 @@ FROM named
 """
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = htmltext.extract_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_decontamination": op3_decontamination,
         "op4_simhash": op4_simhash,
+        "op5_surrogates": op5_surrogates,
         "op6_quality": op6_quality,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_token_counts": op8_token_counts,
         "op9_warc": op9_warc,
+        "op10_html_text": op10_html_text,
     }
 
 
