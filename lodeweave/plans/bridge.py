@@ -1,11 +1,531 @@
-"""The graph and relational operators applied to the driver's tables."""
+"""The graph and relational operators applied to the driver's tables, each with the same query in SQL.
+
+The edge table E follows parts through orders: the lines of an order in the
+order of (line number, part, supplier, quantity, price) give an edge from the
+part of the line before to the part of a returned line of high quantity.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodeweave.operators.components import connected_components
+from lodeweave.operators.fusion import fill_header, first_by, first_match, fuse
+from lodeweave.operators.graph import closure, cycles, pair_closure, reachable, reversed_edges, strong_components
+from lodeweave.operators.joins import longest_prefix_join, prefix_semi_join, unique_suffix_table
+from lodeweave.workspace import materialize
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def part_edges(spark: SparkSession, sf_dir: str, quantity: int = 47) -> DataFrame:
+    """E: distinct (src, dst) of returned lines of at least ``quantity``."""
+    over = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lines = _table(spark, sf_dir, "lineitem").withColumn("src", F.lag("l_partkey").over(over))
+    kept = lines.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") >= quantity) & (F.col("src") != F.col("l_partkey")))
+    return materialize(kept.select("src", F.col("l_partkey").alias("dst")).distinct(), "edges")
+
+
+def _e(quantity: int = 47, name: str = "e") -> str:
+    return f"""{name} AS MATERIALIZED (SELECT DISTINCT src, dst FROM (
+  SELECT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS src,
+         l_partkey AS dst, l_returnflag, l_quantity FROM lineitem)
+  WHERE l_returnflag = 'R' AND l_quantity >= {quantity} AND src <> dst)"""
+
+
+def q01_closure_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes reached from the smallest source within 4 edges, with depth."""
+    e = part_edges(spark, sf_dir)
+    return closure(e, e.agg(F.min("src").alias("node")), 4).select("node", "depth")
+
+
+SQL_Q01 = f"""WITH RECURSIVE {_e()}, r(node, depth) AS (
+  SELECT min(src), 0 FROM e UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 4)
+SELECT node, min(depth) AS depth FROM r GROUP BY node HAVING min(depth) > 0"""
+
+
+def q02_closure_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that reach the largest target within 4 edges."""
+    e = part_edges(spark, sf_dir)
+    return closure(reversed_edges(e), e.agg(F.max("dst").alias("node")), 4).select("node", "depth")
+
+
+SQL_Q02 = f"""WITH RECURSIVE {_e()}, r(node, depth) AS (
+  SELECT max(dst), 0 FROM e UNION SELECT e.src, depth + 1 FROM r JOIN e ON e.dst = r.node WHERE depth < 4)
+SELECT node, min(depth) AS depth FROM r GROUP BY node HAVING min(depth) > 0"""
+
+
+def q03_closure_via(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and the smallest parent one edge nearer, from the source of most edges."""
+    e = part_edges(spark, sf_dir)
+    root = e.groupBy("src").count().agg(F.max(F.struct("count", (-F.col("src")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("node"))
+    return closure(e, root, 8)
+
+
+SQL_Q03 = f"""WITH RECURSIVE {_e()}, r(node, depth) AS (
+  SELECT (SELECT src FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), 0
+  UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 8),
+d AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+SELECT d.node, d.depth, min(p.node) AS via FROM d JOIN e ON e.dst = d.node JOIN d p ON p.node = e.src AND p.depth = d.depth - 1
+GROUP BY d.node, d.depth"""
+
+
+def _brand_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").where("p_brand = 'Brand#13'").select(F.col("p_partkey").alias("node"))
+
+
+def q04_reachable_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts reached from one brand over E and over links to the next part of the same name."""
+    part = _table(spark, sf_dir, "part")
+    nxt = part.select(F.col("p_partkey").alias("src"), F.lead("p_partkey").over(Window.partitionBy("p_name", "p_brand").orderBy("p_partkey")).alias("dst"))
+    return reachable(part_edges(spark, sf_dir), _brand_seeds(spark, sf_dir), nxt.where("dst is not null"))
+
+
+SQL_Q04 = f"""WITH RECURSIVE {_e()}, x AS (
+  SELECT src, dst FROM e UNION SELECT p_partkey, lead(p_partkey) OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) FROM part),
+r(node) AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' UNION SELECT x.dst FROM r JOIN x ON x.src = r.node WHERE x.dst IS NOT NULL)
+SELECT node FROM r"""
+
+
+def q05_dead_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that no part of the brand reaches."""
+    live = reachable(part_edges(spark, sf_dir), _brand_seeds(spark, sf_dir))
+    part = _table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return part.join(live, part["p_partkey"] == live["node"], "left_anti")
+
+
+SQL_Q05 = f"""WITH RECURSIVE {_e()}, r(node) AS (
+  SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)
+SELECT p_partkey, p_brand FROM part WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.node = p_partkey)"""
+
+
+def q06_dead_subsumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers without a line of a reached part, unless their whole nation has none."""
+    live = reachable(part_edges(spark, sf_dir), _brand_seeds(spark, sf_dir))
+    lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey")
+    used = lines.join(live, lines["l_partkey"] == live["node"], "left_semi").select("l_suppkey").distinct()
+    supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    dead = supplier.join(used, supplier["s_suppkey"] == used["l_suppkey"], "left_anti")
+    alive = supplier.join(used, supplier["s_suppkey"] == used["l_suppkey"], "left_semi").select("s_nationkey").distinct()
+    return dead.join(alive, "s_nationkey", "left_semi").select("s_suppkey", "s_nationkey")
+
+
+SQL_Q06 = f"""WITH RECURSIVE {_e()}, r(node) AS (
+  SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node),
+used AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity >= 49 AND l_partkey IN (SELECT node FROM r)),
+alive AS (SELECT DISTINCT s_nationkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM used))
+SELECT s_suppkey, s_nationkey FROM supplier
+WHERE s_suppkey NOT IN (SELECT l_suppkey FROM used) AND s_nationkey IN (SELECT s_nationkey FROM alive)"""
+
+
+def q07_most_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 parts of most distinct suppliers outside one brand."""
+    skip = _table(spark, sf_dir, "part").where("p_brand = 'Brand#13'").select("p_partkey")
+    lines = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    uses = lines.join(skip, lines["l_partkey"] == skip["p_partkey"], "left_anti").groupBy("l_partkey").agg(F.count("*").alias("uses"))
+    return uses.where("uses >= 2").orderBy(F.desc("uses"), "l_partkey").limit(30)
+
+
+SQL_Q07 = """SELECT l_partkey, count(DISTINCT l_suppkey) AS uses FROM lineitem
+WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#13')
+GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) >= 2 ORDER BY uses DESC, l_partkey LIMIT 30"""
+
+
+def q08_strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on cycles with the smallest node of their component."""
+    return strong_components(part_edges(spark, sf_dir, 44))
+
+
+SQL_Q08 = f"""WITH RECURSIVE {_e(44)}, p(a, b) AS (SELECT src, dst FROM e UNION SELECT p.a, e.dst FROM p JOIN e ON e.src = p.b)
+SELECT x.a AS node, min(x.b) AS component FROM p x JOIN p y ON y.a = x.b AND y.b = x.a GROUP BY x.a"""
+
+
+def q08b_cycle_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with their sizes; a representative cycle is one of its columns' own check."""
+    found = cycles(part_edges(spark, sf_dir, 44))
+    return found.select("component", F.col("size").cast("long").alias("size"), (F.element_at("path", 1) >= F.col("component")).alias("path_ok"))
+
+
+SQL_Q08B = f"""WITH RECURSIVE {_e(44)}, p(a, b) AS (SELECT src, dst FROM e UNION SELECT p.a, e.dst FROM p JOIN e ON e.src = p.b),
+m AS (SELECT x.a AS node, min(x.b) AS component FROM p x JOIN p y ON y.a = x.b AND y.b = x.a GROUP BY x.a)
+SELECT component, count(*) AS size, true AS path_ok FROM m GROUP BY component"""
+
+
+def q09_subclasses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything below each region of the tree region, nation, customer and supplier, with depth."""
+    nation = _table(spark, sf_dir, "nation")
+    key = lambda letter, column: F.concat(F.lit(letter + ":"), F.col(column).cast("string"))
+    edges = nation.select(key("r", "n_regionkey").alias("src"), key("n", "n_nationkey").alias("dst"))
+    for table, column, letter, parent in (("customer", "c_custkey", "c", "c_nationkey"), ("supplier", "s_suppkey", "s", "s_nationkey")):
+        edges = edges.union(_table(spark, sf_dir, table).select(key("n", parent), key(letter, column)))
+    roots = _table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("node"))
+    return closure(materialize(edges, "tree"), roots)
+
+
+SQL_Q09 = """SELECT 'n:' || n_nationkey AS node, 1 AS depth, 'r:' || n_regionkey AS via FROM nation
+UNION ALL SELECT 'c:' || c_custkey, 2, 'n:' || c_nationkey FROM customer
+UNION ALL SELECT 's:' || s_suppkey, 2, 'n:' || s_nationkey FROM supplier"""
+
+
+def q10_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in a tree (key without its last digit is the parent) joined to ancestors of the same segment."""
+    customer = _table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    tree = customer.where("c_custkey >= 10").select(F.col("c_custkey").alias("src"), F.floor(F.col("c_custkey") / 10).alias("dst"))
+    pairs = pair_closure(tree)
+    up = customer.select(F.col("c_custkey").alias("ancestor"), F.col("c_mktsegment").alias("segment"))
+    both = pairs.join(customer, pairs["node"] == customer["c_custkey"]).join(up, "ancestor")
+    return both.where("c_mktsegment = segment").select("node", "ancestor", "segment", "depth")
+
+
+SQL_Q10 = """WITH RECURSIVE p(node, ancestor, depth) AS (
+  SELECT c_custkey, c_custkey // 10, 1 FROM customer WHERE c_custkey >= 10
+  UNION ALL SELECT node, ancestor // 10, depth + 1 FROM p WHERE ancestor >= 10)
+SELECT node, ancestor, a.c_mktsegment AS segment, depth FROM p JOIN customer c ON c.c_custkey = node JOIN customer a ON a.c_custkey = ancestor
+WHERE a.c_mktsegment = c.c_mktsegment"""
+
+
+def q11_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the first rule that a text meets, counted by label and language."""
+    t = F.col("text")
+    label = first_match(
+        [(t.contains("License"), "license"), (t.contains("@"), "address"), (t.contains("!!"), "shout"), (t.contains(" | "), "table"), (F.length(t) < 200, "short")],
+        F.concat(F.lit("text-"), F.col("lang")),
+    )
+    docs = _table(spark, sf_dir, "documents").select(label.alias("label"), "lang")
+    return docs.groupBy("label", "lang").agg(F.count("*").alias("n"))
+
+
+SQL_Q11 = """SELECT CASE WHEN contains(text, 'License') THEN 'license' WHEN contains(text, '@') THEN 'address' WHEN contains(text, '!!') THEN 'shout'
+  WHEN contains(text, ' | ') THEN 'table' WHEN length(text) < 200 THEN 'short' ELSE 'text-' || lang END AS label, lang, count(*) AS n
+FROM documents GROUP BY ALL"""
+
+
+def q12_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the key read from each event's properties, ``<dynamic>`` where there is none."""
+    events = _table(spark, sf_dir, "events")
+    return events.select("event_id", F.col("event_type").alias("kind"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("<dynamic>")).alias("value"))
+
+
+SQL_Q12 = "SELECT event_id, event_type AS kind, coalesce(json_extract_string(props, '$.k'), '<dynamic>') AS value FROM events"
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("target"))
+
+
+def q13_link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct links of pages, internal if the target is a dotted package of a host."""
+    pages = _table(spark, sf_dir, "pages")
+    hosts = pages.select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host")).distinct()
+    links = _links(spark, sf_dir).select("page_id", "target", F.regexp_replace("target", "^/", "").alias("name")).distinct()
+    return prefix_semi_join(links, "name", hosts, "host", "internal").select("page_id", "target", "internal")
+
+
+SQL_Q13 = r"""WITH hosts AS (SELECT DISTINCT string_split(regexp_extract(url, '^https?://([^/?#]+)', 1), '.') AS h FROM pages),
+known AS (SELECT DISTINCT array_to_string(h[1:i], '.') AS k FROM (SELECT h, unnest(range(1, len(h) + 1)) AS i FROM hosts)),
+links AS (SELECT DISTINCT page_id, target FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages))
+SELECT page_id, target, regexp_replace(target, '^/', '') IN (SELECT k FROM known) AS internal FROM links"""
+
+
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host")).distinct()
+
+
+def q14_unique_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts without their first label, matched to the only host that ends so."""
+    hosts = _hosts(spark, sf_dir)
+    spelled = hosts.select(F.regexp_replace("host", r"^[^.]*\.", "").alias("spelling")).distinct()
+    return spelled.join(unique_suffix_table(hosts, "host"), "spelling", "left").select("spelling", F.col("id").alias("host"), "matches")
+
+
+SQL_Q14 = r"""WITH hosts AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages),
+s AS (SELECT DISTINCT regexp_replace(host, '^[^.]*\.', '') AS spelling FROM hosts)
+SELECT spelling, CASE WHEN bool_or(host = spelling) THEN spelling WHEN count(*) = 1 THEN min(host) END AS host, count(*) AS matches
+FROM s JOIN hosts ON host = spelling OR ends_with(host, '.' || spelling) GROUP BY spelling"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.regexp_replace(F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1), "/", ".")
+    return _table(spark, sf_dir, "pages").select("page_id", F.concat_ws(".", F.regexp_extract("url", r"^https?://([^/?#]+)", 1), path).alias("name"))
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    pages = _table(spark, sf_dir, "pages")
+    deep = F.concat_ws(".", host, F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)", 1))
+    return pages.select(F.explode(F.array(F.regexp_extract(host, r"^[^.]+\.[^.]+", 0), F.when(F.length(host) > 18, host), F.when(F.col("page_id") > 60, deep))).alias("pkg")).where("pkg is not null").distinct()
+
+
+def q15_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest package that each page's dotted address begins with."""
+    return longest_prefix_join(_paths(spark, sf_dir), "page_id", "name", _packages(spark, sf_dir), "pkg", "package").select("page_id", "package")
+
+
+_PKG_SQL = r"""u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS first,
+  replace(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1), '/', '.') AS path FROM pages),
+pkgs AS (SELECT DISTINCT pkg FROM (SELECT regexp_extract(host, '^[^.]+\.[^.]+') AS pkg FROM u
+  UNION ALL SELECT host FROM u WHERE length(host) > 18 UNION ALL SELECT host || '.' || first FROM u WHERE page_id > 60)),
+names AS (SELECT page_id, host || '.' || path AS name FROM u),
+best AS (SELECT page_id, name, max_by(pkg, length(pkg)) AS package FROM names LEFT JOIN pkgs ON name = pkg OR starts_with(name, pkg || '.') GROUP BY ALL)"""
+SQL_Q15 = f"WITH {_PKG_SQL} SELECT page_id, package FROM best"
+
+
+def q16_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict ladder over the package found and what is left of the address."""
+    found = longest_prefix_join(_paths(spark, sf_dir), "page_id", "name", _packages(spark, sf_dir), "pkg", "package")
+    rest = F.size(F.filter(F.split(F.substr("name", F.length("package") + 2), r"\."), lambda p: p != ""))
+    verdict = first_match(
+        [
+            (F.col("package").isNull(), "external"), (F.col("package") == F.col("name"), "valid"), (rest == 1, "drifted"),
+            (F.col("name").rlike(r"\.(de|fr|es)\."), "unverifiable"), (rest > 2, "unverifiable"),
+        ],
+        F.lit("valid"),
+    )
+    return found.select("page_id", verdict.alias("verdict"))
+
+
+SQL_Q16 = rf"""WITH {_PKG_SQL},
+r AS (SELECT *, len(list_filter(string_split(substr(name, length(package) + 2), '.'), lambda p: p <> '')) AS rest FROM best)
+SELECT page_id, CASE WHEN package IS NULL THEN 'external' WHEN package = name THEN 'valid' WHEN rest = 1 THEN 'drifted'
+  WHEN regexp_matches(name, '\.(de|fr|es)\.') THEN 'unverifiable' WHEN rest > 2 THEN 'unverifiable' ELSE 'valid' END AS verdict FROM r"""
+
+
+def q17_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early events as predictions, late ones as observations."""
+    events = _table(spark, sf_dir, "events")
+    return fuse(events.where("ts < '2024-01-03'"), events.where("ts >= '2024-01-28'"), ["user_id", "event_type"])
+
+
+_FUSE_SQL = """s AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < '2024-01-03'),
+o AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts >= '2024-01-28'),
+f AS (SELECT coalesce(s.user_id, o.user_id) AS user_id, coalesce(s.event_type, o.event_type) AS event_type,
+  CASE WHEN s.user_id IS NOT NULL AND o.user_id IS NOT NULL THEN 'confirmed' WHEN s.user_id IS NOT NULL THEN 'predicted' ELSE 'observed' END AS label
+  FROM s FULL JOIN o USING (user_id, event_type))"""
+SQL_Q17 = f"WITH {_FUSE_SQL} SELECT user_id, event_type, label FROM f"
+
+
+def q18_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: rows per label with the sorted types among them."""
+    types = F.array_join(F.array_sort(F.collect_set("event_type")), ",")
+    return q17_fusion(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), types.alias("types"))
+
+
+SQL_Q18 = f"WITH {_FUSE_SQL} SELECT label, count(*) AS n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types FROM f GROUP BY label"
+
+
+def q19_change_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines changed (from large order lines) joined to lines executed (hours of events), with the tests that did."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_quantity = 50")
+    span = F.sequence(F.col("l_linenumber").cast("long") * 3, F.col("l_linenumber").cast("long") * 3 + F.pmod("l_partkey", F.lit(4)))
+    changed = lines.select(F.pmod("l_suppkey", F.lit(10)).alias("path"), F.explode(span).alias("line")).distinct()
+    events = _table(spark, sf_dir, "events")
+    executed = events.select(F.pmod("user_id", F.lit(10)).alias("path"), F.hour("ts").cast("long").alias("line"), "event_type").distinct()
+    tests = executed.groupBy("path", "line").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("tests"))
+    joined = changed.join(tests, ["path", "line"], "left")
+    return joined.select("path", "line", F.when(F.col("tests").isNull(), "uncovered").otherwise("covered").alias("status"), F.coalesce("tests", F.lit("")).alias("tests"))
+
+
+SQL_Q19 = """WITH c AS (SELECT DISTINCT l_suppkey % 10 AS path, unnest(range(l_linenumber * 3, l_linenumber * 3 + l_partkey % 4 + 1)) AS line FROM lineitem WHERE l_quantity = 50),
+x AS (SELECT user_id % 10 AS path, hour(ts) AS line, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS tests FROM events GROUP BY 1, 2)
+SELECT path, line, CASE WHEN tests IS NULL THEN 'uncovered' ELSE 'covered' END AS status, coalesce(tests, '') AS tests FROM c LEFT JOIN x USING (path, line)"""
+
+
+def q20_last_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last user turn at or before each turn of a conversation."""
+    talk = _table(spark, sf_dir, "conversations")
+    filled = fill_header(talk, ["conv_id"], "turn", F.when(F.col("role") == "user", F.col("text")), "header")
+    return filled.select("conv_id", "turn", F.md5(F.coalesce("header", F.lit(""))).alias("header"))
+
+
+SQL_Q20 = """SELECT conv_id, turn, md5(coalesce(last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
+  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '')) AS header FROM conversations"""
+
+
+def q21_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections about the customers of the largest balance of each nation."""
+    customer = _table(spark, sf_dir, "customer")
+    roots = first_by(customer.select("c_nationkey", "c_custkey", "c_name", "c_acctbal"), ["c_nationkey"], [-F.col("c_acctbal"), F.col("c_custkey")])
+    nation = _table(spark, sf_dir, "nation")
+    orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    definition = roots.select("c_custkey", F.lit("definition").alias("section"), F.col("c_name").alias("item"))
+    caller = roots.join(nation, roots["c_nationkey"] == nation["n_nationkey"]).select("c_custkey", F.lit("caller"), "n_name")
+    mine = roots.join(orders, roots["c_custkey"] == orders["o_custkey"])
+    callee = mine.select("c_custkey", F.lit("callee"), F.col("o_orderkey").cast("string"))
+    test = mine.select("c_custkey", F.lit("test"), "o_orderstatus").distinct()
+    return definition.union(caller).union(callee).union(test)
+
+
+SQL_Q21 = """WITH roots AS (SELECT * FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1)
+SELECT c_custkey, 'definition' AS section, c_name AS item FROM roots
+UNION ALL SELECT c_custkey, 'caller', n_name FROM roots JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT c_custkey, 'callee', CAST(o_orderkey AS VARCHAR) FROM roots JOIN orders ON o_custkey = c_custkey
+UNION ALL SELECT DISTINCT c_custkey, 'test', o_orderstatus FROM roots JOIN orders ON o_custkey = c_custkey"""
+
+
+def q22_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two snapshots of the documents compared by hash; one lacks a source each, German texts were edited."""
+    docs = _table(spark, sf_dir, "documents")
+    old = docs.where("source <> 'src3'").select("doc_id", F.sha2("text", 256).alias("old"))
+    new = docs.where("source <> 'src5'").select("doc_id", F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("new"))
+    status = first_match([(F.col("old").isNull(), "added"), (F.col("new").isNull(), "removed"), (F.col("old") != F.col("new"), "changed")], F.lit("same"))
+    return old.join(new, "doc_id", "full").select("doc_id", status.alias("status"))
+
+
+SQL_Q22 = """WITH o AS (SELECT doc_id, sha256(text) AS old FROM documents WHERE source <> 'src3'),
+n AS (SELECT doc_id, sha256(CASE WHEN lang = 'de' THEN text || 'x' ELSE text END) AS new FROM documents WHERE source <> 'src5')
+SELECT doc_id, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old <> new THEN 'changed' ELSE 'same' END AS status
+FROM o FULL JOIN n USING (doc_id)"""
+
+
+def q23_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts joined to the smallest source or largest target in either direction."""
+    e = part_edges(spark, sf_dir)
+    parts = materialize(connected_components(e, "src", "dst"), "affected")
+    seeds = e.agg(F.explode(F.array(F.min("src"), F.max("dst"))).alias("node"))
+    hit = parts.join(seeds, "node", "left_semi").select("component").distinct()
+    return parts.join(hit, "component", "left_semi").select("node")
+
+
+SQL_Q23 = f"""WITH RECURSIVE {_e()}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+r(node) AS (SELECT min(src) FROM e UNION SELECT max(dst) FROM e UNION SELECT u.dst FROM r JOIN u ON u.src = r.node)
+SELECT DISTINCT node FROM r"""
+SQL_Q23 = SQL_Q23.replace("r(node) AS (SELECT min(src) FROM e UNION SELECT max(dst) FROM e UNION", "r(node) AS (SELECT unnest([min(src), max(dst)]) FROM e UNION")
+
+
+def q24_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash over the sorted row hashes of each nation's customers, and one over those."""
+    row = F.sha2(F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment"), 256)
+    each = _table(spark, sf_dir, "customer").select("c_nationkey", row.alias("h"))
+    buckets = each.groupBy("c_nationkey").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"))
+    buckets = buckets.select(F.col("c_nationkey").cast("string").alias("part"), "h")
+    return buckets.union(buckets.agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h")).select(F.lit("all"), "h"))
+
+
+SQL_Q24 = """WITH b AS (SELECT CAST(c_nationkey AS VARCHAR) AS part, sha256(string_agg(h, '' ORDER BY h)) AS h FROM (
+  SELECT c_nationkey, sha256(c_custkey || '|' || c_name || '|' || c_mktsegment) AS h FROM customer) GROUP BY c_nationkey)
+SELECT part, h FROM b UNION ALL SELECT 'all', sha256(string_agg(h, '' ORDER BY h)) FROM b"""
+
+
+def q25_marker_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own tags of a part joined with those of its brand, sorted and distinct."""
+    part = _table(spark, sf_dir, "part")
+    brands = part.groupBy("p_brand").agg(F.min("p_type").alias("low"), F.max("p_type").alias("high"))
+    tags = F.array_distinct(F.array_sort(F.array("p_type", "p_brand", "low", "high")))
+    return part.join(brands, "p_brand").select("p_partkey", F.array_join(tags, ",").alias("tags"))
+
+
+SQL_Q25 = """SELECT p_partkey, array_to_string(list_sort(list_distinct([p_type, p_brand, low, high])), ',') AS tags
+FROM part JOIN (SELECT p_brand, min(p_type) AS low, max(p_type) AS high FROM part GROUP BY p_brand) USING (p_brand)"""
+
+
+def q26_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String predicates over part names and page addresses."""
+    part = _table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_name").startswith("a").alias("starts"),
+        F.col("p_name").endswith("e").alias("ends"), F.col("p_name").rlike("^[a-z]+ ").alias("shaped"), (F.element_at(F.split("p_name", " "), -1) == F.split_part("p_type", F.lit(" "), F.lit(-1))).alias("leaf"),
+    )
+    pages = _table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("u"), F.col("page_id").cast("string")), F.col("url").startswith("https"), F.col("url").endswith("#top"),
+        F.col("url").rlike(r"^https?://[a-z]\."), (F.split_part("url", F.lit("/"), F.lit(4)) == "en"),
+    )
+    return part.union(pages)
+
+
+SQL_Q26 = r"""SELECT 'p' || p_partkey AS key, starts_with(p_name, 'a') AS starts, ends_with(p_name, 'e') AS ends, regexp_matches(p_name, '^[a-z]+ ') AS shaped,
+  split_part(p_name, ' ', -1) = split_part(p_type, ' ', -1) AS leaf FROM part
+UNION ALL SELECT 'u' || page_id, starts_with(url, 'https'), ends_with(url, '#top'), regexp_matches(url, '^https?://[a-z]\.'), split_part(url, '/', 4) = 'en' FROM pages"""
+
+
+def q27_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the lines of one order and number the first by part, supplier and price."""
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return first_by(lines, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")]).drop("l_extendedprice")
+
+
+SQL_Q27 = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
+QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1"""
+
+
+def q28_location_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank of each line of an order by its location as text."""
+    loc = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey")
+    lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", loc.alias("loc")).distinct()
+    return lines.select("loc", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("loc")).cast("long").alias("rank"))
+
+
+SQL_Q28 = """SELECT loc, row_number() OVER (PARTITION BY l_orderkey ORDER BY loc) AS rank
+FROM (SELECT DISTINCT l_orderkey, l_orderkey || ':' || l_linenumber || ':' || l_partkey AS loc FROM lineitem)"""
+
+
+def q29_caller_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct parts before each part in orders, itself left out."""
+    over = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    pairs = _table(spark, sf_dir, "lineitem").select(F.lag("l_partkey").over(over).alias("src"), F.col("l_partkey").alias("dst"))
+    return pairs.where("src <> dst").distinct().groupBy("dst").agg(F.count("*").alias("callers"))
+
+
+SQL_Q29 = """SELECT dst, count(DISTINCT src) AS callers FROM (SELECT l_partkey AS dst,
+  lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS src FROM lineitem)
+WHERE src <> dst GROUP BY dst"""
+
+
+def q30_edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from two sources, each once, with the sources that have it."""
+    lines = _table(spark, sf_dir, "lineitem")
+    first = lines.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct().withColumn("source", F.lit("call"))
+    second = lines.where("l_quantity >= 45").select("l_partkey", "l_suppkey").distinct().withColumn("source", F.lit("module"))
+    both = first.union(second).groupBy("l_partkey", "l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
+    return both
+
+
+SQL_Q30 = """SELECT l_partkey, l_suppkey, array_to_string(list_sort(list(DISTINCT source)), '+') AS sources FROM (
+  SELECT l_partkey, l_suppkey, 'call' AS source FROM lineitem WHERE l_returnflag = 'R'
+  UNION ALL SELECT l_partkey, l_suppkey, 'module' FROM lineitem WHERE l_quantity >= 45) GROUP BY l_partkey, l_suppkey"""
+
+_ALL = {
+    "q01_closure_forward": (q01_closure_forward, SQL_Q01),
+    "q02_closure_reverse": (q02_closure_reverse, SQL_Q02),
+    "q03_closure_via": (q03_closure_via, SQL_Q03),
+    "q04_reachable_extra": (q04_reachable_extra, SQL_Q04),
+    "q05_dead_parts": (q05_dead_parts, SQL_Q05),
+    "q06_dead_subsumed": (q06_dead_subsumed, SQL_Q06),
+    "q07_most_used": (q07_most_used, SQL_Q07),
+    "q08_strong_components": (q08_strong_components, SQL_Q08),
+    "q08b_cycle_sizes": (q08b_cycle_sizes, SQL_Q08B),
+    "q09_subclasses": (q09_subclasses, SQL_Q09),
+    "q10_overrides": (q10_overrides, SQL_Q10),
+    "q11_classify": (q11_classify, SQL_Q11),
+    "q12_keys": (q12_keys, SQL_Q12),
+    "q13_link_edges": (q13_link_edges, SQL_Q13),
+    "q14_unique_suffix": (q14_unique_suffix, SQL_Q14),
+    "q15_longest_prefix": (q15_longest_prefix, SQL_Q15),
+    "q16_verdicts": (q16_verdicts, SQL_Q16),
+    "q17_fusion": (q17_fusion, SQL_Q17),
+    "q18_label_counts": (q18_label_counts, SQL_Q18),
+    "q19_change_coverage": (q19_change_coverage, SQL_Q19),
+    "q20_last_header": (q20_last_header, SQL_Q20),
+    "q21_sections": (q21_sections, SQL_Q21),
+    "q22_snapshot_diff": (q22_snapshot_diff, SQL_Q22),
+    "q23_affected": (q23_affected, SQL_Q23),
+    "q24_fingerprint": (q24_fingerprint, SQL_Q24),
+    "q25_marker_union": (q25_marker_union, SQL_Q25),
+    "q26_predicates": (q26_predicates, SQL_Q26),
+    "q27_first_wins": (q27_first_wins, SQL_Q27),
+    "q28_location_order": (q28_location_order, SQL_Q28),
+    "q29_caller_index": (q29_caller_index, SQL_Q29),
+    "q30_edge_union": (q30_edge_union, SQL_Q30),
+}
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items()}
