@@ -1,4 +1,4 @@
-"""Blocks: bounded groups of whole documents, written once to the shared folder.
+"""Blocks: bounded groups of whole documents.
 
 An operator that has to look at the corpus twice (first to gather, then to
 apply what was learned) works on blocks.  What a block learns or asks for is
@@ -37,12 +37,19 @@ def unsqueeze(data: bytes, dtype: str | np.dtype | None = None) -> bytes | np.nd
 
 
 def in_blocks(
-    docs: DataFrame, id_col: str, text_col: str, emit: Callable[[str, list, list[bytes]], Iterator[tuple]], schema: str, fields: pa.Schema
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    emit: Callable[[str, list, list[bytes]], Iterator[tuple]],
+    schema: str,
+    fields: pa.Schema,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Rows that ``emit(block, ids, texts)`` gives for each block; texts are UTF-8, null is empty.
 
-    Block names hold the task and a serial number.  They are only meaningful
-    once the result is written, since a repeated task may cut differently.
+    Block names hold the task and a serial number.  A repeated task over rows
+    in another order cuts differently, so a name alone identifies a block only
+    once the result is written.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +66,7 @@ def in_blocks(
             keys, column = batch.column(0).to_pylist(), batch.column(1)
             for key, value in zip(keys, column, strict=True):
                 text = (value.as_py() or "").encode("utf-8", "replace")
-                if ids and (size + len(text) > BLOCK_BYTES or len(ids) >= BLOCK_ROWS):
+                if ids and (size + len(text) > block_bytes or len(ids) >= BLOCK_ROWS):
                     yield from close()
                     ids, texts, size, serial = [], [], 0, serial + 1
                 ids.append(key)

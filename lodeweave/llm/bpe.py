@@ -1,14 +1,17 @@
 """Byte-level BPE over distinct pre-tokens: encode each once, join back, decode by table.
 
-1. Documents are cut into blocks, written once to the shared folder.  A block
-   numbers its distinct pre-tokens by frequency; its body is each document's
-   sequence of numbers, that is its pre-tokens with their positions.
+1. Documents are cut into blocks.  A block numbers its distinct pre-tokens by
+   frequency; its body is each document's sequence of numbers, that is its
+   pre-tokens with their positions.  Blocks are shuffled once, and steps 2
+   and 3 both read this one shuffle.
 2. The distinct pre-tokens of all blocks are shuffled by hash, and each is
    encoded once for the whole corpus.  A block gets the ids of its own back.
 3. Per block the ids take the place of the numbers, in order of position.
 
 A frequent word is one entry per block, so no hash range is larger than the
-others.  Decoding joins ids with the table of token bytes, which has one row
+others.  A block is named by its content, so a block that a lost executor made
+anew either equals the one that asked for ids or the job fails; over a written
+table it is always equal.  Decoding joins ids with the table of token bytes, which has one row
 per token of the vocabulary and is broadcast.
 """
 
@@ -26,11 +29,10 @@ from pyspark.sql import DataFrame
 
 from lodeweave.llm.blocks import in_blocks, squeeze, unsqueeze
 from lodeweave.llm.common import Batcher
-from lodeweave.workspace import materialize
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Blocks whose distinct pre-tokens one hash range gathers, times their share of the range.
-BLOCKS_PER_RANGE = 4
+#: UTF-8 bytes of text per block, and hash ranges per partition of the input.
+BLOCK_BYTES, RANGES = 8 << 20, 3
 #: What an id without a token decodes to.
 REPLACEMENT = "�".encode()
 
@@ -73,7 +75,15 @@ def _number_block(pattern: str, block: str, ids: list, texts: list[bytes]) -> It
     head = [[len(c) for c in coded], [i is not None for i in ids], [0 if i is None else i for i in ids]]
     head = squeeze(np.array(head, np.int64).reshape(-1))
     body = len(head).to_bytes(8, "little") + head + squeeze(rank[flat].astype(np.uint32))
-    yield block, body, _strings([tokens[i].encode("utf-8", "replace") for i in order.tolist()])
+    vocabulary = _strings([tokens[i].encode("utf-8", "replace") for i in order.tolist()])
+    name = f"{block}-{xxhash.xxh3_128_hexdigest(body + vocabulary)}"
+    yield name, len(body).to_bytes(8, "little") + body + vocabulary
+
+
+def _parts(data: bytes) -> tuple[bytes, bytes]:
+    """(body, vocabulary) of a block."""
+    cut = 8 + int.from_bytes(data[:8], "little")
+    return data[8:cut], data[cut:]
 
 
 def _open_body(body: bytes) -> tuple[np.ndarray, list, np.ndarray]:
@@ -83,8 +93,8 @@ def _open_body(body: bytes) -> tuple[np.ndarray, list, np.ndarray]:
     return lengths, [k if n else None for k, n in zip(keys.tolist(), known.tolist(), strict=True)], unsqueeze(body[cut:], "<u4")
 
 
-_TABLE = "block string, body binary, vocabulary binary"
-_TABLE_FIELDS = pa.schema([("block", pa.string()), ("body", pa.binary()), ("vocabulary", pa.binary())])
+_BLOCK = "block string, data binary"
+_BLOCK_FIELDS = pa.schema([("block", pa.string()), ("data", pa.binary())])
 _PACK = "block string, range int, numbers binary, tokens binary"
 _PACK_FIELDS = pa.schema([("block", pa.string()), ("range", pa.int32()), ("numbers", pa.binary()), ("tokens", pa.binary())])
 _REPLY = "block string, numbers binary, counts binary, ids binary"
@@ -105,14 +115,14 @@ def encode(
         ranks, pattern = default_vocabulary()
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # one entry per token of the vocabulary
     number = lambda block, ids, texts: _number_block(pattern, block, ids, texts)
-    blocks = materialize(in_blocks(docs, id_col, text_col, number, _TABLE, _TABLE_FIELDS), "bpe")
-    ranges = max(1, -(-blocks.count() // BLOCKS_PER_RANGE))
+    blocks = in_blocks(docs, id_col, text_col, number, _BLOCK, _BLOCK_FIELDS, BLOCK_BYTES).repartition("block")
+    ranges = RANGES * max(1, docs.select(id_col, text_col).rdd.getNumPartitions())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(_PACK_FIELDS)
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = _split(data)
+                tokens = _split(_parts(data)[1])
                 to = np.fromiter((xxhash.xxh3_64_intdigest(t) % ranges for t in tokens), np.int64, len(tokens))
                 order = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(ranges + 1))
@@ -143,21 +153,20 @@ def encode(
                 column.append(value)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _REPLY_FIELDS, strict=True)], schema=_REPLY_FIELDS)
 
-    replies = blocks.select("block", "vocabulary").mapInArrow(pack, _PACK).groupBy("range").applyInArrow(encode_range, _REPLY)
+    replies = blocks.mapInArrow(pack, _PACK).groupBy("range").applyInArrow(encode_range, _REPLY)
     kind = docs.schema[id_col].dataType.simpleString()
     key_type = pa.int32() if kind == "int" else pa.int64()
 
-    def reassemble(key: tuple, group: pa.Table) -> pa.Table:
-        body, numbers, counts, ids = None, [], [], []
-        for row in group.to_pylist():
-            if row["body"] is not None:
-                body = row["body"]
-            else:
-                numbers.append(np.cumsum(unsqueeze(row["numbers"], "<u4"), dtype=np.int64))
-                counts.append(unsqueeze(row["counts"], "<u4").astype(np.int64))
-                ids.append(unsqueeze(row["ids"], "<u4").astype(np.int32))
+    def reassemble(key: tuple, own: pa.Table, given: pa.Table) -> pa.Table:
+        if own.num_rows != 1:
+            raise RuntimeError("a block was made anew with other content; write the documents to a table first")
+        body = _parts(own.column("data")[0].as_py())[0]
+        columns = [given.column(c).to_pylist() for c in ("numbers", "counts", "ids")]
+        numbers = [np.cumsum(unsqueeze(n, "<u4"), dtype=np.int64) for n in columns[0]]
+        counts = [unsqueeze(n, "<u4").astype(np.int64) for n in columns[1]]
+        ids = [unsqueeze(n, "<u4").astype(np.int32) for n in columns[2]]
         lengths, keys, sequence = _open_body(body)
-        if numbers:
+        if len(sequence):
             number, count, flat = np.concatenate(numbers), np.concatenate(counts), np.concatenate(ids)
             begins = np.empty(len(number), np.int64)
             sizes = np.empty(len(number), np.int64)
@@ -173,9 +182,7 @@ def encode(
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()))
         return pa.Table.from_arrays([pa.array(keys, key_type), lists], names=[id_col, "ids"])
 
-    both = blocks.selectExpr("block", "body", "cast(null as binary) as numbers", "cast(null as binary) as counts", "cast(null as binary) as ids")
-    both = both.union(replies.selectExpr("block", "cast(null as binary)", "numbers", "counts", "ids"))
-    return both.groupBy("block").applyInArrow(reassemble, f"`{id_col}` {kind}, ids array<int>")
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(reassemble, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
