@@ -52,24 +52,30 @@ class Forward:
         self.scores = scores
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0.0) - 1.0
+        #: Ends of pieces that are no piece themselves count as null: what is not here ends no piece.
+        self.ends = dict.fromkeys((piece[i:] for piece in scores for i in range(len(piece))), None) | scores
 
     def next(self, text: str, at: int, best: list[float], count: list[int]) -> tuple[float, int]:
-        """Best score and count of ``text[:at]``; ``best`` and ``count`` end with those of the prefix before.
+        """Best score and count of ``text[:at]``; ``best`` and ``count`` end with those of the prefixes before.
 
         Of equal scores the one with fewer pieces counts.  A character that is
         no piece by itself is spelled in bytes.
         """
-        scores, top, pieces = self.scores, None, 0
-        for length in range(1, min(self.longest, at) + 1):
-            own, n = scores.get(text[at - length : at]), 1
-            if own is None:
-                if length > 1:
-                    continue
-                n = len(text[at - 1].encode("utf-8", "replace"))
-                own = n * self.byte
-            value, total = best[-length] + own, count[-length] + n
-            if top is None or value > top or (value == top and total < pieces):
-                top, pieces = value, total
+        ends = self.ends
+        own = ends.get(text[at - 1])
+        if own is None:
+            size = len(text[at - 1].encode("utf-8", "replace"))
+            top, pieces = best[-1] + size * self.byte, count[-1] + size
+        else:
+            top, pieces = best[-1] + own, count[-1] + 1
+        for length in range(2, at + 1):
+            own = ends.get(text[at - length : at], 0)
+            if own == 0:
+                break
+            if own is not None:
+                value = best[-length] + own
+                if value > top or (value == top and count[-length] + 1 < pieces):
+                    top, pieces = value, count[-length] + 1
         return top, pieces
 
     def count(self, word: str) -> int:
@@ -85,7 +91,7 @@ class Forward:
 
 
 class Trie:
-    """Words inserted so far; node i has children ``next[i]``, score ``best[i]`` and count ``count[i]``."""
+    """Words inserted so far; node i has children ``children[i]``, score ``best[i]`` and count ``pieces[i]``."""
 
     def __init__(self, forward: Forward):
         self.forward = forward
@@ -94,23 +100,27 @@ class Trie:
 
     def count(self, word: str) -> int:
         """Insert ``word`` and give the count stored at its end."""
-        text, node, path = MARK + word, 0, [0]
+        text, node, best, count = MARK + word, 0, [0.0], [0]
+        children, known = self.children, True
         for at, letter in enumerate(text, 1):
-            step = self.children[node].get(letter)
+            step = children[node].get(letter) if known else None
             if step is None:
-                window = path[-self.forward.longest :]
-                top, pieces = self.forward.next(text, at, [self.best[i] for i in window], [self.pieces[i] for i in window])
-                step = self.children[node][letter] = len(self.children)
-                self.children.append({})
+                known = False
+                top, pieces = self.forward.next(text, at, best, count)
+                step = children[node][letter] = len(children)
+                children.append({})
                 self.best.append(top)
                 self.pieces.append(pieces)
+            else:
+                top, pieces = self.best[step], self.pieces[step]
             node = step
-            path.append(node)
-        return self.pieces[node]
+            best.append(top)
+            count.append(pieces)
+        return count[-1]
 
 
 class Counts:
-    """Counts of words, from a trie that starts anew when it has grown large."""
+    """Counts of words in UTF-8, from a trie that starts anew when it has grown large."""
 
     def __init__(self, scores: dict[str, float]):
         self.forward = Forward(scores)
@@ -119,18 +129,18 @@ class Counts:
     def _fresh(self) -> None:
         self.trie, self.ends = Trie(self.forward), {}
 
-    def of(self, word: str) -> int:
+    def of(self, word: bytes) -> int:
         known = self.ends.get(word)
         if known is None:
             if len(word) > LONG_WORD:
-                return self.forward.count(word)
+                return self.forward.count(word.decode())
             if len(self.trie.children) > MAX_NODES:
                 self._fresh()
-            known = self.ends[word] = self.trie.count(word)
+            known = self.ends[word] = self.trie.count(word.decode())
         return known
 
 
-def _words(text: str) -> Iterator[tuple[str, int]]:
+def _words(text: str) -> Iterator[tuple[bytes, int]]:
     """Distinct words of the whole text with counts, piece by piece for long texts."""
     data, at = text.encode("utf-8", "replace"), 0
     space = b" \t\n\x0b\x0c\r"
@@ -138,8 +148,7 @@ def _words(text: str) -> Iterator[tuple[str, int]]:
         end = at + _PIECE
         while end < len(data) and data[end] not in space:
             end += 1
-        for word, n in Counter(data[at:end].split()).items():
-            yield word.decode("utf-8"), n
+        yield from Counter(data[at:end].split()).items()
         at = end
 
 
