@@ -25,18 +25,25 @@ WIDTH = 13
 SHARE = 20
 #: Windows of the benchmark up to which their hashes (16 bytes each) are broadcast.
 BROADCAST_WINDOWS = 2_000_000
+#: Documents with a candidate up to which their keys (two longs each) are broadcast to pick them out.
+BROADCAST_DOCS = 2_000_000
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Words of the lower-cased text: letters, digits and all beyond ASCII."""
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), _NOT_WORD), lambda w: w != "")
+    parts = F.split(lower_ascii(F.coalesce(text, F.lit(""))), _NOT_WORD)
+    # Only the ends can be empty.
+    first = F.when(F.element_at(parts, 1) == "", 2).otherwise(1)
+    last = F.size(parts) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+    return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
 
 
 def _hashes(array: Column, length: int) -> Column:
-    """Hashes of all windows of ``length`` words; ``array`` has at least so many."""
-    return F.transform(F.sequence(F.lit(0), F.size(array) - length), lambda i: F.xxhash64(F.slice(array, i + 1, length)))
+    """Hashes of all windows of ``length`` words; null if there are too few words."""
+    starts = F.sequence(F.lit(0), F.size(array) - length)
+    return F.when(F.size(array) >= length, F.transform(starts, lambda i: F.xxhash64(F.slice(array, i + 1, length))))
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -82,41 +89,47 @@ def contamination(
     """
     bench = materialize(benchmark_windows(benchmark, width, item_col, bench_text_col), "decontam")
     by_length = {r["length"]: r["n"] for r in bench.groupBy("length").agg(F.countDistinct("h").alias("n")).collect()}
-    text = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), words(F.col(text_col)).alias("w")
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), lower_ascii(text).alias("t"))
+    split = text.select("id", "th", words(F.col("t")).alias("w"))
     candidates = None
     for length in sorted(by_length):
-        scanned = text.where(F.size("w") >= length).select("id", "th", F.posexplode(_hashes(F.col("w"), length)).alias("pos", "h"))
+        # The outer form, since for the other one the optimizer evaluates the array once more to filter it.
+        scanned = split.select("id", "th", _hashes(F.col("w"), length).alias("h")).select("id", "th", F.posexplode_outer("h").alias("pos", "h"))
         wanted = bench.where(F.col("length") == length).select("h").distinct()
         if by_length[length] <= broadcast_windows:
             wanted = F.broadcast(wanted)
         found = scanned.join(wanted, "h", "left_semi").select("id", "th", "pos", F.lit(length).alias("length"))
         candidates = found if candidates is None else candidates.union(found)
-    counted = text.select("id", "th", F.size("w").cast("long").alias("n_words"))
+    counted = text.select("id", "th", F.size(words(F.col("t"))).cast("long").alias("n_words"))
     no_spans = F.array().cast("array<struct<pos:int,length:int>>")
     if candidates is None:
         hit = counted.withColumns({"spans": no_spans, "items": F.array().cast("array<string>")})
     else:
         per_doc = candidates.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "length")).alias("c"))
         per_doc = materialize(per_doc, "decontam")
-        again = text.alias("d").join(
-            per_doc.alias("p"), F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.th") == F.col("p.th"))
+        narrowed = text
+        if per_doc.count() <= BROADCAST_DOCS:
+            keys = F.broadcast(per_doc.select(F.col("id").alias("__id"), F.col("th").alias("__th")))
+            narrowed = text.join(keys, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi")
+        again = narrowed.alias("d").join(
+            per_doc.alias("p").hint("merge"), F.col("d.id").eqNullSafe(F.col("p.id")) & (F.col("d.th") == F.col("p.th"))
         )
+        again = again.select("d.id", "d.th", "p.c", words(F.col("d.t")).alias("w"))
         shown = F.transform(
             "c",
             lambda s: F.struct(
                 s["pos"].alias("pos"), s["length"].alias("length"), F.array_join(F.slice("w", s["pos"] + 1, s["length"]), " ").alias("gram")
             ),
         )
-        each = again.select("d.id", "d.th", F.explode(shown).alias("s")).select("id", "th", "s.pos", "s.length", "s.gram")
+        each = again.select("id", "th", F.explode(shown).alias("s")).select("id", "th", "s.pos", "s.length", "s.gram")
         verified = each.join(bench.select("item", "length", "gram"), ["length", "gram"])
         verified = verified.groupBy("id", "th").agg(
             F.collect_set(F.struct("pos", "length")).alias("spans"), F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items")
         )
         verified = materialize(verified, "decontam")
         hit = counted.alias("d").join(
-            verified.alias("v"), F.col("d.id").eqNullSafe(F.col("v.id")) & (F.col("d.th") == F.col("v.th")), "left"
+            verified.alias("v").hint("merge"), F.col("d.id").eqNullSafe(F.col("v.id")) & (F.col("d.th") == F.col("v.th")), "left"
         ).select(
             "d.id", "d.n_words", F.coalesce("v.spans", no_spans).alias("spans"), F.coalesce("v.items", F.array().cast("array<string>")).alias("items")
         )
