@@ -63,16 +63,17 @@ def features(word: str, buckets: int = BUCKETS) -> list[int]:
 
 def word_counts(text: str | None) -> Iterator[tuple[str, int]]:
     """Words and equal pairs of the whole text with counts; a long text is counted piece by piece."""
-    text, at = text or "", 0
+    text, at, last = text or "", 0, []
     while at < len(text):
         end = at + _PIECE
         while end < len(text) and not text[end].isspace():
             end += 1
         words = text[at:end].split()
         yield from Counter(words).items()
-        same = sum(map(operator.eq, words, islice(words, 1, None)))
+        same = sum(map(operator.eq, last + words, islice(last + words, 1, None)))
         if same:
             yield SAME, same
+        last = words[-1:] or last
         at = end
 
 

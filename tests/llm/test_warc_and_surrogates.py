@@ -1,0 +1,139 @@
+"""WARC round trips and surrogates."""
+
+import gzip
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodeweave.llm import surrogates, warc
+from lodeweave.llm.common import prepare
+
+
+def pages():
+    big = "".join(chr(0x4E00 + i % 900) for i in range(30_000))
+    return [(5, "u5", "same"), (2, "u2", "same"), (9, "u9", "same"), (7, None, None), (8, "u8", ""), (1, "u1\r\nX: y", big), (3, "u3", big), (4, "u4", "WARC/1.1\r\n\r\n"), (6, "u6", "0\r\n\r\n"), (6, "u6", "0\r\n\r\n"), (None, "n", "lonely"), (None, "n", "same")]
+
+
+@pytest.fixture(scope="module")
+def read(spark):
+    prepare(spark)
+    table = spark.createDataFrame([(*p, "c", "k") for p in pages()], "page_id long, url string, html string, content string, key string").repartition(3)
+    return warc.read_archives(warc.write_archives(table, segment_bytes=1000))
+
+
+def test_round_trip(read):
+    rows = read.withColumn("page", warc.page_of(F.col("record_id"))).collect()
+    assert len(rows) == len(pages()) and all(r["intact"] for r in rows)
+    html = {}
+    for p, _, h in pages():
+        html.setdefault(str(p) if p is not None else None, set()).add((h or "").encode())
+    for r in rows:
+        if r["record_type"] == "response":
+            assert bytes(r["payload"]) in html[r["page"]] and r["payload_bytes"] == len(r["payload"]) and r["payload_digest"] == warc.sha1_base32(bytes(r["payload"]))
+        else:
+            assert r["payload"] is None and r["payload_digest"] in {warc.sha1_base32(x) for x in html[r["page"]]} and r["payload_bytes"] in {len(x) for x in html[r["page"]]}
+    kinds = sorted((r["page"] or "", r["record_type"], (r["refers_to"] or "").split(":")[-1]) for r in rows)
+    assert kinds == sorted([
+        ("5", "revisit", "2"), ("2", "response", ""), ("9", "revisit", "2"), ("7", "response", ""), ("8", "revisit", "7"), ("1", "response", ""), ("3", "revisit", "1"), ("4", "response", ""),
+        ("6", "response", ""), ("6", "response", ""), ("", "response", ""), ("", "revisit", "2"),
+    ])
+
+
+def test_small_payloads_may_be_left_alone(spark):
+    table = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
+    rows = warc.read_archives(warc.write_archives(table, min_revisit_bytes=3)).collect()
+    assert sorted(r["record_type"] for r in rows) == ["response"] * 3 + ["revisit"]
+    assert warc.read_archives(warc.write_archives(table.limit(0))).collect() == []
+
+
+def test_broken_segments_are_told(spark):
+    records = list(warc.page_records("s", "1", "u", b"x" * 5000, None, False, 1000))
+    swapped = b"".join([records[0], records[2], records[1], *records[3:]])
+    missing = b"".join(records[:1] + records[2:])
+    cut = b"".join(records[:-1])
+    wrong = b"".join(records).replace(b"x" * 10, b"y" * 10, 1)
+    for content, whole in ((swapped, True), (missing, False), (cut, False), (wrong, False), (gzip.compress(swapped), True), (gzip.compress(records[0]) + gzip.compress(b"".join(records[1:])), True)):
+        (row,) = warc.read_archives(spark.createDataFrame([("a", content), ("b", None)], "path string, content binary")).collect()
+        assert row["intact"] is whole and (not whole or bytes(row["payload"]) == b"x" * 5000)
+
+
+def test_chunks():
+    for n in (0, 1, 4095, 4096, 4097, 20_000):
+        assert warc.unchunked(warc.chunked(b"z" * n)) == b"z" * n
+    assert warc.unchunked(b"3;a=b\r\nabc\r\n0\r\nT: 1\r\n\r\n") == b"abc"
+    for bad in (b"", b"5\r\nabc", b"3\r\nabcd\r\n0\r\n\r\n"):
+        with pytest.raises(ValueError):
+            warc.unchunked(bad)
+    with pytest.raises(ValueError):
+        list(warc.parse_archive(b"junk"))
+
+
+PEOPLE = [
+    (1, "Mail Ann.Lee9@Example.com or ann.lee9@example.com, call +1 (706) 555-3138 / 706-555-3138."),
+    (2, "Mrs. Anna Kovalenko met Anna Kovalenko and Иван Петров; card 4111 1111 1111 1111, 4111111111111111 ip 192.168.1.7 and 8.8.8.8 but not 1.2.3.4.5"),
+    (3, None), (4, ""), (5, 'ssn 123-45-6789 ANN.LEE9@EXAMPLE.COM key="04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (2, "again Herr Müller"), (None, "bob@x.org"), (6, "plain words, 12 of them. 3.5"),
+    (7, "x" * 200_000 + " bob@x.org " + "y " * 10_000),
+]
+
+
+@pytest.fixture(scope="module")
+def replaced(spark):
+    docs = spark.createDataFrame([(i, t, 1, "k") for i, t in PEOPLE], "doc_id long, text string, th int, kind string").repartition(3)
+    return [(r["doc_id"], r["n_entities"], r["text"]) for r in surrogates.replace_personal_data(docs, "secret").collect()]
+
+
+def text_of(replaced, doc_id, part=""):
+    return next(t for i, _, t in replaced if i == doc_id and part in (t or ""))
+
+
+def test_same_entity_same_surrogate(replaced):
+    a, b = re.findall(r"\S+@\S+\.com", text_of(replaced, 1))
+    assert a.rstrip(",") == b.rstrip(",") and a.upper().rstrip(",") in text_of(replaced, 5) and "lee" not in a
+    long, short = re.search(r"\+1 \((\d{3})\) (\d{3})-(\d{4}) / (\d{3}-\d{3}-\d{4})", text_of(replaced, 1)).group(0, 4)
+    assert re.sub(r"\D", "", long)[1:11] == short.replace("-", "") and short != "706-555-3138"
+    assert text_of(replaced, None) in text_of(replaced, 7)
+
+
+def test_type_format_gender_and_script(replaced):
+    text = text_of(replaced, 2, "card")
+    first, second = re.search(r"Mrs\. (\w+ \w+) met (\w+ \w+) and", text).groups()
+    assert first == second and first.split()[0] in surrogates.GIVEN["latin", "f"] and "Kovalenko" not in text
+    male = re.search(r"and (\w+ \w+);", text).group(1)
+    assert male.split()[0] in surrogates.GIVEN["cyrillic", "m"] and re.fullmatch(r"[а-яА-ЯёЁ ]+", male)
+    card, plain = re.search(r"card ([\d ]{19}), (\d{16})", text).groups()
+    digits = [int(d) for d in plain]
+    assert card.replace(" ", "") == plain and plain[0] == "4" and plain != "4111111111111111"
+    assert sum(d if k % 2 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(digits)) % 10 == 0
+    assert re.search(r"ip 192\.168\.\d+\.\d+ and ", text) and "8.8.8.8" not in text and "1.2.3.4.5" in text
+    assert re.search(r'key="[0-9a-f]{40}"', text_of(replaced, 5)) and re.match(r"again Herr \w+$", text_of(replaced, 2, "again"))
+
+
+def test_what_is_left_alone(replaced):
+    by = {i: (n, t) for i, n, t in replaced}
+    assert by[3] == (0, None) and by[4] == (0, "") and by[6] == (0, "plain words, 12 of them. 3.5") and len(replaced) == len(PEOPLE)
+
+
+def test_surrogates_are_distinct_and_keyed(spark):
+    entities = [("ip", f"{a}.{b}.1.1", None) for a in range(1, 60) for b in range(1, 40)] + [("name", f"Anna {s}", "f") for s in ("Aa", "Bb")]
+    table = spark.createDataFrame(entities, "kind string, entity string, gender string")
+    rows = surrogates.surrogate_table(table, "k1").collect()
+    assert len(rows) == len(entities) == len({(r["kind"], r["replacement"]) for r in rows})
+    assert not {r["replacement"] for r in rows} & {e for _, e, _ in entities}
+    other = {r["entity"]: r["replacement"] for r in surrogates.surrogate_table(table, "k2").collect()}
+    assert sum(other[r["entity"]] != r["replacement"] for r in rows) > 0.9 * len(rows)
+
+
+def test_clashes_are_drawn_again(spark, monkeypatch):
+    drawn = lambda kind, entity, gender, draw, key: F.concat(F.substring(entity, 1, 1), draw.cast("string"))
+    monkeypatch.setattr(surrogates, "surrogate", drawn)
+    table = spark.createDataFrame([("name", e, None) for e in ("aa", "ab", "ac", "a1", "b")], "kind string, entity string, gender string")
+    found = {r["entity"]: r["replacement"] for r in surrogates.surrogate_table(table).collect()}
+    assert len(set(found.values())) == 5 and "a1" not in found.values()
+    with pytest.raises(RuntimeError):
+        surrogates.surrogate_table(table, max_draws=2)
+
+
+def test_empty(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert surrogates.replace_personal_data(docs).collect() == []
