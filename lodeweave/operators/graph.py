@@ -5,6 +5,10 @@ round found.  Rounds are written to the shared folder, so the plan of a round
 does not hold those before it and a lost executor costs a re-read.  Minima
 and distinct are pre-aggregated before their shuffle; the joins are left to
 the optimizer, which broadcasts a small frontier and splits a skewed key.
+
+A round costs a job however little it finds.  A graph of a checked size, at
+most ``LOCAL_EDGES`` edges, is therefore handed to one task as a whole, and
+so is what is left of a larger one once it has become that small.
 """
 
 from __future__ import annotations
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 
 from lodeweave.workspace import materialize
 
+#: Edges up to which a graph is walked in one task (about 100 bytes each there).
+LOCAL_EDGES = 500_000
 #: Rounds after which the visited nodes are written as one table again.
 _COMPACT = 8
 
@@ -23,7 +29,39 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
+def _is_small(edges: DataFrame, local_edges: int) -> bool:
+    return local_edges > 0 and edges.limit(local_edges + 1).count() <= local_edges
+
+
+def _walk(edges: pd.DataFrame, roots: pd.DataFrame, max_depth: int | None) -> pd.DataFrame:
+    follows: dict = {}
+    for src, dst in zip(edges["src"].tolist(), edges["dst"].tolist(), strict=True):
+        follows.setdefault(src, []).append(dst)
+    level, depth, out = sorted(set(roots["node"].tolist())), 0, []
+    seen = set(level)
+    while level and (max_depth is None or depth < max_depth):
+        depth += 1
+        via: dict = {}
+        for node in level:  # ascending, so the first to offer a node is the smallest
+            for nxt in follows.get(node, ()):
+                if nxt not in seen:
+                    via.setdefault(nxt, node)
+        seen |= via.keys()
+        out += [(node, depth, parent) for node, parent in via.items()]
+        level = sorted(via)
+    return pd.DataFrame(out, columns=["node", "depth", "via"])
+
+
+def _closure_in_one_task(edges: DataFrame, roots: DataFrame, max_depth: int | None) -> DataFrame:
+    kind = edges.schema["dst"].dataType.simpleString()
+    whole = F.lit(0).alias("whole")
+    e = edges.select(whole, "src", "dst").where("src is not null and dst is not null").groupBy("whole")
+    r = roots.select(whole, F.col("node").cast(edges.schema["src"].dataType)).where("node is not null").groupBy("whole")
+    found = e.cogroup(r).applyInPandas(lambda e, r: _walk(e, r, max_depth), f"node {kind}, depth int, via {kind}")
+    return materialize(found, "closure")
+
+
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, local_edges: int | None = None) -> DataFrame:
     """(node, depth, via) of every node that ``roots`` (column node) reach, without the roots.
 
     ``depth`` is the smallest number of edges from a root; ``via`` the smallest
@@ -31,6 +69,8 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) ->
     nothing.  Cycles end where nothing new is found.
     """
     edges = edges.select("src", "dst")
+    if _is_small(edges, LOCAL_EDGES if local_edges is None else local_edges):
+        return _closure_in_one_task(edges, roots, max_depth)
     seen = materialize(roots.select("node").where("node is not null").distinct(), "closure")
     frontier, found, depth = seen, [], 0
     while max_depth is None or depth < max_depth:
@@ -107,17 +147,72 @@ def _spread_smallest(edges: DataFrame) -> DataFrame:
             return colors
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _tarjan(edges: pd.DataFrame) -> pd.DataFrame:
+    """Strongly connected components of a whole graph, without recursion."""
+    follows: dict = {}
+    for src, dst in zip(edges["src"].tolist(), edges["dst"].tolist(), strict=True):
+        follows.setdefault(src, []).append(dst)
+    order: dict = {}
+    low: dict = {}
+    open_: list = []
+    inside: set = set()
+    out = []
+    for start in follows:
+        if start in order:
+            continue
+        work = [(start, iter(follows[start]))]
+        order[start] = low[start] = len(order)
+        open_.append(start)
+        inside.add(start)
+        while work:
+            node, rest = work[-1]
+            for nxt in rest:
+                if nxt not in order:
+                    order[nxt] = low[nxt] = len(order)
+                    open_.append(nxt)
+                    inside.add(nxt)
+                    work.append((nxt, iter(follows.get(nxt, ()))))
+                    break
+                if nxt in inside:
+                    low[node] = min(low[node], order[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    members = []
+                    while not members or members[-1] != node:
+                        members.append(open_.pop())
+                        inside.discard(members[-1])
+                    if len(members) > 1 or node in follows.get(node, ()):
+                        least = min(members)
+                        out += [(m, least) for m in members]
+    return pd.DataFrame(out, columns=["node", "component"])
+
+
+def _components_in_one_task(edges: DataFrame) -> DataFrame:
+    kind = edges.schema["src"].dataType.simpleString()
+    whole = edges.select(F.lit(0).alias("whole"), "src", "dst").groupBy("whole")
+    return materialize(whole.applyInPandas(_tarjan, f"node {kind}, component {kind}"), "scc")
+
+
+def strong_components(edges: DataFrame, local_edges: int | None = None) -> DataFrame:
     """(node, component) of nodes on a cycle; ``component`` is the smallest node of it.  A self-loop is a cycle.
 
     Trims what cannot be on a cycle, colors each node with the smallest node
     that reaches it, and takes per color what also reaches that node; repeats
     on the rest.
     """
+    bound = LOCAL_EDGES if local_edges is None else local_edges
     edges = materialize(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "scc")
+    if _is_small(edges, bound):
+        return _components_in_one_task(edges)
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
     rest, parts = _trimmed(edges.where("src <> dst")), []
     while not rest.isEmpty():
+        if _is_small(rest, bound):
+            parts.append(_components_in_one_task(rest))
+            break
         colors = _spread_smallest(rest)
         same = rest.join(colors.withColumnsRenamed({"node": "src", "color": "c"}), "src").join(
             colors.withColumnsRenamed({"node": "dst", "color": "d"}), "dst"
@@ -126,7 +221,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
         # Within a color, what reaches the color's own node is its component.
         back = reversed_edges(inside)
         roots = colors.where("node = color").select("node")
-        reached = materialize(roots.union(closure(back, roots).select("node")), "scc").join(colors, "node").select("node", F.col("color").alias("component"))
+        reached = materialize(roots.union(closure(back, roots, local_edges=local_edges).select("node")), "scc").join(colors, "node").select("node", F.col("color").alias("component"))
         sizes = reached.groupBy("component").count().where("count > 1").select("component")
         parts.append(materialize(reached.join(sizes, "component", "left_semi").select("node", "component"), "scc"))
         done = reached.select("node")

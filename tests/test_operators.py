@@ -34,9 +34,10 @@ def test_closure(spark, seed):
     e = table(spark, pairs)
     for roots, cap in (([3], None), ([1, 2], 2), ([99], None), ([4], 0)):
         want = bfs(pairs, roots, cap)
-        rows = closure(e, table(spark, [(r,) for r in roots], "node long"), cap).collect()
-        assert {r["node"]: r["depth"] for r in rows} == {n: d for n, d in want.items() if d}
-        for r in rows:
+        both = [closure(e, table(spark, [(r,) for r in roots], "node long"), cap, local_edges=n).collect() for n in (0, None)]
+        assert sorted(both[0]) == sorted(both[1])
+        assert {r["node"]: r["depth"] for r in both[0]} == {n: d for n, d in want.items() if d}
+        for r in both[0]:
             assert r["via"] == min(a for a, b in pairs if b == r["node"] and want.get(a) == r["depth"] - 1)
     assert {r["node"] for r in reachable(e, table(spark, [(1,)], "node long"), table(spark, [(1, 77)])).collect()} == set(bfs([*pairs, (1, 77)], [1]))
 
@@ -49,7 +50,8 @@ def test_pairs_and_strong_components(spark):
     assert {(r["node"], r["ancestor"]) for r in pair_closure(e).collect()} == reach
     on_cycle = {a for a, b in reach if a == b}
     want = {a: min(b for b in on_cycle if (a, b) in reach and (b, a) in reach) for a in on_cycle}
-    assert {r["node"]: r["component"] for r in strong_components(e).collect()} == want
+    for bound in (0, 8, None):
+        assert {r["node"]: r["component"] for r in strong_components(e, local_edges=bound).collect()} == want
     for r in cycles(e).collect():
         path = r["path"]
         assert all((a, b) in pairs for a, b in zip(path, [*path[1:], path[0]], strict=True)) and r["size"] == sum(c == r["component"] for c in want.values())
