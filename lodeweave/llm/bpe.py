@@ -102,7 +102,13 @@ _REPLY_FIELDS = pa.schema([("block", pa.string()), ("numbers", pa.binary()), ("c
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int] | None = None, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    ranks: dict[bytes, int] | None = None,
+    pattern: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """(id_col, ids array<int>) per row of ``docs``, without special tokens.
 
@@ -110,13 +116,17 @@ def encode(
     numbers or null; null text is empty and has no ids.  Rows that repeat an
     id each get a row.  Other columns of ``docs`` are not read; an empty
     table gives an empty result.
+
+    A block sends one row per hash range, so ``block_bytes`` should grow with
+    the square root of the corpus, and ``ranges`` be about the number of
+    blocks over ten; neither changes the result.
     """
     if ranks is None or pattern is None:
         ranks, pattern = default_vocabulary()
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # one entry per token of the vocabulary
     number = lambda block, ids, texts: _number_block(pattern, block, ids, texts)
-    blocks = in_blocks(docs, id_col, text_col, number, _BLOCK, _BLOCK_FIELDS, BLOCK_BYTES).repartition("block")
-    ranges = RANGES * max(1, docs.select(id_col, text_col).rdd.getNumPartitions())
+    blocks = in_blocks(docs, id_col, text_col, number, _BLOCK, _BLOCK_FIELDS, block_bytes).repartition("block")
+    ranges = ranges or RANGES * max(1, docs.select(id_col, text_col).rdd.getNumPartitions())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(_PACK_FIELDS)

@@ -3,7 +3,8 @@
 A window is ``width`` consecutive words of one document.  A word is removed
 if a window over it also starts in a document with a smaller id.
 
-1. Documents are cut into blocks, written once to the shared folder.
+1. Documents are cut into blocks, which are shuffled once; steps 2 and 4 both
+   read this one shuffle.
 2. Each block hashes its windows, keeps each distinct one with the smallest
    id that has it, and sends them packed, one row per hash range.
 3. Per hash range the smallest id over all blocks is found; a passage is
@@ -13,7 +14,9 @@ if a window over it also starts in a document with a smaller id.
    automata of bounded size and streams all of its documents through them;
    every occurrence later than a passage's owner is removed.
 
-A window that a third of all documents share is one entry per block in step
+A block is named by its content, so a block that a lost executor made anew
+either equals the one that asked or the job fails; over a written table it is
+always equal.  A window that a third of all documents share is one entry per block in step
 2, so no range is larger than the others.  Hashes have ``DIGEST_BYTES`` bytes
 (two independent sums of 64-bit word hashes); at 10 bytes two different
 windows among 10^10 agree with a chance below 10^-4.
@@ -28,11 +31,9 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from lodeweave.llm.blocks import in_blocks, squeeze, unsqueeze
+from lodeweave.llm.blocks import BLOCK_BYTES, in_blocks, squeeze, unsqueeze
 from lodeweave.llm.common import Batcher
-from lodeweave.workspace import materialize
 
 WIDTH = 13
 DIGEST_BYTES = 10
@@ -40,8 +41,8 @@ DIGEST_BYTES = 10
 PASSAGE = 64
 #: Words of all patterns of one automaton.
 SHARD_WORDS = 300_000
-#: Blocks whose entries one hash range gathers, on average, times their share of the range.
-BLOCKS_PER_RANGE = 3
+#: Hash ranges per partition of the input.
+RANGES = 3
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -124,7 +125,8 @@ def _pack_block(block: str, ids: list, texts: list[bytes]) -> Iterator[tuple]:
     known = np.array([i is not None for i in ids], np.int64)
     numbers = np.array([0 if i is None else i for i in ids], np.int64)
     parts = [squeeze(np.concatenate((sizes, known, numbers))), squeeze(b"".join(texts))]
-    yield block, len(parts[0]).to_bytes(8, "little") + b"".join(parts)
+    body = len(parts[0]).to_bytes(8, "little") + b"".join(parts)
+    yield f"{block}-{xxhash.xxh3_128_hexdigest(body)}", body
 
 
 def _open_block(body: bytes) -> tuple[list, list[bytes]]:
@@ -214,7 +216,9 @@ def _clean_block(words: Words, least: np.ndarray, place: np.ndarray, at: np.ndar
     return np.cumsum(gone)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, ranges: int | None = None
+) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, n_removed, kept_text, spans.
 
     ``kept_text`` is the kept words joined by one space; ``spans`` are the
@@ -223,9 +227,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     as order goes: neither is earlier than the other.  A row without an id is
     earlier than none and later than none: it keeps its words.  Other columns
     of ``docs`` are not read; an empty table gives an empty result.
+
+    A block sends one row per hash range in which it has entries, so the
+    number of rows is that of blocks times ranges.  ``block_bytes`` should
+    grow with the square root of the corpus (3 MB for 50 GB, 128 MB for
+    100 TB; a task needs some 15 times as much memory), and ``ranges`` be
+    about the number of blocks over ten; neither changes the result.
     """
-    bodies = materialize(in_blocks(docs, id_col, text_col, _pack_block, _BODY, _BODY_FIELDS), "substring")
-    ranges = max(1, -(-bodies.count() // BLOCKS_PER_RANGE))
+    bodies = in_blocks(docs, id_col, text_col, _pack_block, _BODY, _BODY_FIELDS, block_bytes).repartition("block")
+    ranges = ranges or RANGES * max(1, docs.select(id_col, text_col).rdd.getNumPartitions())
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(_PACK_FIELDS)
@@ -272,15 +282,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
          ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
     )
 
-    def clean(key: tuple, group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        ids, texts = _open_block(next(r["body"] for r in rows if r["body"] is not None))
+    def clean(key: tuple, own: pa.Table, given: pa.Table) -> pa.Table:
+        if own.num_rows != 1:
+            raise RuntimeError("a block was made anew with other content; write the documents to a table first")
+        ids, texts = _open_block(own.column("body")[0].as_py())
         words = Words(ids, texts, width)
         high, _, least, place, at, doc = _distinct(words)
         cuts = _ranges(high, ranges)
-        for r in rows:
-            if r["places"] is not None:
-                least[cuts[r["range"]] + np.cumsum(unsqueeze(r["places"], "<i8"))] = unsqueeze(r["earlier"], "<i8")
+        for r in given.to_pylist():
+            least[cuts[r["range"]] + np.cumsum(unsqueeze(r["places"], "<i8"))] = unsqueeze(r["earlier"], "<i8")
         gone = _clean_block(words, least, place, at, doc)
         out: tuple[list, ...] = ([], [], [], [], [])
         for k in range(len(ids)):
@@ -293,8 +303,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 column.append(value)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, fields, strict=True)], schema=fields)
 
-    none = F.lit(None)
-    both = bodies.select("block", "body", none.cast("int").alias("range"), none.cast("binary").alias("places"), none.cast("binary").alias("earlier"))
-    both = both.union(replies.select("block", none.cast("binary"), "range", "places", "earlier"))
     result = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_text string, spans array<struct<start:int,stop:int>>"
-    return both.groupBy("block").applyInArrow(clean, result)
+    return bodies.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(clean, result)
