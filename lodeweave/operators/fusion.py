@@ -23,6 +23,12 @@ def first_match(rules: list[tuple[Column, str]], otherwise: Column | None = None
     return out.otherwise(F.lit(None) if otherwise is None else otherwise)
 
 
+def multiset_digest(digest: Column) -> Column:
+    """Aggregate: a hash of a multiset of hex SHA-256 digests, whatever their order, by sums that combine before the shuffle."""
+    parts = (F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string") for i in range(4))
+    return F.sha2(F.concat_ws("-", F.count(digest).cast("string"), *parts), 256)
+
+
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per ``keys``: the first in ``order``, chosen by a partial aggregate rather than a sort."""
     rest = [c for c in df.columns if c not in keys]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.operators.components import connected_components
-from lodeweave.operators.fusion import fill_header, first_by, first_match, fuse
+from lodeweave.operators.fusion import fill_header, first_by, first_match, fuse, multiset_digest
 from lodeweave.operators.graph import closure, cycles, pair_closure, reachable, reversed_edges, strong_components
 from lodeweave.operators.joins import longest_prefix_join, prefix_semi_join, unique_suffix_table
 from lodeweave.workspace import materialize
@@ -399,17 +399,17 @@ SQL_Q23 = SQL_Q23.replace("r(node) AS (SELECT min(src) FROM e UNION SELECT max(d
 
 
 def q24_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hash over the sorted row hashes of each nation's customers, and one over those."""
+    """A hash over the row hashes of each nation's customers, and one over those."""
     row = F.sha2(F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment"), 256)
     each = _table(spark, sf_dir, "customer").select("c_nationkey", row.alias("h"))
-    buckets = each.groupBy("c_nationkey").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"))
-    buckets = buckets.select(F.col("c_nationkey").cast("string").alias("part"), "h")
-    return buckets.union(buckets.agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h")).select(F.lit("all"), "h"))
+    parts = each.groupBy("c_nationkey").agg(multiset_digest(F.col("h")).alias("h")).select(F.col("c_nationkey").cast("string").alias("part"), "h")
+    return parts.union(parts.agg(multiset_digest(F.col("h")).alias("h")).select(F.lit("all"), "h"))
 
 
-SQL_Q24 = """WITH b AS (SELECT CAST(c_nationkey AS VARCHAR) AS part, sha256(string_agg(h, '' ORDER BY h)) AS h FROM (
-  SELECT c_nationkey, sha256(c_custkey || '|' || c_name || '|' || c_mktsegment) AS h FROM customer) GROUP BY c_nationkey)
-SELECT part, h FROM b UNION ALL SELECT 'all', sha256(string_agg(h, '' ORDER BY h)) FROM b"""
+_DIGEST = "sha256(concat_ws('-', count(h), " + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT))" for i in range(4)) + "))"
+SQL_Q24 = f"""WITH c AS (SELECT c_nationkey, sha256(c_custkey || '|' || c_name || '|' || c_mktsegment) AS h FROM customer),
+b AS (SELECT CAST(c_nationkey AS VARCHAR) AS part, {_DIGEST} AS h FROM c GROUP BY c_nationkey)
+SELECT part, h FROM b UNION ALL SELECT 'all', {_DIGEST} FROM b"""
 
 
 def q25_marker_union(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.operators.fusion import first_match
+from lodeweave.operators.fusion import first_match, multiset_digest
 from lodeweave.plans.engine import Engine
 from lodeweave.plans.facts import facts, split
 from lodeweave.schema import RAW, SCHEMA_VERSION
@@ -20,12 +20,10 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", value: str
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
-def fingerprint(files: DataFrame, buckets: int = 256) -> str:
-    """A hash of a tree: over sorted (path, sha) within buckets of paths, then over the sorted buckets."""
-    each = files.select(F.pmod(F.xxhash64("path"), F.lit(buckets)).alias("b"), F.sha2(F.concat_ws("\x1f", "path", "sha"), 256).alias("h"))
-    parts = each.groupBy("b").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"))
-    top = parts.agg(F.sha2(F.concat_ws("", F.lit(str(SCHEMA_VERSION)), F.array_sort(F.collect_list("h"))), 256).alias("h"))
-    return top.first()["h"]
+def fingerprint(files: DataFrame) -> str:
+    """A hash of a tree's paths and file hashes, whatever their order, and of the schema version."""
+    row = F.sha2(F.concat_ws("\x1f", F.lit(str(SCHEMA_VERSION)), "path", "sha"), 256)
+    return files.agg(multiset_digest(row).alias("h")).first()["h"]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

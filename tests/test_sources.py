@@ -75,6 +75,19 @@ def test_instrumented_run_and_fusion(spark, tmp_path):
         assert e.describe("ops.add", run.shapes).first()["observed_return"] == "float | int"
 
 
+def test_trace_of_a_script(tmp_path):
+    import json
+    import os
+
+    from lodeweave.sources import trace_plugin
+
+    put(tmp_path, {"job.py": "def work():\n    open('out.txt', 'w').close()\n\n\nif __name__ == '__main__':\n    work()\n    raise SystemExit(3)\n"})
+    env = os.environ | {"LODEWEAVE_TRACE_ROOT": str(tmp_path)}
+    done = subprocess.run([sys.executable, trace_plugin.__file__, "--script", "job.py", "--out", "t.json"], cwd=tmp_path, env=env, check=False)
+    found = json.loads((tmp_path / "t.json").read_text())
+    assert done.returncode == 3 == found["pytest_exit"] and ("job.work", "open") in {(r["owner_fqn"], r["event"]) for r in found["rows"]}
+
+
 def test_run_that_cannot_be(spark, tmp_path):
     run = ledger.run_suite(spark, str(tmp_path), python="/no/such/python")
     assert run.effects is None and run.warnings
