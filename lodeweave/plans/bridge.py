@@ -9,9 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodeweave.functions import predicates
+from lodeweave.functions.ids import def_fqn, fqn_names, import_module_name, module_name, scoped_by
+from lodeweave.functions.rules import effect_category, event_category
 from lodeweave.operators.components import connected_components
 from lodeweave.operators.fusion import fill_header, first_by, first_match, fuse, multiset_digest
 from lodeweave.operators.graph import closure, cycles, pair_closure, reachable, reversed_edges, strong_components
@@ -488,6 +491,108 @@ SQL_Q30 = """SELECT l_partkey, l_suppkey, array_to_string(list_sort(list(DISTINC
   SELECT l_partkey, l_suppkey, 'call' AS source FROM lineitem WHERE l_returnflag = 'R'
   UNION ALL SELECT l_partkey, l_suppkey, 'module' FROM lineitem WHERE l_quantity >= 45) GROUP BY l_partkey, l_suppkey"""
 
+_CALLEES = [
+    "os.getenv", "os.environ.get", "subprocess.run", "os.system", "run", "requests.get", "client.urlopen", "socket", "open", "io.open", "p.read_text", "shutil.copy", "os.remove", "cur.execute", "User.objects.filter",
+    "random.random", "uuid4", "os.urandom", "time.sleep", "datetime.now", "today", "x.y.z", "print", "environ.get", "popen", "http.client.HTTPSConnection", "secrets.token", "json.loads",
+]
+_EVENTS = ["open", "os.mkdir", "os.execve", "os.posix_spawn", "socket.connect", "ssl.wrap", "sqlite3.connect", "os.putenv", "import", "urllib.Request", "os.system", "gc.collect", "shutil.move", "os.spawnv", "cpython.run"]
+
+
+def _pick(values: list[str], key: str) -> Column:
+    """The value at ``key`` modulo their number."""
+    return F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod(F.col(key), F.lit(len(values))) + 1).cast("int"))
+
+
+def _pick_sql(values: list[str], key: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][CAST({key} % {len(values)} AS INT) + 1]"
+
+
+def q31_effect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F18, rules 2.2.1: callees named by part key, counted by category."""
+    part = _table(spark, sf_dir, "part").select(_pick(_CALLEES, "p_partkey").alias("callee"))
+    return part.select("callee", F.coalesce(effect_category(F.col("callee")), F.lit("none")).alias("category")).groupBy("callee", "category").agg(F.count("*").alias("n"))
+
+
+SQL_Q31 = f"""WITH c AS (SELECT {_pick_sql(_CALLEES, "p_partkey")} AS callee FROM part)
+SELECT callee, CASE WHEN regexp_matches(callee, '(^|\\.)getenv$|(^|\\.)environ\\.(get|setdefault)$|(^|\\.)(putenv|setenv|unsetenv)$') THEN 'env'
+  WHEN contains(callee, 'subprocess.') OR regexp_matches(callee, '(^|\\.)(system|popen|execv|execve|execvp|spawnl|spawnv)$') THEN 'subprocess'
+  WHEN regexp_matches(callee, 'requests\\.|httpx\\.|aiohttp\\.|urllib\\.request|socket\\.|http\\.client') OR regexp_matches(callee, '(^|\\.)(urlopen|socket)$') THEN 'network'
+  WHEN callee = 'open' OR contains(callee, 'shutil.') OR regexp_matches(callee, '(io\\.open|os\\.(remove|unlink|mkdir|makedirs|rmdir|rename|replace))$|(^|\\.)(read|write)_(text|bytes)$') THEN 'fs'
+  WHEN contains(callee, '.objects.') OR contains(callee, 'sqlalchemy.') OR regexp_matches(callee, '(^|\\.)(execute|executemany|executescript|fetchone|fetchall)$|(sqlite3|psycopg2|pymysql)\\.connect$') THEN 'db'
+  WHEN regexp_matches(callee, 'random\\.|secrets\\.|uuid\\.|os\\.urandom$|(^|\\.)uuid[14]$') THEN 'random'
+  WHEN regexp_matches(callee, 'time\\.(time|monotonic|perf_counter|process_time|sleep|gmtime|localtime)$|(^|\\.)(now|utcnow|today|fromtimestamp)$') THEN 'clock'
+  ELSE 'none' END AS category, count(*) AS n FROM c GROUP BY ALL"""
+
+
+def q32_event_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules 2.2.2, A12: audit events named by event id, hits by category; the longest prefix counts."""
+    events = _table(spark, sf_dir, "events").select(_pick(_EVENTS, "event_id").alias("event"), "user_id")
+    return events.select("event", F.coalesce(event_category(F.col("event")), F.lit("none")).alias("category")).groupBy("event", "category").agg(F.count("*").alias("hits"))
+
+
+SQL_Q32 = f"""WITH e AS (SELECT {_pick_sql(_EVENTS, "event_id")} AS event FROM events)
+SELECT event, CASE WHEN event IN ('open', 'os.mkdir', 'shutil.move') THEN 'fs' WHEN event = 'os.system' OR regexp_matches(event, '^os\\.(exec|spawn|posix_spawn)') THEN 'subprocess'
+  WHEN event = 'sqlite3.connect' THEN 'db' WHEN event = 'os.putenv' THEN 'env' WHEN event = 'import' THEN 'import'
+  WHEN event = 'urllib.Request' OR starts_with(event, 'socket.') OR starts_with(event, 'ssl.') THEN 'network' ELSE 'none' END AS category, count(*) AS hits
+FROM e GROUP BY ALL"""
+
+_FOLDERS = ["pkg", "tests", "scripts", "app/migrations", "app/management/commands", "src/test"]
+_FILES = ["mod.py", "test_mod.py", "mod_test.py", "conftest.py", "__init__.py", "manage.py", "urls.py"]
+
+
+def q33_path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4, P5, P11-P13, identity rules: kinds of paths built from part size and key, with their modules."""
+    path = F.concat(_pick(_FOLDERS, "p_size"), F.lit("/"), _pick(_FILES, "p_partkey"))
+    part = _table(spark, sf_dir, "part").select(path.alias("path"), (F.pmod("p_size", F.lit(2)) == 0).alias("guard"))
+    p = F.col("path")
+    return part.distinct().select(
+        "path", "guard", predicates.is_test_file(p).alias("test_file"), predicates.in_test_tree(p).alias("test_tree"), predicates.is_entry_file(p).alias("entry"),
+        predicates.is_script_file(p, F.col("guard")).alias("script"), predicates.file_matches(p, "pkg/mod.py").alias("matches"), module_name(p).alias("module"), import_module_name(p).alias("import_module"),
+    )
+
+
+SQL_Q33 = f"""WITH p AS (SELECT DISTINCT {_pick_sql(_FOLDERS, "p_size")} || '/' || {_pick_sql(_FILES, "p_partkey")} AS path, p_size % 2 = 0 AS guard FROM part),
+b AS (SELECT path, guard, split_part(path, '/', -1) AS base, regexp_replace(replace(path, '/', '.'), '\\.py$', '') AS dots FROM p)
+SELECT path, guard, starts_with(base, 'test_') OR ends_with(base, '_test.py') AS test_file,
+  starts_with(base, 'test_') OR ends_with(base, '_test.py') OR base = 'conftest.py' OR list_has_any(string_split(path, '/'), ['tests', 'test']) AS test_tree,
+  base IN ('manage.py', 'conftest.py', 'urls.py') OR contains(path, '/migrations/') OR contains(path, 'management/commands/') OR starts_with(path, 'scripts/') AS entry,
+  base <> '__init__.py' AND (guard OR base = 'manage.py' OR contains(path, 'management/commands/') OR starts_with(path, 'scripts/')) AS script,
+  path = 'pkg/mod.py' AS matches, replace(dots, '.__init__', '') AS module, regexp_replace(dots, '\\.__init__$', '') AS import_module
+FROM b"""
+
+
+def q34_scoped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions of dotted names built from parts that a qualified symbol names."""
+    words = F.split(F.lower("p_type"), " ")
+    part = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.array_join(words, "/"), F.lit(".py")).alias("path"), F.array(F.regexp_replace("p_brand", "#", "")).alias("container"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
+    fqn = def_fqn(F.col("path"), F.col("container"), F.col("name"))
+    return part.select("p_partkey", fqn.alias("fqn"), scoped_by("Brand13.x", F.col("path"), F.col("container")).alias("scoped"), fqn_names(fqn, "Brand13.almond").alias("named"))
+
+
+SQL_Q34 = """WITH p AS (SELECT p_partkey, replace(lower(p_type), ' ', '.') || '.' || replace(p_brand, '#', '') || '.' || split_part(p_name, ' ', 1) AS fqn, p_brand FROM part)
+SELECT p_partkey, fqn, p_brand = 'Brand#13' AS scoped, fqn = 'Brand13.almond' OR ends_with(fqn, '.Brand13.almond') AS named FROM p"""
+
+
+def q35_group_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per group with the group's first place and widest text."""
+    talk = _table(spark, sf_dir, "conversations")
+    return talk.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.min("turn").alias("first"), F.max(F.char_length("text")).cast("long").alias("width"))
+
+
+SQL_Q35 = "SELECT conv_id, role, count(*) AS n, min(turn) AS first, max(length(text)) AS width FROM conversations GROUP BY conv_id, role"
+
+
+def q36_sole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier of high balance of each nation if there is just one."""
+    rich = _table(spark, sf_dir, "supplier").where("s_acctbal > 6000").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("s"))
+    nation = _table(spark, sf_dir, "nation")
+    joined = nation.join(rich, nation["n_nationkey"] == rich["s_nationkey"], "left")
+    return joined.select("n_nationkey", F.when(F.col("n") == 1, F.col("s")).alias("sole"))
+
+
+SQL_Q36 = """SELECT n_nationkey, CASE WHEN count(s_suppkey) = 1 THEN min(s_suppkey) END AS sole
+FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 6000 GROUP BY n_nationkey"""
+
 _ALL = {
     "q01_closure_forward": (q01_closure_forward, SQL_Q01),
     "q02_closure_reverse": (q02_closure_reverse, SQL_Q02),
@@ -520,6 +625,12 @@ _ALL = {
     "q28_location_order": (q28_location_order, SQL_Q28),
     "q29_caller_index": (q29_caller_index, SQL_Q29),
     "q30_edge_union": (q30_edge_union, SQL_Q30),
+    "q31_effect_rules": (q31_effect_rules, SQL_Q31),
+    "q32_event_categories": (q32_event_categories, SQL_Q32),
+    "q33_path_predicates": (q33_path_predicates, SQL_Q33),
+    "q34_scoped_names": (q34_scoped_names, SQL_Q34),
+    "q35_group_headers": (q35_group_headers, SQL_Q35),
+    "q36_sole_match": (q36_sole_match, SQL_Q36),
 }
 
 

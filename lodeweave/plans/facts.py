@@ -20,6 +20,7 @@ from lodeweave.schema import DYNAMIC, RAW, TABLES
 
 _ENV_CALLS = {"getenv", "get_env", "get_var", "getvar", "config", "env"}
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+_BATCH_ROWS = 5_000
 _FIELDS = pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, RAW.split(", "))])
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 
@@ -452,10 +453,15 @@ def facts(files: DataFrame) -> DataFrame:
     """Tagged fact rows of ``files`` (path, text).  Effects without a category are dropped here, by expression."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if path is not None:
-                    yield pa.RecordBatch.from_pylist(extract(path, text or ""), schema=_FIELDS)
+            for path, text in zip(batch.column(0), batch.column(1), strict=True):
+                if path.is_valid:
+                    held += extract(path.as_py(), text.as_py() or "")
+                if len(held) >= _BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(held, schema=_FIELDS)
+                    held = []
+        yield pa.RecordBatch.from_pylist(held, schema=_FIELDS)
 
     raw = files.select("path", "text").mapInArrow(run, RAW)
     category = F.coalesce("kind", effect_category(F.col("detail")))
