@@ -34,7 +34,9 @@ def main(argv: list[str] | None = None) -> int:
         p.exit(1, "lodeweave: a symbol is required\n")
     if a.verb == "tests" and not a.symbol and not a.base:
         p.exit(1, "lodeweave: tests needs a symbol or --base\n")
-    spark = SparkSession.builder.master(os.environ.get("LODEWEAVE_MASTER", "local[*]")).config("spark.sql.shuffle.partitions", "8").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master(
+        os.environ.get("LODEWEAVE_MASTER", "local[*]")
+    ).config("spark.sql.shuffle.partitions", "8").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     root = os.path.realpath(a.root)
     if a.verb == "index" and a.clean:
@@ -59,8 +61,12 @@ def main(argv: list[str] | None = None) -> int:
     else:
         table = {
             "refs": lambda: (engine.refs(a.symbol), "reference"), "callers": lambda: (engine.callers(a.symbol), "caller"), "defs": lambda: (engine.defs_of(a.symbol), "definition"),
-            "graph": lambda: (engine.graph(a.symbol, a.reverse, a.depth), "node"), "effects": lambda: (engine.effects(a.symbol, run.effects if run else None), "effect"),
-            "tests": lambda: (engine.tests(a.symbol), "test"), "describe": lambda: (engine.describe(a.symbol, run.shapes if run else None), "row"), "inputs": lambda: (engine.inputs(a.symbol), "input"),
+            "graph": lambda: (engine.graph(a.symbol, a.reverse, a.depth), "node"), "effects": lambda: (
+                engine.effects(a.symbol, run.effects if run else None), "effect",
+            ),
+            "tests": lambda: (engine.tests(a.symbol), "test"), "describe": lambda: (
+                engine.describe(a.symbol, run.shapes if run else None), "row",
+            ), "inputs": lambda: (engine.inputs(a.symbol), "input"),
             "mock-targets": lambda: (engine.mock_targets(), "target"), "hierarchy": lambda: (engine.hierarchy(a.symbol), "row"), "deadcode": lambda: (engine.deadcode(), "dead callable"),
             "canonical": lambda: (engine.canonical(), "row"),
         }

@@ -22,7 +22,9 @@ class Envelope:
     notes: list[str] = field(default_factory=list)
 
     @classmethod
-    def of(cls, tool: str, query: dict, df: DataFrame, what: str = "result", warnings: list[str] | None = None, notes: list[str] | None = None) -> Envelope:
+    def of(
+        cls, tool: str, query: dict, df: DataFrame, what: str = "result", warnings: list[str] | None = None, notes: list[str] | None = None,
+    ) -> Envelope:
         rows = [{k: v for k, v in r.asDict(recursive=True).items() if v is not None} for r in df.collect()]
         return cls(tool, query, f"{len(rows)} {plural(what, len(rows))}", rows, warnings or [], notes or [])
 

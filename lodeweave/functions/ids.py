@@ -24,7 +24,9 @@ def module_name(path: Column) -> Column:
 def import_module_name(path: Column) -> Column:
     """Module in the import graph: only an ``__init__`` at the end is dropped."""
     parts = path_parts(path)
-    return F.array_join(F.when(F.element_at(parts, -1) == "__init__", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts), ".")
+    return F.array_join(
+        F.when(F.element_at(parts, -1) == "__init__", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts), ".",
+    )
 
 
 def scope_fqn(path: Column, scope: Column) -> Column:

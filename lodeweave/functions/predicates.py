@@ -53,7 +53,9 @@ def is_entry_file(path: Column) -> Column:
     """Loaded by a framework or tool: by name, or in migrations, settings, management commands, scripts or bin."""
     folders = F.slice(_parts(path), 1, F.greatest(F.size(_parts(path)) - 1, F.lit(0)))
     by_name = basename(path).isin([f"{n}.py" for n in ENTRY_FILES])
-    return by_name | F.arrays_overlap(folders, F.array(F.lit("migrations"), F.lit("settings"))) | _management_command(path) | path.rlike(r"^(scripts|bin)/")
+    return by_name | F.arrays_overlap(
+        folders, F.array(F.lit("migrations"), F.lit("settings")),
+    ) | _management_command(path) | path.rlike(r"^(scripts|bin)/")
 
 
 def is_script_file(path: Column, has_main_guard: Column) -> Column:

@@ -17,7 +17,10 @@ EFFECT_RULES: list[tuple[str, list[str], list[str], list[str]]] = [
     (
         "fs",
         ["open"],
-        ["io.open", ".read_text", ".write_text", ".read_bytes", ".write_bytes", "os.remove", "os.unlink", "os.mkdir", "os.makedirs", "os.rmdir", "os.rename", "os.replace"],
+        [
+            "io.open", ".read_text", ".write_text", ".read_bytes", ".write_bytes", "os.remove", "os.unlink", "os.mkdir", "os.makedirs",
+            "os.rmdir", "os.rename", "os.replace",
+        ],
         ["shutil."],
     ),
     (
@@ -30,7 +33,10 @@ EFFECT_RULES: list[tuple[str, list[str], list[str], list[str]]] = [
     (
         "clock",
         [],
-        ["time.time", "time.monotonic", "time.perf_counter", "time.process_time", "time.sleep", "time.gmtime", "time.localtime", ".now", ".utcnow", ".today", ".fromtimestamp"],
+        [
+            "time.time", "time.monotonic", "time.perf_counter", "time.process_time", "time.sleep", "time.gmtime", "time.localtime", ".now",
+            ".utcnow", ".today", ".fromtimestamp",
+        ],
         [],
     ),
 ]
@@ -47,7 +53,9 @@ EVENT_CATEGORIES: dict[str, list[str]] = {
     "import": ["import"],
     "network": ["urllib.Request"],
 }
-EVENT_PREFIXES: dict[str, str] = {"os.exec": "subprocess", "os.spawn": "subprocess", "os.posix_spawn": "subprocess", "socket.": "network", "ssl.": "network"}
+EVENT_PREFIXES: dict[str, str] = {
+    "os.exec": "subprocess", "os.spawn": "subprocess", "os.posix_spawn": "subprocess", "socket.": "network", "ssl.": "network",
+}
 
 
 def _ends(callee: Column, suffix: str) -> Column:

@@ -140,7 +140,9 @@ def _spread_smallest(edges: DataFrame) -> DataFrame:
     colors = materialize(nodes.select("node", F.col("node").alias("color")), "scc")
     while True:
         offered = colors.join(edges, colors["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("offer"))
-        after = colors.join(offered, "node", "left").select("node", F.least("color", "offer").alias("color"), (F.col("offer") < F.col("color")).alias("moved"))
+        after = colors.join(offered, "node", "left").select(
+            "node", F.least("color", "offer").alias("color"), (F.col("offer") < F.col("color")).alias("moved"),
+        )
         after = materialize(after, "scc")
         colors = after.select("node", "color")
         if after.where("moved").isEmpty():
@@ -221,11 +223,15 @@ def strong_components(edges: DataFrame, local_edges: int | None = None) -> DataF
         # Within a color, what reaches the color's own node is its component.
         back = reversed_edges(inside)
         roots = colors.where("node = color").select("node")
-        reached = materialize(roots.union(closure(back, roots, local_edges=local_edges).select("node")), "scc").join(colors, "node").select("node", F.col("color").alias("component"))
+        reached = materialize(
+            roots.union(closure(back, roots, local_edges=local_edges).select("node")), "scc",
+        ).join(colors, "node").select("node", F.col("color").alias("component"))
         sizes = reached.groupBy("component").count().where("count > 1").select("component")
         parts.append(materialize(reached.join(sizes, "component", "left_semi").select("node", "component"), "scc"))
         done = reached.select("node")
-        rest = rest.join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        rest = rest.join(
+            done.withColumnRenamed("node", "src"), "src", "left_anti",
+        ).join(done.withColumnRenamed("node", "dst"), "dst", "left_anti")
         rest = _trimmed(materialize(rest.select("src", "dst"), "scc"))
     for part in parts:
         loops = loops.union(part)

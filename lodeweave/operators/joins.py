@@ -29,7 +29,9 @@ def unique_suffix_table(ids: DataFrame, id_col: str) -> DataFrame:
 
 def unique_suffix_join(left: DataFrame, name_col: str, ids: DataFrame, id_col: str, out_col: str) -> DataFrame:
     """``left`` with ``out_col``: the id equal to ``name_col``, else the only id that ends in ``.name``, else null."""
-    table = unique_suffix_table(ids, id_col).where("id is not null").select(F.col("spelling").alias("__spelling"), F.col("id").alias(out_col))
+    table = unique_suffix_table(ids, id_col).where("id is not null").select(
+        F.col("spelling").alias("__spelling"), F.col("id").alias(out_col),
+    )
     return left.join(table, left[name_col] == table["__spelling"], "left").drop("__spelling")
 
 
@@ -40,7 +42,9 @@ def prefix_semi_join(left: DataFrame, name_col: str, ids: DataFrame, id_col: str
     return joined.withColumn(flag_col, F.coalesce(flag_col, F.lit(False)))
 
 
-def longest_prefix_join(left: DataFrame, key_col: str, name_col: str, ids: DataFrame, id_col: str, out_col: str, sep: str = ".") -> DataFrame:
+def longest_prefix_join(
+    left: DataFrame, key_col: str, name_col: str, ids: DataFrame, id_col: str, out_col: str, sep: str = ".",
+) -> DataFrame:
     """``left`` with ``out_col``: the longest id that is ``name_col`` or a prefix of it at a ``sep``, else null.
 
     ``key_col`` identifies the rows of ``left``.

@@ -66,7 +66,9 @@ SELECT node, min(depth) AS depth FROM r GROUP BY node HAVING min(depth) > 0"""
 def q03_closure_via(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth and the smallest parent one edge nearer, from the source of most edges."""
     e = part_edges(spark, sf_dir)
-    root = e.groupBy("src").count().agg(F.max(F.struct("count", (-F.col("src")).alias("s"))).alias("m")).select((-F.col("m.s")).alias("node"))
+    root = e.groupBy("src").count().agg(
+        F.max(F.struct("count", (-F.col("src")).alias("s"))).alias("m")
+    ).select((-F.col("m.s")).alias("node"))
     return closure(e, root, 8)
 
 
@@ -85,7 +87,10 @@ def _brand_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q04_reachable_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts reached from one brand over E and over links to the next part of the same name."""
     part = _table(spark, sf_dir, "part")
-    nxt = part.select(F.col("p_partkey").alias("src"), F.lead("p_partkey").over(Window.partitionBy("p_name", "p_brand").orderBy("p_partkey")).alias("dst"))
+    nxt = part.select(
+        F.col("p_partkey").alias("src"),
+        F.lead("p_partkey").over(Window.partitionBy("p_name", "p_brand").orderBy("p_partkey")).alias("dst"),
+    )
     return reachable(part_edges(spark, sf_dir), _brand_seeds(spark, sf_dir), nxt.where("dst is not null"))
 
 
@@ -151,7 +156,9 @@ SELECT x.a AS node, min(x.b) AS component FROM p x JOIN p y ON y.a = x.b AND y.b
 def q08b_cycle_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components with their sizes; a representative cycle is one of its columns' own check."""
     found = cycles(part_edges(spark, sf_dir, 44))
-    return found.select("component", F.col("size").cast("long").alias("size"), (F.element_at("path", 1) >= F.col("component")).alias("path_ok"))
+    return found.select(
+        "component", F.col("size").cast("long").alias("size"), (F.element_at("path", 1) >= F.col("component")).alias("path_ok"),
+    )
 
 
 SQL_Q08B = f"""WITH RECURSIVE {_e(44)}, p(a, b) AS (SELECT src, dst FROM e UNION SELECT p.a, e.dst FROM p JOIN e ON e.src = p.b),
@@ -196,7 +203,10 @@ def q11_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the first rule that a text meets, counted by label and language."""
     t = F.col("text")
     label = first_match(
-        [(t.contains("License"), "license"), (t.contains("@"), "address"), (t.contains("!!"), "shout"), (t.contains(" | "), "table"), (F.length(t) < 200, "short")],
+        [
+            (t.contains("License"), "license"), (t.contains("@"), "address"), (t.contains("!!"), "shout"), (t.contains(" | "), "table"),
+            (F.length(t) < 200, "short"),
+        ],
         F.concat(F.lit("text-"), F.col("lang")),
     )
     docs = _table(spark, sf_dir, "documents").select(label.alias("label"), "lang")
@@ -211,7 +221,9 @@ FROM documents GROUP BY ALL"""
 def q12_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the key read from each event's properties, ``<dynamic>`` where there is none."""
     events = _table(spark, sf_dir, "events")
-    return events.select("event_id", F.col("event_type").alias("kind"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("<dynamic>")).alias("value"))
+    return events.select(
+        "event_id", F.col("event_type").alias("kind"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("<dynamic>")).alias("value"),
+    )
 
 
 SQL_Q12 = "SELECT event_id, event_type AS kind, coalesce(json_extract_string(props, '$.k'), '<dynamic>') AS value FROM events"
@@ -255,19 +267,27 @@ FROM s JOIN hosts ON host = spelling OR ends_with(host, '.' || spelling) GROUP B
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1), "/", ".")
-    return _table(spark, sf_dir, "pages").select("page_id", F.concat_ws(".", F.regexp_extract("url", r"^https?://([^/?#]+)", 1), path).alias("name"))
+    return _table(spark, sf_dir, "pages").select(
+        "page_id", F.concat_ws(".", F.regexp_extract("url", r"^https?://([^/?#]+)", 1), path).alias("name"),
+    )
 
 
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
     pages = _table(spark, sf_dir, "pages")
     deep = F.concat_ws(".", host, F.regexp_extract("url", r"^https?://[^/]+/([^/?#]+)", 1))
-    return pages.select(F.explode(F.array(F.regexp_extract(host, r"^[^.]+\.[^.]+", 0), F.when(F.length(host) > 18, host), F.when(F.col("page_id") > 60, deep))).alias("pkg")).where("pkg is not null").distinct()
+    return pages.select(
+        F.explode(
+            F.array(F.regexp_extract(host, r"^[^.]+\.[^.]+", 0), F.when(F.length(host) > 18, host), F.when(F.col("page_id") > 60, deep))
+        ).alias("pkg")
+    ).where("pkg is not null").distinct()
 
 
 def q15_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest package that each page's dotted address begins with."""
-    return longest_prefix_join(_paths(spark, sf_dir), "page_id", "name", _packages(spark, sf_dir), "pkg", "package").select("page_id", "package")
+    return longest_prefix_join(
+        _paths(spark, sf_dir), "page_id", "name", _packages(spark, sf_dir), "pkg", "package",
+    ).select("page_id", "package")
 
 
 _PKG_SQL = r"""u AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^/?#]+)', 1) AS first,
@@ -331,7 +351,10 @@ def q19_change_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     executed = events.select(F.pmod("user_id", F.lit(10)).alias("path"), F.hour("ts").cast("long").alias("line"), "event_type").distinct()
     tests = executed.groupBy("path", "line").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("tests"))
     joined = changed.join(tests, ["path", "line"], "left")
-    return joined.select("path", "line", F.when(F.col("tests").isNull(), "uncovered").otherwise("covered").alias("status"), F.coalesce("tests", F.lit("")).alias("tests"))
+    return joined.select(
+        "path", "line", F.when(F.col("tests").isNull(), "uncovered").otherwise("covered").alias("status"),
+        F.coalesce("tests", F.lit("")).alias("tests"),
+    )
 
 
 SQL_Q19 = """WITH c AS (SELECT DISTINCT l_suppkey % 10 AS path, unnest(range(l_linenumber * 3, l_linenumber * 3 + l_partkey % 4 + 1)) AS line FROM lineitem WHERE l_quantity = 50),
@@ -353,7 +376,9 @@ SQL_Q20 = """SELECT conv_id, turn, md5(coalesce(last_value(CASE WHEN role = 'use
 def q21_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections about the customers of the largest balance of each nation."""
     customer = _table(spark, sf_dir, "customer")
-    roots = first_by(customer.select("c_nationkey", "c_custkey", "c_name", "c_acctbal"), ["c_nationkey"], [-F.col("c_acctbal"), F.col("c_custkey")])
+    roots = first_by(
+        customer.select("c_nationkey", "c_custkey", "c_name", "c_acctbal"), ["c_nationkey"], [-F.col("c_acctbal"), F.col("c_custkey")],
+    )
     nation = _table(spark, sf_dir, "nation")
     orders = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     definition = roots.select("c_custkey", F.lit("definition").alias("section"), F.col("c_name").alias("item"))
@@ -375,8 +400,12 @@ def q22_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of the documents compared by hash; one lacks a source each, German texts were edited."""
     docs = _table(spark, sf_dir, "documents")
     old = docs.where("source <> 'src3'").select("doc_id", F.sha2("text", 256).alias("old"))
-    new = docs.where("source <> 'src5'").select("doc_id", F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("new"))
-    status = first_match([(F.col("old").isNull(), "added"), (F.col("new").isNull(), "removed"), (F.col("old") != F.col("new"), "changed")], F.lit("same"))
+    new = docs.where("source <> 'src5'").select(
+        "doc_id", F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("new"),
+    )
+    status = first_match(
+        [(F.col("old").isNull(), "added"), (F.col("new").isNull(), "removed"), (F.col("old") != F.col("new"), "changed")], F.lit("same"),
+    )
     return old.join(new, "doc_id", "full").select("doc_id", status.alias("status"))
 
 
@@ -398,18 +427,24 @@ def q23_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_Q23 = f"""WITH RECURSIVE {_e()}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 r(node) AS (SELECT min(src) FROM e UNION SELECT max(dst) FROM e UNION SELECT u.dst FROM r JOIN u ON u.src = r.node)
 SELECT DISTINCT node FROM r"""
-SQL_Q23 = SQL_Q23.replace("r(node) AS (SELECT min(src) FROM e UNION SELECT max(dst) FROM e UNION", "r(node) AS (SELECT unnest([min(src), max(dst)]) FROM e UNION")
+SQL_Q23 = SQL_Q23.replace(
+    "r(node) AS (SELECT min(src) FROM e UNION SELECT max(dst) FROM e UNION", "r(node) AS (SELECT unnest([min(src), max(dst)]) FROM e UNION",
+)
 
 
 def q24_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash over the row hashes of each nation's customers, and one over those."""
     row = F.sha2(F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment"), 256)
     each = _table(spark, sf_dir, "customer").select("c_nationkey", row.alias("h"))
-    parts = each.groupBy("c_nationkey").agg(multiset_digest(F.col("h")).alias("h")).select(F.col("c_nationkey").cast("string").alias("part"), "h")
+    parts = each.groupBy("c_nationkey").agg(multiset_digest(F.col("h")).alias("h")).select(
+        F.col("c_nationkey").cast("string").alias("part"), "h",
+    )
     return parts.union(parts.agg(multiset_digest(F.col("h")).alias("h")).select(F.lit("all"), "h"))
 
 
-_DIGEST = "sha256(concat_ws('-', count(h), " + ", ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT))" for i in range(4)) + "))"
+_DIGEST = "sha256(concat_ws('-', count(h), " + ", ".join(
+    f"sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS HUGEINT))" for i in range(4)
+) + "))"
 SQL_Q24 = f"""WITH c AS (SELECT c_nationkey, sha256(c_custkey || '|' || c_name || '|' || c_mktsegment) AS h FROM customer),
 b AS (SELECT CAST(c_nationkey AS VARCHAR) AS part, {_DIGEST} AS h FROM c GROUP BY c_nationkey)
 SELECT part, h FROM b UNION ALL SELECT 'all', {_DIGEST} FROM b"""
@@ -448,7 +483,9 @@ UNION ALL SELECT 'u' || page_id, starts_with(url, 'https'), ends_with(url, '#top
 def q27_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the lines of one order and number the first by part, supplier and price."""
     lines = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return first_by(lines, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")]).drop("l_extendedprice")
+    return first_by(
+        lines, ["l_orderkey", "l_linenumber"], [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice")],
+    ).drop("l_extendedprice")
 
 
 SQL_Q27 = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
@@ -483,7 +520,9 @@ def q30_edge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _table(spark, sf_dir, "lineitem")
     first = lines.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct().withColumn("source", F.lit("call"))
     second = lines.where("l_quantity >= 45").select("l_partkey", "l_suppkey").distinct().withColumn("source", F.lit("module"))
-    both = first.union(second).groupBy("l_partkey", "l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
+    both = first.union(second).groupBy("l_partkey", "l_suppkey").agg(
+        F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources")
+    )
     return both
 
 
@@ -495,7 +534,10 @@ _CALLEES = [
     "os.getenv", "os.environ.get", "subprocess.run", "os.system", "run", "requests.get", "client.urlopen", "socket", "open", "io.open", "p.read_text", "shutil.copy", "os.remove", "cur.execute", "User.objects.filter",
     "random.random", "uuid4", "os.urandom", "time.sleep", "datetime.now", "today", "x.y.z", "print", "environ.get", "popen", "http.client.HTTPSConnection", "secrets.token", "json.loads",
 ]
-_EVENTS = ["open", "os.mkdir", "os.execve", "os.posix_spawn", "socket.connect", "ssl.wrap", "sqlite3.connect", "os.putenv", "import", "urllib.Request", "os.system", "gc.collect", "shutil.move", "os.spawnv", "cpython.run"]
+_EVENTS = [
+    "open", "os.mkdir", "os.execve", "os.posix_spawn", "socket.connect", "ssl.wrap", "sqlite3.connect", "os.putenv", "import",
+    "urllib.Request", "os.system", "gc.collect", "shutil.move", "os.spawnv", "cpython.run",
+]
 
 
 def _pick(values: list[str], key: str) -> Column:
@@ -510,7 +552,9 @@ def _pick_sql(values: list[str], key: str) -> str:
 def q31_effect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F18, rules 2.2.1: callees named by part key, counted by category."""
     part = _table(spark, sf_dir, "part").select(_pick(_CALLEES, "p_partkey").alias("callee"))
-    return part.select("callee", F.coalesce(effect_category(F.col("callee")), F.lit("none")).alias("category")).groupBy("callee", "category").agg(F.count("*").alias("n"))
+    return part.select(
+        "callee", F.coalesce(effect_category(F.col("callee")), F.lit("none")).alias("category"),
+    ).groupBy("callee", "category").agg(F.count("*").alias("n"))
 
 
 SQL_Q31 = f"""WITH c AS (SELECT {_pick_sql(_CALLEES, "p_partkey")} AS callee FROM part)
@@ -527,7 +571,9 @@ SELECT callee, CASE WHEN regexp_matches(callee, '(^|\\.)getenv$|(^|\\.)environ\\
 def q32_event_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules 2.2.2, A12: audit events named by event id, hits by category; the longest prefix counts."""
     events = _table(spark, sf_dir, "events").select(_pick(_EVENTS, "event_id").alias("event"), "user_id")
-    return events.select("event", F.coalesce(event_category(F.col("event")), F.lit("none")).alias("category")).groupBy("event", "category").agg(F.count("*").alias("hits"))
+    return events.select(
+        "event", F.coalesce(event_category(F.col("event")), F.lit("none")).alias("category"),
+    ).groupBy("event", "category").agg(F.count("*").alias("hits"))
 
 
 SQL_Q32 = f"""WITH e AS (SELECT {_pick_sql(_EVENTS, "event_id")} AS event FROM events)
@@ -564,9 +610,15 @@ FROM b"""
 def q34_scoped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions of dotted names built from parts that a qualified symbol names."""
     words = F.split(F.lower("p_type"), " ")
-    part = _table(spark, sf_dir, "part").select("p_partkey", F.concat(F.array_join(words, "/"), F.lit(".py")).alias("path"), F.array(F.regexp_replace("p_brand", "#", "")).alias("container"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
+    part = _table(spark, sf_dir, "part").select(
+        "p_partkey", F.concat(F.array_join(words, "/"), F.lit(".py")).alias("path"),
+        F.array(F.regexp_replace("p_brand", "#", "")).alias("container"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"),
+    )
     fqn = def_fqn(F.col("path"), F.col("container"), F.col("name"))
-    return part.select("p_partkey", fqn.alias("fqn"), scoped_by("Brand13.x", F.col("path"), F.col("container")).alias("scoped"), fqn_names(fqn, "Brand13.almond").alias("named"))
+    return part.select(
+        "p_partkey", fqn.alias("fqn"), scoped_by("Brand13.x", F.col("path"), F.col("container")).alias("scoped"),
+        fqn_names(fqn, "Brand13.almond").alias("named"),
+    )
 
 
 SQL_Q34 = """WITH p AS (SELECT p_partkey, replace(lower(p_type), ' ', '.') || '.' || replace(p_brand, '#', '') || '.' || split_part(p_name, ' ', 1) AS fqn, p_brand FROM part)
@@ -576,7 +628,9 @@ SELECT p_partkey, fqn, p_brand = 'Brand#13' AS scoped, fqn = 'Brand13.almond' OR
 def q35_group_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per group with the group's first place and widest text."""
     talk = _table(spark, sf_dir, "conversations")
-    return talk.groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.min("turn").alias("first"), F.max(F.char_length("text")).cast("long").alias("width"))
+    return talk.groupBy("conv_id", "role").agg(
+        F.count("*").alias("n"), F.min("turn").alias("first"), F.max(F.char_length("text")).cast("long").alias("width"),
+    )
 
 
 SQL_Q35 = "SELECT conv_id, role, count(*) AS n, min(turn) AS first, max(length(text)) AS width FROM conversations GROUP BY conv_id, role"
@@ -584,7 +638,9 @@ SQL_Q35 = "SELECT conv_id, role, count(*) AS n, min(turn) AS first, max(length(t
 
 def q36_sole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplier of high balance of each nation if there is just one."""
-    rich = _table(spark, sf_dir, "supplier").where("s_acctbal > 6000").groupBy("s_nationkey").agg(F.count("*").alias("n"), F.min("s_suppkey").alias("s"))
+    rich = _table(spark, sf_dir, "supplier").where("s_acctbal > 6000").groupBy("s_nationkey").agg(
+        F.count("*").alias("n"), F.min("s_suppkey").alias("s"),
+    )
     nation = _table(spark, sf_dir, "nation")
     joined = nation.join(rich, nation["n_nationkey"] == rich["s_nationkey"], "left")
     return joined.select("n_nationkey", F.when(F.col("n") == 1, F.col("s")).alias("sole"))

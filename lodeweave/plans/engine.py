@@ -35,7 +35,10 @@ def _symbol(symbol: str) -> str:
 class Engine:
     """Queries over one tree: ``Engine.of_tree(spark, folder)`` or ``Engine(spark, files)`` with (path, text)."""
 
-    def __init__(self, spark: SparkSession, files: DataFrame, source_roots: list[str] | None = None, console: list[str] | None = None, root: str | None = None, stored: dict[str, DataFrame] | None = None):
+    def __init__(
+        self, spark: SparkSession, files: DataFrame, source_roots: list[str] | None = None, console: list[str] | None = None,
+        root: str | None = None, stored: dict[str, DataFrame] | None = None,
+    ):
         self.spark, self.root, self.console = spark, root, console or []
         self.files = files
         if stored is None:
@@ -62,9 +65,13 @@ class Engine:
     @cached_property
     def nodes(self) -> DataFrame:
         """(fqn, path, line, col, kind) of functions and classes, the last definition of a name, and of modules."""
-        d = self.defs.where("kind in ('function', 'class')").groupBy("fqn").agg(F.max(F.struct("offset", "path", "line", "col", "tag")).alias("d"))
+        d = self.defs.where("kind in ('function', 'class')").groupBy("fqn").agg(
+            F.max(F.struct("offset", "path", "line", "col", "tag")).alias("d")
+        )
         d = d.select("fqn", "d.path", "d.line", "d.col", F.col("d.tag").alias("kind"))
-        m = self.files.select(module_name(F.col("path")).alias("fqn"), "path", F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit("module").alias("kind"))
+        m = self.files.select(
+            module_name(F.col("path")).alias("fqn"), "path", F.lit(1).alias("line"), F.lit(1).alias("col"), F.lit("module").alias("kind"),
+        )
         return materialize(d.union(m.join(d.select("fqn"), "fqn", "left_anti")), "nodes")
 
     def roots(self, symbol: str, kinds: tuple[str, ...] = ("function", "class")) -> DataFrame:
@@ -74,7 +81,9 @@ class Engine:
 
     @cached_property
     def test_classes(self) -> DataFrame:
-        hit = (F.col("kind") == "class") & P.is_test_file(F.col("path")) & (F.col("name").startswith("Test") | P.has_test_case_base(F.col("bases")))
+        hit = (F.col("kind") == "class") & P.is_test_file(F.col("path")) & (
+            F.col("name").startswith("Test") | P.has_test_case_base(F.col("bases"))
+        )
         return self.defs.where(hit).select("fqn").distinct()
 
     @cached_property
@@ -82,7 +91,9 @@ class Engine:
         """Collected tests: functions named ``test*`` in test files, at module level or in a test class."""
         candidates = self.defs.where((F.col("kind") == "function") & P.is_test_file(F.col("path")) & P.is_test_name(F.col("name")))
         owner = scope_fqn(F.col("path"), F.col("container"))
-        inside = candidates.withColumn("__owner", owner).join(self.test_classes.select(F.col("fqn").alias("__class")), F.col("__owner") == F.col("__class"), "left")
+        inside = candidates.withColumn("__owner", owner).join(
+            self.test_classes.select(F.col("fqn").alias("__class")), F.col("__owner") == F.col("__class"), "left",
+        )
         return inside.where("size(container) = 0 or __class is not null").drop("__owner", "__class")
 
     # Symbols
@@ -91,8 +102,12 @@ class Engine:
         """Definitions and import bindings of a symbol; a binding names the definition if there is just one."""
         symbol = _symbol(symbol)
         found = self.roots(symbol, ("function", "class", "variable", "import"))
-        d = found.where("kind <> 'import'").select("path", "line", "col", "kind", F.lit("definition").alias("role"), F.lit(None).cast("string").alias("resolves_to"))
-        sole = d.select(location().alias("l")).distinct().agg(F.count("*").alias("n"), F.min("l").alias("only")).select(F.when(F.col("n") == 1, F.col("only")).alias("only"))
+        d = found.where("kind <> 'import'").select(
+            "path", "line", "col", "kind", F.lit("definition").alias("role"), F.lit(None).cast("string").alias("resolves_to"),
+        )
+        sole = d.select(location().alias("l")).distinct().agg(F.count("*").alias("n"), F.min("l").alias("only")).select(
+            F.when(F.col("n") == 1, F.col("only")).alias("only")
+        )
         # One row, so the side is bounded.
         b = found.where("kind = 'import'").crossJoin(F.broadcast(sole)).select("path", "line", "col", "kind", F.lit("binding"), "only")
         return self._located(d.union(b).dropDuplicates(["path", "line", "col"]))
@@ -113,19 +128,32 @@ class Engine:
         at = self.nodes.select(F.col("fqn").alias("__t"), location().alias("__l"))
         several = self._targets(symbol).agg((F.count("*") > 1).alias("several"))
         out = owned.join(kinds, "owner", "left").join(at, F.col("fqn") == F.col("__t"), "left").crossJoin(F.broadcast(several))
-        return self._located(out.select("path", "line", "col", F.coalesce("kind", F.lit("callable")).alias("kind"), F.lit("call").alias("role"), F.when(F.col("several"), F.col("__l")).alias("resolves_to"), F.col("owner").alias("caller")).dropDuplicates(["path", "line", "col"]))
+        return self._located(
+            out.select(
+                "path", "line", "col", F.coalesce("kind", F.lit("callable")).alias("kind"), F.lit("call").alias("role"),
+                F.when(F.col("several"), F.col("__l")).alias("resolves_to"), F.col("owner").alias("caller"),
+            ).dropDuplicates(["path", "line", "col"])
+        )
 
     def refs(self, symbol: str) -> DataFrame:
         """Reads, writes, calls and import bindings that resolve to a symbol, with its definitions."""
         symbol = _symbol(symbol)
         targets = self._targets(symbol)
-        sites = self.resolver.uses.join(targets, "fqn", "left_semi").select("path", "line", "col", F.when(F.col("is_call"), "call").otherwise("read").alias("kind"), F.lit("reference").alias("role"))
-        imports = self.resolver.bindings.where("kind = 'from'").join(self.resolver.symbols.withColumnsRenamed({"kind": "k"}), "symbol").join(targets, "fqn", "left_semi").select("path", "offset")
-        d = self.defs.where("kind = 'import'").join(imports.distinct(), ["path", "offset"], "left_semi").select("path", "line", "col", F.lit("import"), F.lit("binding"))
+        sites = self.resolver.uses.join(targets, "fqn", "left_semi").select(
+            "path", "line", "col", F.when(F.col("is_call"), "call").otherwise("read").alias("kind"), F.lit("reference").alias("role"),
+        )
+        imports = self.resolver.bindings.where("kind = 'from'").join(
+            self.resolver.symbols.withColumnsRenamed({"kind": "k"}), "symbol",
+        ).join(targets, "fqn", "left_semi").select("path", "offset")
+        d = self.defs.where("kind = 'import'").join(imports.distinct(), ["path", "offset"], "left_semi").select(
+            "path", "line", "col", F.lit("import"), F.lit("binding"),
+        )
         own = self.roots(symbol).select("path", "line", "col", "kind", F.lit("definition"))
         variables = self.roots(symbol, ("variable",)).select("path", "line", "col", F.lit("write"), F.lit("definition"))
         names = self.roots(symbol, ("variable",)).select("fqn").distinct()
-        reads = self.resolver.uses.where("kind = 'variable'").join(names, "fqn", "left_semi").select("path", "line", "col", F.lit("read"), F.lit("reference"))
+        reads = self.resolver.uses.where("kind = 'variable'").join(names, "fqn", "left_semi").select(
+            "path", "line", "col", F.lit("read"), F.lit("reference"),
+        )
         return self._located(sites.union(d).union(own).union(variables).union(reads).dropDuplicates(["path", "line", "col"]))
 
     # Graph
@@ -138,7 +166,9 @@ class Engine:
     def _closure(self, targets: DataFrame, reverse: bool, depth: int | None = None) -> DataFrame:
         e = reversed_edges(self.edges) if reverse else self.edges
         found = closure(e, targets.select(F.col("fqn").alias("node")), depth)
-        return found.withColumnRenamed("node", "fqn").join(self.nodes, "fqn", "left").select("fqn", "path", "line", "col", "kind", "depth", "via").orderBy("depth", "fqn")
+        return found.withColumnRenamed("node", "fqn").join(self.nodes, "fqn", "left").select(
+            "fqn", "path", "line", "col", "kind", "depth", "via",
+        ).orderBy("depth", "fqn")
 
     def exists(self, symbol: str) -> bool:
         return not self._targets(_symbol(symbol)).isEmpty()
@@ -149,7 +179,9 @@ class Engine:
     def external_classes(self) -> DataFrame:
         """(fqn) of classes with a base outside the tree, their own or an ancestor's."""
         own = self.resolver.supertypes.where("base_fqn is null").select(F.col("class").alias("fqn")).distinct()
-        up = self.resolver.ancestors.join(own.withColumnRenamed("fqn", "ancestor"), "ancestor", "left_semi").select(F.col("node").alias("fqn"))
+        up = self.resolver.ancestors.join(
+            own.withColumnRenamed("fqn", "ancestor"), "ancestor", "left_semi",
+        ).select(F.col("node").alias("fqn"))
         return materialize(own.union(up).distinct(), "external")
 
     def hierarchy(self, symbol: str) -> DataFrame:
@@ -157,14 +189,20 @@ class Engine:
         roots = materialize(self.roots(_symbol(symbol), ("class",)).select(F.col("fqn").alias("root")).distinct(), "roots")
         anc = self.resolver.ancestors
         none = F.lit(None).cast("string")
-        sup = roots.join(anc, roots["root"] == anc["node"]).select("root", F.lit("supertype").alias("section"), F.col("depth").alias("rank"), F.col("ancestor").alias("fqn"), none.alias("method"))
+        sup = roots.join(anc, roots["root"] == anc["node"]).select(
+            "root", F.lit("supertype").alias("section"), F.col("depth").alias("rank"), F.col("ancestor").alias("fqn"), none.alias("method"),
+        )
         own = roots.select("root", F.col("root").alias("class")).union(sup.select("root", F.col("fqn")))
-        ext = own.join(self.resolver.supertypes.where("base_fqn is null"), "class").select("root", F.lit("external"), "place", "base", none).distinct()
+        ext = own.join(
+            self.resolver.supertypes.where("base_fqn is null"), "class",
+        ).select("root", F.lit("external"), "place", "base", none).distinct()
         sub = roots.join(anc, roots["root"] == anc["ancestor"]).select("root", F.lit("subtype"), "depth", "node", none)
         o = self.resolver.override_edges.withColumns({"src_class": parent(F.col("src")), "dst_class": parent(F.col("dst"))})
         over = roots.join(o, roots["root"] == o["dst_class"]).select("root", F.lit("overrides"), F.lit(0), "src", leaf(F.col("src")))
         under = roots.join(o, roots["root"] == o["src_class"]).select("root", F.lit("overridden-by"), F.lit(0), "dst", leaf(F.col("dst")))
-        order = F.array_position(F.array(*(F.lit(s) for s in ("supertype", "external", "subtype", "overrides", "overridden-by"))), F.col("section"))
+        order = F.array_position(
+            F.array(*(F.lit(s) for s in ("supertype", "external", "subtype", "overrides", "overridden-by"))), F.col("section"),
+        )
         return sup.union(ext).union(sub).union(over).union(under).orderBy("root", order, "method", "rank", "fqn")
 
     # Reachability from entry points
@@ -181,7 +219,9 @@ class Engine:
         d = self.defs.where("kind in ('function', 'class')")
         d = d.withColumn("__owner", scope_fqn(F.col("path"), F.col("container")))
         m = self.managed_classes
-        d = d.join(m.select(F.col("fqn").alias("__in")), d["__owner"] == F.col("__in"), "left").join(m.select(F.col("fqn").alias("__is")), d["fqn"] == F.col("__is"), "left")
+        d = d.join(
+            m.select(F.col("fqn").alias("__in")), d["__owner"] == F.col("__in"), "left",
+        ).join(m.select(F.col("fqn").alias("__is")), d["fqn"] == F.col("__is"), "left")
         why = (
             F.when(F.size("decorators") > 0, "decorated")
             .when(F.col("__in").isNotNull() | F.col("__is").isNotNull(), "framework-base")
@@ -216,9 +256,13 @@ class Engine:
 
     def deadcode(self) -> DataFrame:
         """(fqn, path, line, col, kind) of callables that no entry point reaches; methods of a dead class are not listed."""
-        live = materialize(reachable(self.edges, self.seeds, self.resolver.override_edges.union(self._inside)), "live").withColumnRenamed("node", "fqn")
+        live = materialize(
+            reachable(self.edges, self.seeds, self.resolver.override_edges.union(self._inside)), "live",
+        ).withColumnRenamed("node", "fqn")
         population = self.defs.where("kind in ('function', 'class')")
-        dead = materialize(population.join(live, "fqn", "left_anti").withColumn("owner", scope_fqn(F.col("path"), F.col("container"))), "dead")
+        dead = materialize(
+            population.join(live, "fqn", "left_anti").withColumn("owner", scope_fqn(F.col("path"), F.col("container"))), "dead",
+        )
         gone = dead.select(F.col("fqn").alias("owner")).distinct()
         left = dead.join(gone, "owner", "left_anti")
         kind = F.when((F.col("kind") == "function") & (F.size("container") > 0), "method").otherwise(F.col("kind"))
@@ -231,25 +275,41 @@ class Engine:
     def canonical(self) -> DataFrame:
         """(section, fqn, loc, uses, markers): most used callables, public surface that no test reaches, tests with markers."""
         info = self.nodes
-        trees = self.defs.where(P.in_test_tree(F.col("path"))).select("fqn").union(self.files.where(P.in_test_tree(F.col("path"))).select(module_name(F.col("path")))).distinct()
+        trees = self.defs.where(P.in_test_tree(F.col("path"))).select("fqn").union(
+            self.files.where(P.in_test_tree(F.col("path"))).select(module_name(F.col("path")))
+        ).distinct()
         entry = self.defs.where(P.is_entry_file(F.col("path"))).select("fqn").distinct()
         e = self.edges.where("src <> dst").join(trees.withColumnRenamed("fqn", "src"), "src", "left_anti")
-        e = e.join(trees.withColumnRenamed("fqn", "dst"), "dst", "left_anti").join(entry.withColumnRenamed("fqn", "dst"), "dst", "left_anti").where(~P.is_dunder(leaf(F.col("dst"))))
+        e = e.join(
+            trees.withColumnRenamed("fqn", "dst"), "dst", "left_anti",
+        ).join(entry.withColumnRenamed("fqn", "dst"), "dst", "left_anti").where(~P.is_dunder(leaf(F.col("dst"))))
         used = e.groupBy(F.col("dst").alias("fqn")).agg(F.countDistinct("src").alias("uses")).where(f"uses >= {MIN_USES}").orderBy(F.desc("uses"), "fqn").limit(MOST_USED)
         none = F.lit(None).cast("string")
-        used = used.join(info, "fqn", "left").select(F.lit("most-used").alias("section"), "fqn", location().alias("loc"), "uses", none.alias("markers"))
-        public = self.defs.where(P.is_public_surface(F.col("kind"), F.col("container"), F.col("nested"), F.col("name")) & ~P.in_test_tree(F.col("path")) & ~P.is_entry_file(F.col("path")))
-        reached = materialize(reachable(self.edges, self.tests_defs.select(F.col("fqn").alias("node")), self.resolver.override_edges), "tested")
+        used = used.join(info, "fqn", "left").select(
+            F.lit("most-used").alias("section"), "fqn", location().alias("loc"), "uses", none.alias("markers"),
+        )
+        public = self.defs.where(
+            P.is_public_surface(
+                F.col("kind"), F.col("container"), F.col("nested"), F.col("name"),
+            ) & ~P.in_test_tree(F.col("path")) & ~P.is_entry_file(F.col("path"))
+        )
+        reached = materialize(
+            reachable(self.edges, self.tests_defs.select(F.col("fqn").alias("node")), self.resolver.override_edges), "tested",
+        )
         tested = reached.select(F.col("node").alias("fqn")).union(reached.select(parent(F.col("node")))).distinct()
         left = public.join(tested, "fqn", "left_anti").join(self.framework_entries, "fqn", "left_anti")
         untested = left.select(F.lit("untested"), "fqn", location(), F.lit(None).cast("bigint"), none)
         mark = lambda c: F.transform(F.filter(c, lambda d: d.rlike(r"(^|\.)mark\.\w")), lambda d: F.regexp_extract(d, r"(?:^|\.)mark\.(\w+)", 1))
         owners = self.defs.where("kind = 'class'").select(F.col("fqn").alias("owner"), mark(F.col("decorators")).alias("inherited"))
         t = self.tests_defs.withColumn("owner", scope_fqn(F.col("path"), F.col("container"))).join(owners, "owner", "left")
-        marks = F.array_join(F.array_sort(F.array_distinct(F.concat(mark(F.col("decorators")), F.coalesce("inherited", F.array().cast(_STRINGS))))), ",")
+        marks = F.array_join(
+            F.array_sort(F.array_distinct(F.concat(mark(F.col("decorators")), F.coalesce("inherited", F.array().cast(_STRINGS))))), ",",
+        )
         tests = t.select(F.lit("test"), "fqn", location(), F.lit(None).cast("bigint"), marks)
         order = F.array_position(F.array(F.lit("most-used"), F.lit("untested"), F.lit("test")), F.col("section"))
-        return used.union(untested).union(tests).orderBy(order, F.desc_nulls_last("uses"), F.when(F.col("section") == "untested", F.col("loc")).otherwise(F.col("fqn")))
+        return used.union(untested).union(tests).orderBy(
+            order, F.desc_nulls_last("uses"), F.when(F.col("section") == "untested", F.col("loc")).otherwise(F.col("fqn")),
+        )
 
     # Tests
 
@@ -264,7 +324,10 @@ class Engine:
             return changed.distinct().select("path", "line", F.lit("unknown").alias("status"), F.array().cast(_STRINGS).alias("tests"))
         ran = coverage.groupBy("path", "line").agg(F.array_sort(F.collect_set("nodeid")).alias("tests"))
         out = changed.distinct().join(ran, ["path", "line"], "left")
-        out = out.select("path", "line", F.when(F.col("tests").isNull(), "uncovered").otherwise("covered").alias("status"), F.coalesce("tests", F.array().cast(_STRINGS)).alias("tests"))
+        out = out.select(
+            "path", "line", F.when(F.col("tests").isNull(), "uncovered").otherwise("covered").alias("status"),
+            F.coalesce("tests", F.array().cast(_STRINGS)).alias("tests"),
+        )
         return out.orderBy(F.desc("status"), F.concat_ws(":", "path", "line"))
 
     def describe(self, symbol: str, shapes: DataFrame | None = None) -> DataFrame:
@@ -286,7 +349,10 @@ class Engine:
         none = F.lit(None)
         pad = [none.cast("string").alias("detail"), none.cast("string"), none.cast("string"), "line", none.cast("int"), none.cast("string")]
         targets = materialize(roots.select("fqn").distinct(), "roots")
-        parts = [(2, "caller", self._closure(targets, True, 1)), (3, "callee", self._closure(targets, False, 1)), (4, "test", self._closure(targets, True).join(self.tests_defs.select("fqn").distinct(), "fqn", "left_semi"))]
+        parts = [
+            (2, "caller", self._closure(targets, True, 1)), (3, "callee", self._closure(targets, False, 1)),
+            (4, "test", self._closure(targets, True).join(self.tests_defs.select("fqn").distinct(), "fqn", "left_semi")),
+        ]
         for place, name, rows in parts:
             d = d.union(rows.select(F.lit(place), F.lit(name), "fqn", location(), "kind", "depth", *pad))
         return d.orderBy("o", F.when(F.col("section") == "test", F.col("depth")), "fqn").drop("o")
@@ -300,7 +366,9 @@ class Engine:
             return i.where(P.file_matches(F.col("path"), target)).orderBy("path", "offset")
         guards = self.tables["flags"].where("kind = 'main_guard'").select(F.col("path").alias("__p")).distinct()
         marked = i.join(guards, i["path"] == guards["__p"], "left")
-        return marked.where(~P.is_script_file(F.col("path"), F.col("__p").isNotNull()) & ~P.is_test_file(F.col("path"))).drop("__p").orderBy("path", "offset")
+        return marked.where(
+            ~P.is_script_file(F.col("path"), F.col("__p").isNotNull()) & ~P.is_test_file(F.col("path"))
+        ).drop("__p").orderBy("path", "offset")
 
     def input_scripts(self) -> DataFrame:
         """(path) of scripts that have inputs of their own."""
@@ -312,18 +380,26 @@ class Engine:
     def import_edges(self) -> DataFrame:
         """(importer, importer_file, target, line, col, internal, context)"""
         modules = self.files.select(import_module_name(F.col("path")).alias("module")).where("module <> ''").distinct()
-        i = self.tables["imports"].select("*", import_module_name(F.col("path")).alias("importer"), relative_module(F.col("path"), F.col("module"), F.col("level")).alias("base"))
+        i = self.tables["imports"].select(
+            "*", import_module_name(F.col("path")).alias("importer"),
+            relative_module(F.col("path"), F.col("module"), F.col("level")).alias("base"),
+        )
         sub = i.where("size(names) > 0").select("*", F.explode("names").alias("n")).withColumn("sub", F.concat_ws(".", "base", "n"))
         as_module = sub.join(modules.withColumnRenamed("module", "sub"), "sub", "left_semi")
         subs = as_module.select("importer", "path", F.col("sub").alias("target"), "line", "col", "context")
         spelled = i.select("importer", "path", F.col("base").alias("target"), "line", "col", "context").where("target <> ''")
         plain = spelled.join(subs.groupBy("path", "line", "col").agg(F.count("*").alias("k")), ["path", "line", "col"], "left")
         whole = i.select("path", "line", "col", F.size("names").alias("size"))
-        plain = plain.join(whole, ["path", "line", "col"]).where("k is null or k < size").select("importer", "path", "target", "line", "col", "context").distinct()
+        plain = plain.join(whole, ["path", "line", "col"]).where("k is null or k < size").select(
+            "importer", "path", "target", "line", "col", "context",
+        ).distinct()
         both = unique_suffix_join(plain.union(subs), "target", modules, "module", "hit")
         both = both.withColumn("target", F.coalesce("hit", "target")).drop("hit")
         flagged = prefix_semi_join(both, "target", modules, "module", "internal")
-        return materialize(flagged.select("importer", F.col("path").alias("importer_file"), "target", "line", "col", "internal", "context").distinct(), "imports")
+        return materialize(
+            flagged.select("importer", F.col("path").alias("importer_file"), "target", "line", "col", "internal", "context").distinct(),
+            "imports",
+        )
 
     def imports(self, module: str | None = None, reverse: bool = False) -> DataFrame:
         """Import edges: all, of one module, or with ``reverse`` into it (also below it)."""
@@ -334,12 +410,16 @@ class Engine:
         if not reverse:
             return e.where(fqn_names(F.col("importer"), module)).orderBy(F.concat("target", loc))
         modules = self.files.select(import_module_name(F.col("path")).alias("module")).distinct()
-        asked = unique_suffix_join(_rows(self.spark, [module], "asked"), "asked", modules, "module", "hit").select(F.coalesce("hit", "asked").alias("asked"))
+        asked = unique_suffix_join(
+            _rows(self.spark, [module], "asked"), "asked", modules, "module", "hit",
+        ).select(F.coalesce("hit", "asked").alias("asked"))
         return e.join(F.broadcast(asked), F.col("target") == F.col("asked"), "left_semi").orderBy(loc)
 
     def import_cycles(self) -> DataFrame:
         """(component, size, path) of cycles among imports that run when a module is loaded."""
-        live = self.import_edges.where("internal and context = 'top-level'").select(F.col("importer").alias("src"), F.col("target").alias("dst"))
+        live = self.import_edges.where("internal and context = 'top-level'").select(
+            F.col("importer").alias("src"), F.col("target").alias("dst"),
+        )
         modules = self.files.select(import_module_name(F.col("path")).alias("dst")).distinct()
         return cycles(live.join(modules, "dst", "left_semi").select("src", "dst").distinct())
 
@@ -351,12 +431,18 @@ class Engine:
         """
         e = self.tables["effects"]
         owned = self.resolver.owned(e.where("not import_time")).select("path", "kind", "detail", "line", "col", "import_time", "owner")
-        at_import = e.where("import_time").select("path", "kind", "detail", "line", "col", "import_time", module_name(F.col("path")).alias("owner"))
-        sites = owned.union(at_import).select("owner", F.col("kind").alias("category"), F.col("detail").alias("api"), "path", location().alias("loc"), "import_time")
+        at_import = e.where("import_time").select(
+            "path", "kind", "detail", "line", "col", "import_time", module_name(F.col("path")).alias("owner"),
+        )
+        sites = owned.union(at_import).select(
+            "owner", F.col("kind").alias("category"), F.col("detail").alias("api"), "path", location().alias("loc"), "import_time",
+        )
         reach = None
         if symbol:
             targets = materialize(self._targets(_symbol(symbol)), "roots")
-            reach = materialize(targets.union(closure(self.edges, targets.withColumnRenamed("fqn", "node")).select("node")).distinct(), "reach")
+            reach = materialize(
+                targets.union(closure(self.edges, targets.withColumnRenamed("fqn", "node")).select("node")).distinct(), "reach",
+            )
             play = self.defs.where("kind in ('function', 'class')").join(reach, "fqn", "left_semi").select("path").distinct()
             inside = sites.where("not import_time").join(reach.withColumnRenamed("fqn", "owner"), "owner", "left_semi")
             sites = inside.unionByName(sites.where("import_time").join(play, "path", "left_semi"))
@@ -366,12 +452,19 @@ class Engine:
         else:
             seen = observed.select(F.col("owner_fqn").alias("owner"), "category").where("category <> 'import'").distinct()
             hit = sites.join(seen.withColumn("__seen", F.lit(True)), ["owner", "category"], "left")
-            out = hit.withColumn("confidence", F.when(F.col("__seen"), "confirmed").when(auditable, "predicted").otherwise("unverifiable")).drop("__seen")
+            out = hit.withColumn(
+                "confidence", F.when(F.col("__seen"), "confirmed").when(auditable, "predicted").otherwise("unverifiable"),
+            ).drop("__seen")
             only = seen.join(sites.select("owner", "category").distinct(), ["owner", "category"], "left_anti")
             if reach is not None:
                 only = only.join(reach.withColumnRenamed("fqn", "owner"), "owner", "left_semi")
             none = F.lit(None).cast("string")
-            out = out.unionByName(only.select("owner", "category", none.alias("api"), none.alias("path"), none.alias("loc"), F.lit(False).alias("import_time"), F.lit("observed").alias("confidence")))
+            out = out.unionByName(
+                only.select(
+                    "owner", "category", none.alias("api"), none.alias("path"), none.alias("loc"), F.lit(False).alias("import_time"),
+                    F.lit("observed").alias("confidence"),
+                )
+            )
         rank = F.array_position(F.array(*(F.lit(c) for c in ("confirmed", "observed", "predicted", "unverifiable"))), F.col("confidence"))
         return out.dropDuplicates(["loc", "api", "owner", "category"]).drop("path").orderBy(rank, "category", "loc")
 
@@ -382,16 +475,27 @@ class Engine:
         keyed = materialize(m.withColumn("key", F.concat_ws("|", "loc", "target")), "mocks")
         found = longest_prefix_join(keyed.where("target is not null and target <> ''"), "key", "target", spell, "spelling", "prefix")
         found = found.join(self.resolver.spellings.withColumnRenamed("spelling", "prefix"), "prefix", "left")
-        found = found.withColumn("rest", F.when(F.length("target") > F.length("prefix"), F.split(F.substr("target", F.length("prefix") + 2), r"\.")).otherwise(F.array().cast(_STRINGS)))
+        found = found.withColumn(
+            "rest",
+            F.when(
+                F.length("target") > F.length("prefix"), F.split(F.substr("target", F.length("prefix") + 2), r"\."),
+            ).otherwise(F.array().cast(_STRINGS)),
+        )
         found = found.withColumn("first", F.get("rest", F.lit(0))).withColumn("second", F.get("rest", F.lit(1)))
-        names = self.resolver.bindings.where("scope = ''").select(module_name(F.col("path")).alias("module"), F.col("name").alias("first"), "kind", "target", "symbol")
-        names = names.groupBy("module", "first").agg(F.min(F.struct("kind", "target", "symbol")).alias("b")).select("module", "first", F.col("b.kind").alias("b_kind"), F.col("b.target").alias("b_target"), F.col("b.symbol").alias("symbol"))
+        names = self.resolver.bindings.where("scope = ''").select(
+            module_name(F.col("path")).alias("module"), F.col("name").alias("first"), "kind", "target", "symbol",
+        )
+        names = names.groupBy("module", "first").agg(F.min(F.struct("kind", "target", "symbol")).alias("b")).select(
+            "module", "first", F.col("b.kind").alias("b_kind"), F.col("b.target").alias("b_target"), F.col("b.symbol").alias("symbol"),
+        )
         found = found.join(names, ["module", "first"], "left").join(self.resolver.symbols, "symbol", "left")
         member = self.resolver.all_members.select(F.col("owner").alias("fqn"), F.col("name").alias("second"), F.lit(True).alias("has"))
         found = found.join(member, ["fqn", "second"], "left")
         ext = self.external_classes.select("fqn", F.lit(True).alias("outside"))
         found = found.join(ext, "fqn", "left")
-        std = stdlib_members(self.spark, found.where("b_kind in ('module', 'from') and kind is null").select("b_target", "second").distinct())
+        std = stdlib_members(
+            self.spark, found.where("b_kind in ('module', 'from') and kind is null").select("b_target", "second").distinct(),
+        )
         found = found.join(std, ["b_target", "second"], "left")
         size = F.size("rest")
         verdict = (
@@ -410,7 +514,9 @@ class Engine:
             .when(F.col("outside"), "unverifiable")
             .otherwise("drifted")
         )
-        out = found.select("target", "loc", verdict.alias("verdict")).union(keyed.where("target is null or target = ''").select("target", "loc", F.lit("dynamic")))
+        out = found.select("target", "loc", verdict.alias("verdict")).union(
+            keyed.where("target is null or target = ''").select("target", "loc", F.lit("dynamic"))
+        )
         return out.orderBy(F.concat("verdict", "loc"))
 
     # Snapshots

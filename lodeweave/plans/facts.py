@@ -92,7 +92,9 @@ class _Visitor:
     def name_at(self, node: ast.AST, name: str) -> dict:
         """Position of the name after a ``def`` or ``class`` keyword."""
         line = node.lineno
-        m = re.compile(rf"\b{re.escape(name)}\b").search(self.lines[line - 1], len(self.bytes[line - 1][: node.col_offset].decode("utf-8", "replace")) + 3)
+        m = re.compile(rf"\b{re.escape(name)}\b").search(
+            self.lines[line - 1], len(self.bytes[line - 1][: node.col_offset].decode("utf-8", "replace")) + 3,
+        )
         if m is None:
             return self.at(line, node.col_offset)
         return {"line": line, "col": m.start() + 1, "offset": self.starts[line - 1] + m.start()}
@@ -131,7 +133,10 @@ class _Visitor:
                 self.statement(child)
             elif isinstance(child, ast.expr):
                 self.expression(child)
-            elif isinstance(child, ast.ExceptHandler | ast.match_case | ast.withitem | ast.comprehension | ast.keyword | ast.arguments | ast.arg | ast.pattern):
+            elif isinstance(
+                child,
+                ast.ExceptHandler | ast.match_case | ast.withitem | ast.comprehension | ast.keyword | ast.arguments | ast.arg | ast.pattern,
+            ):
                 if isinstance(child, ast.ExceptHandler) and child.name:
                     self.bind(child.name, "local", self.at(child.lineno, child.col_offset))
                 self.children(child)
@@ -145,7 +150,10 @@ class _Visitor:
         returns = dotted(node.returns) if node.returns is not None else None
         if returns is None and node.returns is not None:
             returns = _literal(node.returns)
-        self.define(node, node.name, "function", position, signature=signature, decorators=decorators, doc=self._doc(node), end_line=node.end_lineno, returns=returns or self._returned(node))
+        self.define(
+            node, node.name, "function", position, signature=signature, decorators=decorators, doc=self._doc(node),
+            end_line=node.end_lineno, returns=returns or self._returned(node),
+        )
         self.bind(node.name, "function", position)
         self.depth, self.functions = self.depth + 1, self.functions + 1
         method = bool(self.kinds) and self.kinds[-1] == "class"
@@ -264,7 +272,10 @@ class _Visitor:
                         if _literal(item) is not None:
                             self.emit("exports", name=item.value)
             elif isinstance(target, ast.Attribute) and isinstance(target.value, ast.Name) and isinstance(node.value, ast.Call):
-                self.emit("bindings", name=f"{target.value.id}.{target.attr}", kind="attribute", container=list(self.scope), value=dotted(node.value.func), **{k: v for k, v in self.at(target.lineno, target.col_offset).items() if k != "col"})
+                self.emit(
+                    "bindings", name=f"{target.value.id}.{target.attr}", kind="attribute", container=list(self.scope),
+                    value=dotted(node.value.func), **{k: v for k, v in self.at(target.lineno, target.col_offset).items() if k != "col"},
+                )
             else:
                 self.bound(target)
         value = dotted(node.value)
@@ -282,7 +293,10 @@ class _Visitor:
     def on_AnnAssign(self, node: ast.AnnAssign) -> None:
         if isinstance(node.target, ast.Name):
             called = dotted(node.value.func) if isinstance(node.value, ast.Call) else None
-            self.bind(node.target.id, "variable", self.at(node.target.lineno, node.target.col_offset), value=self._annotation(node.annotation) or called)
+            self.bind(
+                node.target.id, "variable", self.at(node.target.lineno, node.target.col_offset),
+                value=self._annotation(node.annotation) or called,
+            )
         self.children(node)
 
     def on_For(self, node: ast.For | ast.AsyncFor) -> None:
@@ -308,14 +322,20 @@ class _Visitor:
             self.define(node, alias.asname or alias.name, "import", position)
             bound = alias.asname or alias.name.split(".")[0]
             self.bind(bound, "module", position, module=alias.name if alias.asname else bound, level=0)
-            self.emit("imports", module=alias.name, level=0, names=[], context=self.context(), line=node.lineno, col=self.at(node.lineno, node.col_offset)["col"])
+            self.emit(
+                "imports", module=alias.name, level=0, names=[], context=self.context(), line=node.lineno,
+                col=self.at(node.lineno, node.col_offset)["col"],
+            )
 
     def on_ImportFrom(self, node: ast.ImportFrom) -> None:
         for alias in node.names:
             position = self.at(alias.lineno, alias.col_offset)
             self.define(node, alias.asname or alias.name, "import", position)
             self.bind(alias.asname or alias.name, "from", position, module=node.module or "", level=node.level, value=alias.name)
-        self.emit("imports", module=node.module or "", level=node.level, names=[a.name for a in node.names], context=self.context(), line=node.lineno, col=self.at(node.lineno, node.col_offset)["col"])
+        self.emit(
+            "imports", module=node.module or "", level=node.level, names=[a.name for a in node.names], context=self.context(),
+            line=node.lineno, col=self.at(node.lineno, node.col_offset)["col"],
+        )
 
     def on_If(self, node: ast.If) -> None:
         test = node.test
@@ -333,7 +353,9 @@ class _Visitor:
 
     def on_Global(self, node: ast.Global) -> None:
         if self.functions:
-            self.emit("effects", kind="global", detail=", ".join(node.names), container=list(self.scope), import_time=False, **self._place(node))
+            self.emit(
+                "effects", kind="global", detail=", ".join(node.names), container=list(self.scope), import_time=False, **self._place(node),
+            )
 
     def _place(self, node: ast.AST) -> dict:
         return {k: v for k, v in self.at(node.lineno, node.col_offset).items() if k != "offset"}
@@ -361,7 +383,9 @@ class _Visitor:
             name = dotted(node.value)
             if name is not None and (name == "environ" or name.endswith(".environ")):
                 self.emit("inputs", kind="env", value=_literal(node.slice) or DYNAMIC, **self.at(node.lineno, node.col_offset))
-                self.emit("effects", kind="env", detail=name, container=list(self.scope), import_time=not self.functions, **self._place(node))
+                self.emit(
+                    "effects", kind="env", detail=name, container=list(self.scope), import_time=not self.functions, **self._place(node),
+                )
             self.children(node)
         elif isinstance(node, ast.Compare):
             if isinstance(node.ops[0], ast.In | ast.NotIn):
@@ -385,12 +409,18 @@ class _Visitor:
             self.children(node)
 
     def reference(self, node: ast.Name, call: bool) -> None:
-        self.emit("refs", name=node.id, is_call=call, module_scope=not self.functions, container=list(self.scope), **self.at(node.lineno, node.col_offset))
+        self.emit(
+            "refs", name=node.id, is_call=call, module_scope=not self.functions, container=list(self.scope),
+            **self.at(node.lineno, node.col_offset),
+        )
 
     def use(self, chain: list[str], node: ast.AST, call: bool, store: bool = False) -> None:
         last = self.at(node.end_lineno, node.end_col_offset)
         position = {"line": last["line"], "col": last["col"] - len(chain[-1]), "offset": last["offset"] - len(chain[-1])}
-        self.emit("uses", chain=chain, is_call=call, module_scope=not self.functions, container=list(self.scope), context="store" if store else "load", **position)
+        self.emit(
+            "uses", chain=chain, is_call=call, module_scope=not self.functions, container=list(self.scope),
+            context="store" if store else "load", **position,
+        )
 
     def call(self, node: ast.Call) -> None:
         name = dotted(node.func)
@@ -465,7 +495,9 @@ def facts(files: DataFrame) -> DataFrame:
 
     raw = files.select("path", "text").mapInArrow(run, RAW)
     category = F.coalesce("kind", effect_category(F.col("detail")))
-    return raw.withColumn("kind", F.when(F.col("fact") == "effects", category).otherwise(F.col("kind"))).where("fact <> 'effects' OR kind IS NOT NULL")
+    return raw.withColumn(
+        "kind", F.when(F.col("fact") == "effects", category).otherwise(F.col("kind")),
+    ).where("fact <> 'effects' OR kind IS NOT NULL")
 
 
 def split(raw: DataFrame) -> dict[str, DataFrame]:

@@ -16,7 +16,10 @@ from lodeweave.workspace import materialize
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", value: str = "sha") -> DataFrame:
     """(key, status): added, removed, changed or same, by a full outer join of two manifests."""
     a, b = old.select(key, F.col(value).alias("__old")), new.select(key, F.col(value).alias("__new"))
-    status = first_match([(F.col("__old").isNull(), "added"), (F.col("__new").isNull(), "removed"), (~F.col("__old").eqNullSafe(F.col("__new")), "changed")], F.lit("same"))
+    status = first_match(
+        [(F.col("__old").isNull(), "added"), (F.col("__new").isNull(), "removed"), (~F.col("__old").eqNullSafe(F.col("__new")), "changed")],
+        F.lit("same"),
+    )
     return a.join(b, key, "full").select(key, status.alias("status"))
 
 
