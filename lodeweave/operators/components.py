@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +28,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return handed.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(links: DataFrame, left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def _smallest_of_each(edges: pd.DataFrame) -> pd.DataFrame:
+    parent: dict = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(edges["a"].tolist(), edges["b"].tolist(), strict=True):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return pd.DataFrame([(n, find(n)) for n in list(parent)], columns=["node", "component"])
+
+
+def connected_components(links: DataFrame, left: str, right: str, max_rounds: int = 60, local_edges: int = 0) -> DataFrame:
     """(node, component) for every node that ``links`` mentions.
 
+    At most ``local_edges`` distinct links are handed to one task as a whole.
+
     Alternating large-star and small-star rounds; the number of rounds grows
     with the logarithm of the longest path.  Every round is written to the
     shared folder, and only one pair of sums per round reaches the driver.
@@ -48,6 +67,10 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
         .distinct(),
         "cc",
     )
+    if local_edges and edges.limit(local_edges + 1).count() <= local_edges:
+        kind = edges.schema["a"].dataType.simpleString()
+        whole = edges.select(F.lit(0).alias("whole"), "a", "b").groupBy("whole")
+        return materialize(whole.applyInPandas(_smallest_of_each, f"node {kind}, component {kind}"), "cc")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
     edges = edges.where("a <> b")
     seen = None

@@ -17,7 +17,7 @@ from lodeweave.functions.ids import def_fqn, fqn_names, import_module_name, modu
 from lodeweave.functions.rules import effect_category, event_category
 from lodeweave.operators.components import connected_components
 from lodeweave.operators.fusion import fill_header, first_by, first_match, fuse, multiset_digest
-from lodeweave.operators.graph import closure, cycles, pair_closure, reachable, reversed_edges, strong_components
+from lodeweave.operators.graph import LOCAL_EDGES, closure, cycles, pair_closure, reachable, reversed_edges, strong_components
 from lodeweave.operators.joins import longest_prefix_join, prefix_semi_join, unique_suffix_table
 from lodeweave.workspace import materialize
 
@@ -418,7 +418,7 @@ FROM o FULL JOIN n USING (doc_id)"""
 def q23_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts joined to the smallest source or largest target in either direction."""
     e = part_edges(spark, sf_dir)
-    parts = materialize(connected_components(e, "src", "dst"), "affected")
+    parts = materialize(connected_components(e, "src", "dst", local_edges=LOCAL_EDGES), "affected")
     seeds = e.agg(F.explode(F.array(F.min("src"), F.max("dst"))).alias("node"))
     hit = parts.join(seeds, "node", "left_semi").select("component").distinct()
     return parts.join(hit, "component", "left_semi").select("node")

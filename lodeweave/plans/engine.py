@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeweave.functions import predicates as P
 from lodeweave.functions.ids import fqn_names, import_module_name, leaf, location, module_name, parent, scope_fqn, scoped_by
 from lodeweave.operators.components import connected_components
-from lodeweave.operators.graph import closure, cycles, reachable, reversed_edges
+from lodeweave.operators.graph import LOCAL_EDGES, closure, cycles, reachable, reversed_edges
 from lodeweave.operators.joins import longest_prefix_join, prefix_semi_join, unique_suffix_join
 from lodeweave.plans.facts import facts, split
 from lodeweave.plans.resolve import Resolver, relative_module
@@ -525,7 +525,7 @@ class Engine:
         """(path) of files joined to ``changed`` (path) by imports in either direction."""
         modules = self.files.select(import_module_name(F.col("path")).alias("target"), F.col("path").alias("target_file"))
         links = self.import_edges.join(modules, "target").where("importer_file <> target_file").select("importer_file", "target_file")
-        parts = connected_components(links, "importer_file", "target_file")
+        parts = connected_components(links, "importer_file", "target_file", local_edges=LOCAL_EDGES)
         hit = parts.join(changed.select(F.col("path").alias("node")), "node", "left_semi").select("component").distinct()
         return parts.join(hit, "component", "left_semi").select(F.col("node").alias("path")).union(changed.select("path")).distinct()
 

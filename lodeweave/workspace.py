@@ -9,32 +9,39 @@ gets a folder of its own.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir`` if the session has one."""
+    """Folder of this application's intermediate tables, below ``spark.checkpoint.dir`` if the session names one."""
+    application = spark.sparkContext.applicationId
     named = spark.conf.get(_SETTING, None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
-        spark.conf.set(_SETTING, named)
-    return named.rstrip("/")
+        if application not in _own:
+            folder = tempfile.mkdtemp(prefix="lodeweave-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[application] = f"file://{folder}"
+        named = _own[application]
+    return f"{named.rstrip('/')}/lodeweave/{application}"
 
 
 def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of the written table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeweave/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete every intermediate table of the session's shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodeweave")
+    """Delete every intermediate table of this application."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -63,7 +63,8 @@ def test_components(spark):
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200), (None, 5)]
     both = [(a, b) for a, b in pairs if a is not None] + [(b, a) for a, b in pairs if a is not None]
     want = {a: min(bfs(both, [a])) for a, _ in both}
-    assert {r["node"]: r["component"] for r in connected_components(table(spark, pairs), "src", "dst").collect()} == want
+    for bound in (0, 1000):
+        assert {r["node"]: r["component"] for r in connected_components(table(spark, pairs), "src", "dst", local_edges=bound).collect()} == want
     assert connected_components(table(spark, []), "src", "dst").collect() == []
 
 
