@@ -27,7 +27,7 @@ from lodeweave.llm.labelled_pages import labelled_pages
 PAGES, EPOCHS, RATE, PENALTY, SEED = 600, 6, 0.5, 1e-4, 3
 BUCKETS = 1 << 14
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<![^>]*>|<\?[^>]*>", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<![^>]*>|<\?[^>]*>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
 #: Elements whose content is not text of the page.
@@ -89,9 +89,10 @@ def leaf_blocks(html: str) -> list[Block]:
             if links:
                 linked += len(part)
 
-    at, size = 0, len(html)
+    at, size, last = 0, len(html), html.rfind(">")
     while at < size:
-        m = _MARKUP.search(html, at)
+        # Beyond the last ">" only a comment can begin, and it would be the last one.
+        m = _MARKUP.search(html, at) if at <= last or "<!--" in html[at:] else None
         if m is None:
             text_run(html[at:])
             break

@@ -40,7 +40,8 @@ EPOCHS, RATE, SEED = 4, 0.5, 7
 LONG_WORD = 40
 #: Stands for a pair of equal neighbouring words; weighs as much as a word's n-grams do.
 SAME, SAME_WEIGHT = "\x00", 8
-_CACHED_WORDS = 300_000
+#: Distinct words a worker, and the driver in training, keep at a time.
+_CACHED_WORDS, _TRAINING_WORDS = 300_000, 60_000
 _PIECE = 1 << 20
 
 
@@ -55,10 +56,10 @@ def features(word: str, buckets: int = BUCKETS) -> list[int]:
     found = [crc32(marked.encode("utf-8", "replace")) % buckets]
     if len(marked) > LONG_WORD:
         marked = marked[: LONG_WORD // 2] + marked[-LONG_WORD // 2 :]
-    for n in GRAMS:
-        for i in range(len(marked) - n + 1):
-            found.append(crc32(marked[i : i + n].encode("utf-8", "replace")) % buckets)
-    return found
+    data = marked.encode("utf-8", "replace")
+    if len(data) == len(marked):  # one byte a character: slices need no encoding of their own
+        return found + [crc32(data[i : i + n]) % buckets for n in GRAMS for i in range(len(data) - n + 1)]
+    return found + [crc32(marked[i : i + n].encode("utf-8", "replace")) % buckets for n in GRAMS for i in range(len(marked) - n + 1)]
 
 
 def word_counts(text: str | None) -> Iterator[tuple[str, int]]:
@@ -84,14 +85,17 @@ class Model:
     margin: np.ndarray
     bias: float
 
+    def __post_init__(self) -> None:
+        self._margin = self.margin.tolist()  # single items of a list are read faster than those of an array
+
     def score(self, text: str | None, cache: dict[str, tuple[float, int]] | None = None) -> float:
         cache = {} if cache is None else cache
-        total, count, margin = 0.0, 0, self.margin
+        total, count, margin = 0.0, 0, self._margin
         for word, n in word_counts(text):
             known = cache.get(word)
             if known is None:
                 ids = features(word, len(margin))
-                known = (float(margin[ids].sum()), len(ids))
+                known = (sum(map(margin.__getitem__, ids)), len(ids))
                 if len(cache) >= _CACHED_WORDS:
                     cache.clear()
                 cache[word] = known
@@ -122,7 +126,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
             ids = cache.get(word)
             if ids is None:
                 ids = features(word)
-                if len(cache) < _CACHED_WORDS:
+                if len(cache) < _TRAINING_WORDS:
                     cache[word] = ids
             each += ids
             counts += [n] * len(ids)

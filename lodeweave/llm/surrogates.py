@@ -37,9 +37,9 @@ _SYLLABLES = {"latin": "bar den fel gor hal kim lan mer nor pol rin sat tur vel
 _GIVEN_ANY = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE_ANY = "|".join(t.replace(".", "\\.") for titles in TITLES.values() for t in titles)
 _SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
-#: Type to pattern, in the order in which they are tried.
+#: Type to pattern, in the order in which they are tried.  Repeated groups are bounded, since Java recurses over them.
 PATTERNS = {
-    "email": r"(?<![\w.+-])[\w][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![\w.+-])[\w][\w.+-]*@(?:[A-Za-z0-9-]+\.){1,8}[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])(?=[0-9a-fA-F]*[0-9])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,64}(?![0-9A-Za-z])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",

@@ -122,7 +122,7 @@ PAGE = (
 def test_main_text(field):
     assert htmltext.main_text(PAGE, field) == "Head & line First bold text here. More. Second one, <b> it is."
     assert [b.text for b in htmltext.leaf_blocks("<p>a<span>b</span> c<div>d</div>e")] == ["ab c", "d", "e"]
-    for odd in (None, "", "   ", "<", "<p", "<!--", "</div></div>", "<script>x", "&#0;", "<p>" * 2000, "<a " + "x" * 10_000):
+    for odd in (None, "", "   ", "<", "<p", "<!--", "</div></div>", "<script>x", "&#0;", "<p>" * 2000, "<a " + "x" * 10_000, "<a " * 100_000, '<a "' * 50_001 + ">", "<!--" * 50_000, "&" * 100_000):
         assert isinstance(htmltext.main_text(odd, field), str)
 
 

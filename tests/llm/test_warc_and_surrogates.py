@@ -134,6 +134,12 @@ def test_clashes_are_drawn_again(spark, monkeypatch):
         surrogates.surrogate_table(table, max_draws=2)
 
 
+def test_long_runs_of_labels(spark):
+    text = "x@" + "a." * 50_000 + " " + "1" * 50_000 + " " + "-1" * 20_000
+    (row,) = surrogates.replace_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert len(row["text"]) >= len(text) - 100
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert surrogates.replace_personal_data(docs).collect() == []
