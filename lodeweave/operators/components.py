@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.workspace import materialize
+from lodeweave.workspace import materialize, ship
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -69,6 +69,7 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
     )
     if local_edges and edges.limit(local_edges + 1).count() <= local_edges:
         kind = edges.schema["a"].dataType.simpleString()
+        ship(edges.sparkSession)
         whole = edges.select(F.lit(0).alias("whole"), "a", "b").groupBy("whole")
         return materialize(whole.applyInPandas(_smallest_of_each, f"node {kind}, component {kind}"), "cc")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.workspace import materialize
+from lodeweave.workspace import materialize, ship
 
 #: Edges up to which a graph is walked in one task (about 100 bytes each there).
 LOCAL_EDGES = 500_000
@@ -54,6 +54,7 @@ def _walk(edges: pd.DataFrame, roots: pd.DataFrame, max_depth: int | None) -> pd
 
 def _closure_in_one_task(edges: DataFrame, roots: DataFrame, max_depth: int | None) -> DataFrame:
     kind = edges.schema["dst"].dataType.simpleString()
+    ship(edges.sparkSession)
     whole = F.lit(0).alias("whole")
     e = edges.select(whole, "src", "dst").where("src is not null and dst is not null").groupBy("whole")
     r = roots.select(whole, F.col("node").cast(edges.schema["src"].dataType)).where("node is not null").groupBy("whole")
@@ -194,6 +195,7 @@ def _tarjan(edges: pd.DataFrame) -> pd.DataFrame:
 
 def _components_in_one_task(edges: DataFrame) -> DataFrame:
     kind = edges.schema["src"].dataType.simpleString()
+    ship(edges.sparkSession)
     whole = edges.select(F.lit(0).alias("whole"), "src", "dst").groupBy("whole")
     return materialize(whole.applyInPandas(_tarjan, f"node {kind}, component {kind}"), "scc")
 
@@ -273,6 +275,8 @@ def cycles(edges: DataFrame) -> DataFrame:
         .select(F.col("c").alias("component"), "src", "dst")
     )
 
+    ship(edges.sparkSession)
+
     def one(group: pd.DataFrame) -> pd.DataFrame:
         names = set(group["src"]) | set(group["dst"])
         return pd.DataFrame({"component": [group["component"].iloc[0]], "size": [len(names)], "path": [_cycle_of(group)]})

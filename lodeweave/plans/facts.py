@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions.rules import effect_category
 from lodeweave.schema import DYNAMIC, RAW, TABLES
+from lodeweave.workspace import ship
 
 _ENV_CALLS = {"getenv", "get_env", "get_var", "getvar", "config", "env"}
 _ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
@@ -493,6 +494,7 @@ def facts(files: DataFrame) -> DataFrame:
                     held = []
         yield pa.RecordBatch.from_pylist(held, schema=_FIELDS)
 
+    ship(files.sparkSession)
     raw = files.select("path", "text").mapInArrow(run, RAW)
     category = F.coalesce("kind", effect_category(F.col("detail")))
     return raw.withColumn(

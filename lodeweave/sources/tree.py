@@ -19,6 +19,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from lodeweave.workspace import ship
+
 _SCHEMA = "path string, size bigint, mtime timestamp, sha string, text string"
 
 
@@ -135,6 +137,7 @@ class PythonTree(DataSource):
 
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, mtime, sha, text) of the Python files under ``root``."""
+    ship(spark)
     spark.dataSource.register(PythonTree)
     return spark.read.format("python-tree").load(root)
 

@@ -1,4 +1,4 @@
-"""Tables that cut lineage, kept where every executor can read them.
+"""What a job needs of the cluster: tables that cut lineage, and this package on the workers.
 
 A job that reads one intermediate result several times writes it once as
 Parquet and reads it back, so a lost executor costs a re-read and not a
@@ -10,14 +10,38 @@ gets a folder of its own.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it installed; once per application.
+
+    Every function that gives Spark Python code to run calls this first.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="lodeweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "lodeweave_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(at, name)
+                out.write(path, os.path.join(os.path.basename(home), os.path.relpath(path, home)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(application)
 
 
 def shared_dir(spark: SparkSession) -> str:
