@@ -15,6 +15,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from lodeweave.workspace import ship
+
 #: UTF-8 bytes of text per block; a longer document is a block of its own.
 BLOCK_BYTES = 3 << 20
 BLOCK_ROWS = 20_000
@@ -75,4 +77,5 @@ def in_blocks(
         if ids:
             yield from close()
 
+    ship(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 
 from lodeweave.llm.blocks import in_blocks, squeeze, unsqueeze
 from lodeweave.llm.common import Batcher
+from lodeweave.workspace import ship
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: UTF-8 bytes of text per block, and hash ranges per partition of the input.
@@ -213,4 +214,5 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids_col: s
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*names, out_col])
 
+    ship(encoded.sparkSession)
     return encoded.mapInArrow(run, f"{fields}, `{out_col}` binary")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeweave.workspace import ship
+
 #: White space that separates words, as a Java and Python pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -17,7 +19,8 @@ BATCH_BYTES = 16 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound what one Arrow batch may hold; long texts make 10,000 rows too many."""
+    """Bound what one Arrow batch may hold; long texts make 10,000 rows too many.  Ship the package to the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodeweave.llm.labelled_pages import labelled_pages
+from lodeweave.workspace import ship
 
 #: Labelled pages the field is trained on, passes over them, step and penalty.
 PAGES, EPOCHS, RATE, PENALTY, SEED = 600, 6, 0.5, 1e-4, 3
@@ -281,4 +282,5 @@ def extract_text(pages: DataFrame, field: Field | None = None, id_col: str = "pa
             texts = [main_text(value.as_py(), own) for value in batch.column(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, "text"])
 
+    ship(pages.sparkSession)
     return source.mapInArrow(run, f"{fields}, text string" if fields else "text string")

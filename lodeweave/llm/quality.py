@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.workspace import ship
+
 
 #: A score from which a document counts as good.
 THRESHOLD = 0.7
@@ -224,6 +226,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             kept = [batch.column(i) for i in kept_at]
             yield pa.RecordBatch.from_arrays([*kept, scores], names=[*names, "score"])
 
+    ship(spark)
     return source.mapInArrow(run, f"{fields}, score double")
 
 

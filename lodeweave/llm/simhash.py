@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.operators.components import connected_components
-from lodeweave.workspace import materialize
+from lodeweave.workspace import materialize, ship
 
 BITS = 64
 SHINGLE = 3
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(texts[i].as_py()) for i in range(len(texts))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[id_col, "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 

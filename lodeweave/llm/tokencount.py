@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodeweave.workspace import ship
+
 PIECES = "piece_bpe_32k.model"
 OFFSET = 2.7
 #: Marks the begin of a word.
@@ -174,4 +176,5 @@ def token_counts(docs: DataFrame, scores: dict[str, float] | None = None, id_col
                 tokens.append(sum(n * counts.of(word) for word, n in here))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[id_col, "n_words", "n_tokens"])
 
+    ship(docs.sparkSession)
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_tokens bigint")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeweave.llm.common import Batcher
-from lodeweave.workspace import materialize
+from lodeweave.workspace import materialize, ship
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT_BYTES = 0
@@ -145,6 +145,7 @@ def write_archives(
         if held:
             yield archive()
 
+    ship(pages.sparkSession)
     return rows.mapInArrow(run, "path string, content binary")
 
 
@@ -251,6 +252,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
         row = _finished(key[0].as_py(), "response" if first["kind"] == "continuation" else first["kind"], first["uri"], first["digest"], first["refers"], block, whole)
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _READ_FIELDS, strict=True)], schema=_READ_FIELDS)
 
+    ship(archives.sparkSession)
     parts = archives.select("content").mapInArrow(parse, _PART)
     return parts.where("number = 0").mapInArrow(single, _READ).union(parts.where("number > 0").groupBy("origin").applyInArrow(join, _READ))
 
