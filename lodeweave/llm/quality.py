@@ -34,7 +34,7 @@ THRESHOLD = 0.7
 #: Labelled rows whose crc32(id as text) mod ``FOLDS`` is ``HELD_OUT`` are never learned from.
 FOLDS, HELD_OUT = 4, 2
 #: Bounds of the training sample: rows, and characters of their texts in all.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 24_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 3000, 12_000_000
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 12, (3, 4, 5)
 EPOCHS, RATE, SEED = 4, 0.5, 7
