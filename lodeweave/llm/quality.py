@@ -38,8 +38,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 3000, 12_000_000
 
 BUCKETS, WIDTH, GRAMS = 1 << 16, 12, (3, 4, 5)
 EPOCHS, RATE, SEED = 4, 0.5, 7
-#: Words longer than this give n-grams of their ends only; the word itself stays a feature.
-LONG_WORD = 40
+#: Words longer than this are not cached; n-grams are taken from pieces of so many characters.
+LONG_WORD, WORD_PIECE = 40, 4096
 #: Stands for a pair of equal neighbouring words; weighs as much as a word's n-grams do.
 SAME, SAME_WEIGHT = "\x00", 8
 #: Distinct words a worker, and the driver in training, keep at a time.
@@ -47,21 +47,32 @@ _CACHED_WORDS, _TRAINING_WORDS = 300_000, 60_000
 _PIECE = 1 << 20
 
 
-def features(word: str, buckets: int = BUCKETS) -> list[int]:
-    """Rows of a word: the word itself and its character n-grams with end marks.
+def feature_pieces(word: str, buckets: int = BUCKETS) -> Iterator[list[int]]:
+    """Rows of a word: the word itself and all its character n-grams with end marks, a bounded number at a time.
 
     Case and symbols are kept: they are what tells shouting and junk from prose.
     """
-    marked = f"<{word}>"
     if word == SAME:
-        return [crc32(b"same pair") % buckets] * SAME_WEIGHT
-    found = [crc32(marked.encode("utf-8", "replace")) % buckets]
-    if len(marked) > LONG_WORD:
-        marked = marked[: LONG_WORD // 2] + marked[-LONG_WORD // 2 :]
-    data = marked.encode("utf-8", "replace")
-    if len(data) == len(marked):  # one byte a character: slices need no encoding of their own
-        return found + [crc32(data[i : i + n]) % buckets for n in GRAMS for i in range(len(data) - n + 1)]
-    return found + [crc32(marked[i : i + n].encode("utf-8", "replace")) % buckets for n in GRAMS for i in range(len(marked) - n + 1)]
+        yield [crc32(b"same pair") % buckets] * SAME_WEIGHT
+        return
+    marked, whole, overlap = f"<{word}>", 0, max(GRAMS) - 1
+    for at in range(0, len(marked), WORD_PIECE):
+        part = marked[at : at + WORD_PIECE + overlap]  # an n-gram belongs to the piece in which it begins
+        data = part.encode("utf-8", "replace")
+        if len(data) == len(part):  # one byte a character: slices need no encoding of their own
+            whole = crc32(data[:WORD_PIECE], whole)
+            found = [crc32(data[i : i + n]) % buckets for n in GRAMS for i in range(min(WORD_PIECE, len(data) - n + 1))]
+        else:
+            whole = crc32(part[:WORD_PIECE].encode("utf-8", "replace"), whole)
+            found = [crc32(part[i : i + n].encode("utf-8", "replace")) % buckets for n in GRAMS for i in range(min(WORD_PIECE, len(part) - n + 1))]
+        if found:
+            yield found
+    yield [whole % buckets]
+
+
+def features(word: str, buckets: int = BUCKETS) -> list[int]:
+    """All rows of a word."""
+    return [i for piece in feature_pieces(word, buckets) for i in piece]
 
 
 def word_counts(text: str | None) -> Iterator[tuple[str, int]]:
@@ -96,17 +107,46 @@ class Model:
         for word, n in word_counts(text):
             known = cache.get(word)
             if known is None:
-                ids = features(word, len(margin))
-                known = (sum(map(margin.__getitem__, ids)), len(ids))
-                if len(cache) >= _CACHED_WORDS:
-                    cache.clear()
-                cache[word] = known
+                known = (0.0, 0)
+                for ids in feature_pieces(word, len(margin)):
+                    known = (known[0] + sum(map(margin.__getitem__, ids)), known[1] + len(ids))
+                if len(word) <= LONG_WORD:
+                    if len(cache) >= _CACHED_WORDS:
+                        cache.clear()
+                    cache[word] = known
             total += n * known[0]
             count += n * known[1]
         z = self.bias + (total / count if count else 0.0)
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def bag(text: str | None, cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all features of a text and the share of each."""
+    total, each, counts = None, [], []
+
+    def flush() -> np.ndarray:
+        part = np.bincount(np.array(each, np.int32), counts, BUCKETS)
+        each.clear()
+        counts.clear()
+        return part if total is None else total + part
+
+    for word, n in word_counts(text):
+        ids = cache.get(word)
+        if ids is None and len(word) <= LONG_WORD:
+            ids = features(word)
+            if len(cache) < _TRAINING_WORDS:
+                cache[word] = ids
+        for piece in feature_pieces(word) if ids is None else (ids,):
+            each += piece
+            counts += [n] * len(piece)
+            if len(each) >= _PIECE:
+                total = flush()
+    total = flush()
+    rows = np.flatnonzero(total).astype(np.int32)
+    part = total[rows].astype(np.float32)
+    return rows, part / max(1.0, float(part.sum()))
+
+
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Model:
     """Learn vectors and softmax weights; labels are 0 and 1.
 
@@ -121,20 +161,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, rate: float
     weights = rng.normal(0, 0.1, (2, WIDTH)).astype(np.float32)
     bias = np.array([math.log(1 - share), math.log(share)], np.float32)  # what a text without words gets
     cache: dict[str, list[int]] = {}
-    bags = []
-    for text in texts:
-        each, counts = [], []
-        for word, n in word_counts(text):
-            ids = cache.get(word)
-            if ids is None:
-                ids = features(word)
-                if len(cache) < _TRAINING_WORDS:
-                    cache[word] = ids
-            each += ids
-            counts += [n] * len(ids)
-        rows, place = np.unique(np.array(each, np.int32), return_inverse=True)
-        part = np.bincount(place, counts, len(rows)).astype(np.float32)
-        bags.append((rows, part / max(1.0, float(part.sum()))))
+    bags = [bag(text, cache) for text in texts]
     cache.clear()
     of_label = np.bincount(labels, minlength=2)
     balance = len(labels) / (2.0 * of_label)

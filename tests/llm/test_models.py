@@ -83,6 +83,23 @@ def test_pieces_of_a_long_text_count_like_the_whole(monkeypatch):
     assert parts == whole
 
 
+def test_middle_of_long_words_is_read(monkeypatch):
+    ends = "文" * 60
+    clean, junk = ends + "良" * 5000 + ends, ends + "×" * 5000 + ends
+    model = quality.train([clean[:4000], junk[:4000]] * 20, [1, 0] * 20)
+    assert model.score(clean) > 0.7 > 0.3 > model.score(junk)
+    word = "ab文c" * 50
+    whole = sorted(quality.features(word))
+    assert len(whole) == 1 + sum(len(word) + 2 - n + 1 for n in quality.GRAMS)
+    rows, part = quality.bag(word, {})
+    monkeypatch.setattr(quality, "WORD_PIECE", 7)
+    monkeypatch.setattr(quality, "_PIECE", 50)
+    cache = {}
+    assert sorted(quality.features(word)) == whole and model.score(word, cache) and not cache
+    again = quality.bag(word, {})
+    assert (again[0] == rows).all() and (again[1] == part).all()
+
+
 @pytest.fixture(scope="module")
 def field():
     return htmltext.default_field()
