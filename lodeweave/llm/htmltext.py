@@ -31,12 +31,18 @@ BUCKETS = 1 << 14
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<![^>]*>|<\?[^>]*>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PARTS = re.compile(r"[a-z0-9]+")
-#: Elements whose content is not text of the page.
-_RAW = frozenset("script style noscript template title textarea select option button iframe svg math object canvas audio video".split())
+#: Elements whose content is no markup: it ends at their end tag only.
+_RAW = frozenset("script style textarea title".split())
+#: Further elements whose content is not text of the page.
+_NO_TEXT = frozenset("noscript template textarea title select datalist option button iframe svg object canvas audio video annotation annotation-xml".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Those of them that stay within the block around them: a formula's source, which is not shown.
+_NOTES = frozenset({"annotation", "annotation-xml"})
 #: Elements that stay within the block around them.
 _INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr "
+    "munder munderover none semantics".split()
 )
 #: Open elements that a start tag of the key closes.
 _CLOSES = {
@@ -45,6 +51,8 @@ _CLOSES = {
 _ENDS_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+#: Start tags that close an element of ``_NO_TEXT`` whose own end tag is missing.
+_BLOCKS = _ENDS_P | frozenset("body dd dt li tbody td tfoot th thead tr".split())
 
 
 @dataclass
@@ -61,15 +69,61 @@ def _names(attributes: str) -> str:
     return " ".join(v.strip("\"'").lower() for _, v in _NAMED.findall(attributes)) if "=" in attributes else ""
 
 
+def _tokens(html: str) -> list[tuple[str, bool, str, str]]:
+    """(text before, is an end tag, tag, attributes) of each tag, with an empty tag at the end of the page."""
+    out, text, endless = [], [], set()
+    at, size, last = 0, len(html), html.rfind(">")
+    while at < size:
+        # Beyond the last ">" only a comment can begin, and it would be the last one.
+        m = _MARKUP.search(html, at) if at <= last or "<!--" in html[at:] else None
+        if m is None:
+            text.append(html[at:])
+            break
+        text.append(html[at : m.start()])
+        at = m.end()
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        out.append(("".join(text), bool(m[1]), tag, m[3]))
+        text.clear()
+        if tag in _RAW and not m[1] and not m[3].rstrip().endswith("/"):
+            end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            if end:
+                at = end.end()
+                out.append(("", True, tag, ""))
+            elif tag in ("script", "style"):
+                at = size
+            else:
+                endless.add(tag)
+    out.append(("".join(text), False, "", ""))
+    return out
+
+
+def _without_end(tokens: list[tuple[str, bool, str, str]]) -> set[int]:
+    """Places of the start tags of ``_NO_TEXT`` that no end tag belongs to."""
+    open_: dict[str, list[int]] = {tag: [] for tag in _NO_TEXT}
+    for k, (_, ends, tag, attributes) in enumerate(tokens):
+        if tag in open_:
+            if not ends:
+                if not attributes.rstrip().endswith("/"):
+                    open_[tag].append(k)
+            elif open_[tag]:
+                open_[tag].pop()
+    return {k for places in open_.values() for k in places}
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """Leaf blocks of a page in order; broken markup closes what is open.
 
     Character references are decoded after the markup is cut, so an escaped
     ``<`` is text.  White space inside a block is one space, ends trimmed;
-    blocks without text are not returned.
+    blocks without text are not returned.  What is no text of the page ends
+    with its element or an element around it; without an end tag of its own
+    also where the next block begins.
     """
     found: list[Block] = []
     stack: list[tuple[str, str]] = []
+    hidden: list[tuple[int, bool]] = []  # place on the stack of each element of _NO_TEXT, and whether its end tag is missing
     runs: list[str] = []
     links, linked, inline = 0, 0, set()
 
@@ -85,58 +139,57 @@ def leaf_blocks(html: str) -> list[Block]:
 
     def text_run(part: str) -> None:
         nonlocal linked
-        if part:
+        if part and not hidden:
             runs.append(part)
             if links:
                 linked += len(part)
 
-    at, size, last = 0, len(html), html.rfind(">")
-    while at < size:
-        # Beyond the last ">" only a comment can begin, and it would be the last one.
-        m = _MARKUP.search(html, at) if at <= last or "<!--" in html[at:] else None
-        if m is None:
-            text_run(html[at:])
-            break
-        text_run(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+    tokens = _tokens(html)
+    endless = _without_end(tokens)
+    for k, (before, ends, tag, attributes) in enumerate(tokens):
+        text_run(before)
+        if not tag or tag in ("script", "style"):
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if ends:
             if tag in _INLINE:
                 if tag == "a" and links:
                     links -= 1
                 continue
-            close()
+            if tag not in _NOTES:
+                close()
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
-            links = 0
-            continue
-        if tag in _RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else size
-            if tag in ("script", "style"):
-                continue
-            close()
+            while hidden and hidden[-1][0] >= len(stack):
+                hidden.pop()
+            if tag not in _NO_TEXT:
+                links = 0
             continue
         if tag == "br":
             text_run("\n")
             continue
         if tag in _INLINE:
-            inline.add(tag)
-            links += tag == "a"
+            if not hidden:
+                inline.add(tag)
+                links += tag == "a"
             continue
-        close()
+        if tag not in _NOTES:
+            close()
+        if tag in _BLOCKS:
+            while hidden and hidden[-1][1]:
+                del stack[hidden.pop()[0] :]
         if tag in _CLOSES:
             while stack and stack[-1][0] in _CLOSES[tag]:
                 stack.pop()
         if tag in _ENDS_P:
             while stack and stack[-1][0] == "p":
                 stack.pop()
-        if tag not in _VOID and not m[3].rstrip().endswith("/"):
-            stack.append((tag, _names(m[3])))
+        while hidden and hidden[-1][0] >= len(stack):
+            hidden.pop()
+        if tag not in _VOID and not attributes.rstrip().endswith("/"):
+            if tag in _NO_TEXT:
+                hidden.append((len(stack), k in endless))
+            stack.append((tag, _names(attributes)))
     close()
     return found
 

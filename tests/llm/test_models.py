@@ -143,6 +143,20 @@ def test_main_text(field):
         assert isinstance(htmltext.main_text(odd, field), str)
 
 
+@pytest.mark.parametrize("before", [
+    "<datalist><option value=a>A<option value=b>B</datalist>", "<button>Menu", "<div><select><option>A<option>B</div>", "<select><option>A", "<textarea>note", "<video>old <source src=v>",
+    "<canvas>none", "<svg><text>label</text>", "<object>none<button>Menu", "<audio>none", "<button><div>Menu</div></button>", "<video>old<article></article></video>", "<template><p>later</template>",
+])
+def test_elements_without_end_hide_no_later_text(before):
+    page = f"<body><p>One.</p>{before}<article><p>Main text.</p></article><video>later</video></body>"
+    assert [b.text for b in htmltext.leaf_blocks(page)] == ["One.", "Main text."]
+
+
+def test_formulas_are_text():
+    assert [b.text for b in htmltext.leaf_blocks("<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>a=1</annotation></math> holds.</p>")] == ["So a=1 holds."]
+    assert [b.text for b in htmltext.leaf_blocks("<textarea>" * 50_000 + "<p>x")] == ["x"]
+
+
 def test_extract_text(field, spark):
     prepare(spark)
     rows = [(1, "u", PAGE, "old"), (1, "u", PAGE, "old"), (2, None, None, None), (None, "v", "", "x"), (3, "w", "<p>" + "word " * 100_000, None)]
