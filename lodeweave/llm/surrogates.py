@@ -7,7 +7,9 @@
    its spelling.  A name keeps gender and script, a number its grouping,
    leading digit, valid ranges and check digit, an address its shape.
 3. Replacements are checked: one that is another entity, or that two entities
-   share, is drawn again for all but the first of them, until none is left.
+   share, is drawn again for all but the first of them; addresses left after
+   MAX_DRAWS rounds get unused values of their space, or of a wider one, by
+   rank.
 4. The texts are put together again from what lies between the finds.
 
 Only DataFrame expressions are used.
@@ -15,7 +17,7 @@ Only DataFrame expressions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.workspace import materialize
@@ -34,6 +36,9 @@ GIVEN = {
 TITLES = {"m": ["Mr.", "Herr", "Señor", "Monsieur", "Sir"], "f": ["Mrs.", "Ms.", "Frau", "Señora", "Madame"]}
 _SYLLABLES = {"latin": "bar den fel gor hal kim lan mer nor pol rin sat tur vel wes zan".split(), "cyrillic": "бар дев гор лан мир нов пол рад сав тур вел зан кир жук лом рог".split()}
 
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя"
+_PRIVATE = r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01]))\."
+
 _GIVEN_ANY = "|".join(n for names in GIVEN.values() for n in names)
 _TITLE_ANY = "|".join(t.replace(".", "\\.") for titles in TITLES.values() for t in titles)
 _SURNAME = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
@@ -134,6 +139,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, x: a + x) % 10
 
 
+def _surrogate_domain(domain: Column, key: str) -> Column:
+    """The one replacement of a domain; its last label stays."""
+    site = F.regexp_replace(domain, r"\.[^.]+$", "")
+    stream = F.concat(*(F.sha2(F.concat_ws("\x1e", F.lit(key), F.lit("domain"), domain, F.lit(str(i))), 256) for i in range(4)))
+    return F.concat(_same_shape(site, stream), F.lit("."), F.regexp_extract(domain, r"[^.]+$", 0))
+
+
 def surrogate(kind: Column, entity: Column, gender: Column, draw: Column, key: str) -> Column:
     """The ``draw``-th replacement of an entity, in canonical form."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, entity, draw.cast("string"))
@@ -151,14 +163,10 @@ def surrogate(kind: Column, entity: Column, gender: Column, draw: Column, key: s
     octet = lambda i: (_draw(stream, i) % 254 + 1).cast("string")
     first = F.split_part(entity, F.lit("."), F.lit(1))
     second = F.split_part(entity, F.lit("."), F.lit(2))
-    private = entity.rlike(r"^(?:192\.168|172\.(?:1[6-9]|2\d|3[01]))\.")
+    private = entity.rlike(_PRIVATE)
     ip = F.concat_ws(".", F.when((first == "10") | private, first).otherwise(octet(0)), F.when(private, second).otherwise(octet(1)), octet(2), octet(3))
     domain = F.split_part(entity, F.lit("@"), F.lit(2))
-    site = F.regexp_replace(domain, r"\.[^.]+$", "")
-    site_stream = F.concat(*(F.sha2(F.concat_ws("\x1e", F.lit(key), F.lit("domain"), domain, F.lit(str(i))), 256) for i in range(4)))
-    email = F.concat(
-        _same_shape(F.split_part(entity, F.lit("@"), F.lit(1)), stream), F.lit("@"), _same_shape(site, site_stream), F.lit("."), F.regexp_extract(domain, r"[^.]+$", 0)
-    )
+    email = F.concat(_same_shape(F.split_part(entity, F.lit("@"), F.lit(1)), stream), F.lit("@"), _surrogate_domain(domain, key))
     names = F.lit(None).cast("string")
     for script, syllables in _SYLLABLES.items():
         long = F.concat_ws("", *(_pick(syllables, _draw(stream, 4 + i)) for i in range(3)), F.array_join(F.transform(F.sequence(F.lit(0), draw), lambda i: F.when(i > 0, _pick(syllables, _draw(stream, i + 8))).otherwise(F.lit(""))), ""))
@@ -194,16 +202,86 @@ def _in_format(kind: Column, surface: Column, replacement: Column) -> Column:
     return F.when(kind.isin("card", "ssn", "phone"), filled).when(kind == "name", F.concat(title, replacement)).otherwise(cased)
 
 
-def surrogate_table(entities: DataFrame, key: str = KEY, max_draws: int = MAX_DRAWS) -> DataFrame:
+def _space(kind: Column, entity: Column) -> Column:
+    """Names the space of an e-mail or IP address, the values ``_numbered`` counts; null for other kinds, whose spaces are not small."""
+    local, domain = F.split_part(entity, F.lit("@"), F.lit(1)), F.split_part(entity, F.lit("@"), F.lit(2))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(local, "[а-я]", "а"), "[a-z]", "a"), "[0-9]", "0")
+    first = F.split_part(entity, F.lit("."), F.lit(1))
+    ip = F.when(entity.rlike(_PRIVATE), F.concat_ws(".", first, F.split_part(entity, F.lit("."), F.lit(2)))).when(first == "10", first).otherwise(F.lit("any"))
+    return F.when(kind == "email", F.concat_ws("@", shape, domain)).when(kind == "ip", ip)
+
+
+def _numbered(kind: Column, entity: Column, n: Column, key: str) -> Column:
+    """The ``n``-th value of the space of an entity; those beyond the space are longer local parts, or addresses of 10/8 and then of any range."""
+    over = lambda a, b: F.floor(a / b).cast("bigint")
+    letter = lambda letters, i: F.substr(F.lit(letters), (i % len(letters) + 1).cast("int"), F.lit(1))
+
+    def fill(acc: Column, c: Column) -> Column:
+        at = acc["rest"]
+        is_digit, is_latin, is_cyrillic = c.rlike("[0-9]"), c.rlike("[a-z]"), c.rlike("[а-я]")
+        new = F.when(is_digit, (at % 10).cast("string")).when(is_latin, letter(_LATIN, at)).when(is_cyrillic, letter(_CYRILLIC, at)).otherwise(c)
+        rest = F.when(is_digit, over(at, 10)).when(is_latin, over(at, 26)).when(is_cyrillic, over(at, 32)).otherwise(at)
+        return F.struct(F.concat(acc["out"], new).alias("out"), rest.alias("rest"))
+
+    n = n.cast("bigint")
+    local = F.aggregate(F.split(F.split_part(entity, F.lit("@"), F.lit(1)), ""), F.struct(F.lit("").alias("out"), n.alias("rest")), fill)
+    longer = F.when(local["rest"] > 0, F.translate(F.conv(local["rest"].cast("string"), 10, 26), "0123456789ABCDEFGHIJKLMNOP", _LATIN)).otherwise(F.lit(""))
+    email = F.concat(local["out"], longer, F.lit("@"), _surrogate_domain(F.split_part(entity, F.lit("@"), F.lit(2)), key))
+
+    def octets(m: Column, count: int) -> list[Column]:
+        return [(over(m, 254 ** (count - 1 - i)) % 254 + 1).cast("string") for i in range(count)]
+
+    first, second = F.split_part(entity, F.lit("."), F.lit(1)), F.split_part(entity, F.lit("."), F.lit(2))
+    private = entity.rlike(_PRIVATE)
+    m = F.when(private, n - 254**2).otherwise(n)  # at or beyond 0: a number in 10/8
+    beyond = F.when(private | (first == "10"), m - 254**3).otherwise(n)
+    ip = (
+        F.when(private & (m < 0), F.concat_ws(".", first, second, *octets(n, 2)))
+        .when(beyond < 0, F.concat_ws(".", F.lit("10"), *octets(m, 3)))
+        .when(beyond < 254**4, F.concat_ws(".", *octets(beyond, 4)))
+    )
+    return F.when(kind == "email", email).when(kind == "ip", ip)
+
+
+def _assign_rest(left: DataFrame, real: DataFrame, settled: DataFrame, key: str) -> DataFrame:
+    """``settled`` with the entities ``left``: by rank the unused values of their space, of which each round counts through twice as many."""
+    settled = settled.select("kind", "entity", "replacement")
+    left = left.select("kind", "entity", _space(F.col("kind"), F.col("entity")).alias("space"))
+    others = left.where("space is null").count()
+    if others:
+        raise RuntimeError(f"{others} numbers, names or secrets are left without a replacement of their own")
+    start, block = 0, 1024
+    by_space = lambda order: F.row_number().over(Window.partitionBy("kind", "space").orderBy(order))
+    left = materialize(left, "pii")
+    while not left.isEmpty():
+        if start >= 254**4 + 254**3 + 254**2:
+            raise RuntimeError("more distinct IP addresses than there are replacements")
+        sizes = left.groupBy("kind", "space").agg(F.min("entity").alias("entity"))
+        values = sizes.select("kind", "space", "entity", F.explode(F.sequence(F.lit(start), F.lit(start + block - 1))).alias("n"))
+        values = values.select("kind", "space", "n", _numbered(F.col("kind"), F.col("entity"), F.col("n"), key).alias("replacement")).where("replacement is not null")
+        unused = values.join(real.union(settled.select("kind", "replacement")), ["kind", "replacement"], "left_anti")
+        # A value that two spaces reach is counted in one of them.
+        unused = unused.groupBy("kind", "replacement").agg(F.min(F.struct("space", "n")).alias("s")).select("kind", "replacement", "s.space", "s.n")
+        ranked = left.withColumn("rank", by_space("entity")).join(unused.withColumn("rank", by_space("n")), ["kind", "space", "rank"])
+        won = materialize(ranked.select("kind", "entity", "replacement"), "pii")
+        settled = settled.union(won)
+        left = materialize(left.join(won, ["kind", "entity"], "left_anti"), "pii")
+        start, block = start + block, 2 * block
+    return settled
+
+
+def surrogate_table(entities: DataFrame, key: str = KEY, max_draws: int | None = None) -> DataFrame:
     """(kind, entity, replacement): distinct replacements, none of which is an entity.
 
     ``entities`` has distinct (kind, entity, gender).  Each round draws for the
     entities still without one; only the number left reaches the driver.
-    RuntimeError if some are left after ``max_draws`` rounds.
+    E-mail and IP addresses left after ``MAX_DRAWS`` rounds get unused values
+    by rank.  RuntimeError if others are left, or any after ``max_draws``
+    rounds if that is given.
     """
     real = entities.select("kind", F.col("entity").alias("replacement"))
     left, settled = entities, None
-    for draw in range(max_draws):
+    for draw in range(MAX_DRAWS if max_draws is None else max_draws):
         drawn = left.select("kind", "entity", "gender", surrogate(F.col("kind"), F.col("entity"), F.col("gender"), F.lit(draw), key).alias("replacement"))
         drawn = materialize(drawn, "pii")
         taken = real if settled is None else real.union(settled.select("kind", "replacement"))
@@ -214,6 +292,8 @@ def surrogate_table(entities: DataFrame, key: str = KEY, max_draws: int = MAX_DR
         left = materialize(drawn.join(won, ["kind", "entity"], "left_anti").select("kind", "entity", "gender"), "pii")
         if left.isEmpty():
             return settled
+    if max_draws is None:
+        return _assign_rest(left, real, settled, key)
     raise RuntimeError(f"{max_draws} draws leave entities without a replacement of their own")
 
 

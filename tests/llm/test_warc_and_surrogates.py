@@ -134,6 +134,21 @@ def test_clashes_are_drawn_again(spark, monkeypatch):
         surrogates.surrogate_table(table, max_draws=2)
 
 
+def test_small_spaces_are_used_up(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "MAX_DRAWS", 1)
+    entities = [("email", f"{c}@example.com") for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", f"{i}@x.org") for i in range(10)] + [("email", "_@x.org"), ("email", "-@x.org")]
+    entities += [("ip", f"192.168.{a}.{b}") for a in range(1, 255) for b in range(1, 151)]  # more than half of the range
+    table = spark.createDataFrame(entities, "kind string, entity string").withColumn("gender", F.lit(None).cast("string"))
+    rows = surrogates.surrogate_table(table, "k").collect()
+    found = {(r["kind"], r["entity"]): r["replacement"] for r in rows}
+    assert len(rows) == len(entities) == len(found) == len(set(found.items())) == len({(k, r) for (k, _), r in found.items()})
+    assert not {(k, r) for (k, _), r in found.items()} & set(entities)
+    letters = [found["email", f"{c}@example.com"] for c in "abcdefghijklmnopqrstuvwxyz"]
+    assert {a.split("@")[0] for a in letters} == set("abcdefghijklmnopqrstuvwxyz") and len({a.split("@")[1] for a in letters}) == 1
+    ips = [r for (k, _), r in found.items() if k == "ip"]
+    assert {r.split(".")[0] for r in ips} == {"192", "10"} and all(0 < int(o) < 255 for r in ips for o in r.split(".")[1:] if o != "168")
+
+
 def test_long_runs_of_labels(spark):
     text = "x@" + "a." * 50_000 + " " + "1" * 50_000 + " " + "-1" * 20_000
     (row,) = surrogates.replace_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
