@@ -20,8 +20,8 @@ from lodeweave.operators.graph import pair_closure
 from lodeweave.operators.joins import unique_suffix_table
 from lodeweave.workspace import materialize
 
-#: Longest chain of names, and most imports of imports, that are followed.
-MAX_CHAIN, MAX_ALIASES = 5, 6
+#: Steps along chains of names after which the state is written.
+WALKED = 4
 _EMPTY = "cast(array() as array<string>)"
 
 
@@ -117,14 +117,15 @@ class Resolver:
         ends = materialize(direct.union(variables).union(mods).groupBy("symbol").agg(first).select("symbol", "s.kind", "s.fqn"), "symbols")
         links = self.bindings.where("kind in ('from', 'module') and target is not null and target <> symbol")
         links = materialize(links.groupBy("symbol").agg(F.min("target").alias("target")).join(ends, "symbol", "left_anti"), "links")
-        found, open_ = ends, links
-        for _ in range(MAX_ALIASES):
-            reached = open_.join(ends.withColumnRenamed("symbol", "target"), "target").select("symbol", "kind", "fqn")
-            found = found.union(reached)
-            nxt = links.select(F.col("symbol").alias("target"), F.col("target").alias("further"))
-            open_ = open_.join(
-                ends.select(F.col("symbol").alias("target")), "target", "left_anti",
-            ).join(nxt, "target").select("symbol", F.col("further").alias("target"))
+        # Each symbol has one target.  A walk that comes back to where it was at the last power of two goes round a cycle.
+        nxt = links.select(F.col("symbol").alias("target"), F.col("target").alias("further"))
+        found, open_, step = ends, links.select("symbol", "target", F.col("target").alias("mark")), 1
+        while not open_.isEmpty():
+            found = found.union(open_.join(ends.withColumnRenamed("symbol", "target"), "target").select("symbol", "kind", "fqn"))
+            moved = open_.join(ends.select(F.col("symbol").alias("target")), "target", "left_anti").join(nxt, "target")
+            mark = F.col("target") if step & (step - 1) == 0 else F.col("mark")
+            open_ = materialize(moved.select("symbol", F.col("further").alias("target"), mark.alias("mark")).where("target <> mark"), "links")
+            step += 1
         return materialize(
             found.groupBy("symbol").agg(F.min(F.struct("kind", "fqn")).alias("s")).select("symbol", "s.kind", "s.fqn"), "symbols",
         )
@@ -182,7 +183,8 @@ class Resolver:
                 t, F.coalesce(at["fqn"], at["b_symbol"]) == t["__sym"], "left",
             ).withColumn("type", F.coalesce("type", "__t")).drop("__sym", "__t")
         state = materialize(at.select("uid", "chain", "kind", "fqn", "type"), "walk")
-        for step in range(2, MAX_CHAIN + 1):
+        longest = state.agg(F.max(F.size("chain"))).first()[0] or 1
+        for step in range(2, longest + 1):
             name = F.get("chain", F.lit(step - 1))
             moving = state.withColumn("part", name)
             is_call = F.col("part") == "()"
@@ -204,6 +206,8 @@ class Resolver:
                 F.when(F.col("part").isNull(), F.col("fqn")).when(is_call, F.lit(None)).otherwise(F.col("m_fqn")).alias("fqn"),
                 F.when(F.col("part").isNull(), F.col("type")).when(is_call, called).otherwise(F.col("__t")).alias("type"),
             )
+            if step % WALKED == 0:
+                state = materialize(state, "walk")
         return materialize(state.select("uid", "kind", "fqn", "type"), "walk")
 
     @cached_property
@@ -275,19 +279,22 @@ class Resolver:
         returning = self.defs.where("kind = 'function' and returns is not null").select(
             F.col("fqn").alias("symbol"), "path", "container", F.split("returns", r"\.").alias("chain"),
         )
-        asked = named.union(fields).union(returning).where("size(chain) <= 4")
+        asked = named.union(fields).union(returning)
         asked = materialize(
             asked.withColumn(
                 "uid", F.sha2(F.concat_ws("|", "symbol", "path", F.concat_ws(".", "container"), F.concat_ws(".", "chain")), 256),
             ).dropDuplicates(["uid"]),
             "types",
         )
-        found, types = None, None
-        for _ in range(2):  # the second pass knows what the functions of the first return
+        types, seen, before = None, set(), None
+        while before not in seen:  # a pass knows what the functions of the one before return; ends when a table comes again
+            seen.add(before)
             walked = self._walk(asked.select("uid", "path", "container", "chain"), self.members, types)
             kinds = F.when(F.col("kind") == "class", F.col("fqn")).otherwise(F.col("type"))
             found = asked.join(walked, "uid").select("symbol", kinds.alias("type")).where("type is not null")
             types = materialize(found.groupBy("symbol").agg(F.min("type").alias("type")), "types")
+            mark = F.xxhash64("symbol", "type").cast("decimal(38,0)")
+            before = tuple(types.agg(F.count("*"), F.sum(mark), F.sum(F.xxhash64("type", "symbol").cast("decimal(38,0)"))).first())
         return types
 
     @cached_property
@@ -311,7 +318,7 @@ class Resolver:
         u = u.withColumn("uid", F.concat_ws(":", "path", "offset", F.array_join("chain", ".")))
         u = materialize(u.dropDuplicates(["uid"]), "uses")
         walked = self._walk(
-            u.select("uid", "path", "container", "chain").where(f"size(chain) <= {MAX_CHAIN}"), self.all_members, self.types,
+            u.select("uid", "path", "container", "chain"), self.all_members, self.types,
         )
         return materialize(u.join(walked, "uid", "left").drop("uid"), "uses")
 

@@ -193,3 +193,15 @@ def test_source_roots_and_suffixes(spark):
 def test_empty_tree(spark):
     e = engine(spark, {"empty.py": ""})
     assert e.deadcode().isEmpty() and e.imports().isEmpty() and e.graph("x").isEmpty() and e.canonical().isEmpty() and e.effects().isEmpty()
+
+
+def test_deep_names_and_imports_are_followed(spark):
+    files = {f"{p}/__init__.py": "" for p in ("a", "a/b", "a/b/c")}
+    files["a/b/c/d.py"] = "class Cls:\n    def make():\n        pass\n"
+    files["deep.py"] = "import a.b.c.d\n\n\ndef go():\n    a.b.c.d.Cls.make()\n\n\ndef typed(x: a.b.c.d.Cls):\n    x.make()\n"
+    files["r0.py"] = "def far():\n    pass\n"
+    files |= {f"r{i}.py": f"from r{i - 1} import far\n" for i in range(1, 12)}
+    files["last.py"] = "from r11 import far\n\n\ndef end():\n    far()\n"
+    files |= {"x1.py": "from x2 import gone\n", "x2.py": "from x3 import gone\n", "x3.py": "from x2 import gone\n"}  # a cycle
+    edges = {(r["src"], r["dst"]) for r in engine(spark, files).resolver.call_edges.collect()}
+    assert {("deep.go", "a.b.c.d.Cls.make"), ("deep.typed", "a.b.c.d.Cls.make"), ("last.end", "r0.far")} <= edges
