@@ -8,6 +8,7 @@ documents hold appears once per block and not once per occurrence.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,30 @@ from lodeweave.workspace import ship
 #: UTF-8 bytes of text per block; a longer document is a block of its own.
 BLOCK_BYTES = 3 << 20
 BLOCK_ROWS = 20_000
+#: Largest block that ``plan`` asks for, and bytes of what blocks send that it deals to one hash range and of bodies to one task.
+MAX_BLOCK_BYTES, RANGE_BYTES, TASK_BYTES = 128 << 20, 8 << 20, 16 << 20
+#: Fewest bytes that a block should send to one hash range, and most tasks of a shuffle.
+_ROW_BYTES, _MAX_TASKS = 512, 100_000
+
+
+def input_bytes(docs: DataFrame) -> int:
+    """Bytes of ``docs`` as the optimizer knows them: of files their size, so a table of compressed text counts less."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # A plan without statistics counts as a very large one; then the number of its partitions says more.
+    return known if known < 1 << 56 else max(1, docs.rdd.getNumPartitions()) << 20
+
+
+def plan(total: int, block_bytes: int, ratio: float) -> tuple[int, int, int]:
+    """(bytes of a block, hash ranges, tasks) for ``total`` bytes of input, ``ratio`` of which blocks send to the ranges.
+
+    Blocks times ranges is the number of rows that blocks send.  So blocks grow
+    with the square root of the input, which keeps rows from growing with its
+    square; ranges hold ``RANGE_BYTES`` each as long as a row still has
+    ``_ROW_BYTES``.  None of the three changes a result.
+    """
+    size = min(max(block_bytes, math.isqrt(180 * total)), max(block_bytes, MAX_BLOCK_BYTES))
+    ranges = max(4, min(math.ceil(ratio * total / RANGE_BYTES), int(ratio * size / _ROW_BYTES)))
+    return size, ranges, max(4, min(math.ceil(total / TASK_BYTES), _MAX_TASKS))
 
 
 def squeeze(data: bytes | np.ndarray) -> bytes:

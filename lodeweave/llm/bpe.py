@@ -27,13 +27,13 @@ import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 
-from lodeweave.llm.blocks import in_blocks, squeeze, unsqueeze
+from lodeweave.llm.blocks import in_blocks, input_bytes, plan, squeeze, unsqueeze
 from lodeweave.llm.common import Batcher
 from lodeweave.workspace import ship
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: UTF-8 bytes of text per block, and hash ranges per partition of the input.
-BLOCK_BYTES, RANGES = 8 << 20, 3
+#: UTF-8 bytes of text per block at least, and bytes of distinct pre-tokens to bytes of input, by which hash ranges are planned.
+BLOCK_BYTES, RATIO = 8 << 20, 0.4
 #: What an id without a token decodes to.
 REPLACEMENT = "�".encode()
 
@@ -108,26 +108,26 @@ def encode(
     pattern: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
     """(id_col, ids array<int>) per row of ``docs``, without special tokens.
 
-    Each match of ``pattern`` is encoded by itself.  Ids of rows are whole
-    numbers or null; null text is empty and has no ids.  Rows that repeat an
-    id each get a row.  Other columns of ``docs`` are not read; an empty
-    table gives an empty result.
+    Each match of ``pattern`` is encoded by itself, however long it is.  Ids
+    of rows are whole numbers or null; null text is empty and has no ids.
+    Rows that repeat an id each get a row.  Other columns of ``docs`` are not
+    read; an empty table gives an empty result.
 
-    A block sends one row per hash range, so ``block_bytes`` should grow with
-    the square root of the corpus, and ``ranges`` be about the number of
-    blocks over ten; neither changes the result.
+    ``block_bytes`` and ``ranges`` follow from the size of ``docs`` (see
+    ``blocks.plan``) unless given; neither changes the result.
     """
     if ranks is None or pattern is None:
         ranks, pattern = default_vocabulary()
     sent = docs.sparkSession.sparkContext.broadcast(ranks)  # one entry per token of the vocabulary
     number = lambda block, ids, texts: _number_block(pattern, block, ids, texts)
-    blocks = in_blocks(docs, id_col, text_col, number, _BLOCK, _BLOCK_FIELDS, block_bytes).repartition("block")
-    ranges = ranges or RANGES * max(1, docs.select(id_col, text_col).rdd.getNumPartitions())
+    size, wanted, tasks = plan(input_bytes(docs), BLOCK_BYTES, RATIO)
+    ranges = ranges or wanted
+    blocks = in_blocks(docs, id_col, text_col, number, _BLOCK, _BLOCK_FIELDS, block_bytes or size).repartition(tasks, "block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(_PACK_FIELDS)
@@ -149,14 +149,15 @@ def encode(
     def encode_range(key: tuple, group: pa.Table) -> pa.Table:
         if not made:
             made["it"] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=sent.value, special_tokens={})
-        one, once = made["it"].encode_ordinary, {}
+        # Bytes of one match, not text: it is not matched again, which a very long run of white space would not survive.
+        one, once = made["it"]._encode_single_piece, {}
         columns: tuple[list, ...] = ([], [], [], [])
         for block, numbers, data in zip(*(group.column(c).to_pylist() for c in ("block", "numbers", "tokens")), strict=True):
             mine = []
             for token in _split(data):
                 found = once.get(token)
                 if found is None:
-                    found = once[token] = one(token.decode())
+                    found = once[token] = one(token)
                 mine.append(found)
             counts = np.fromiter(map(len, mine), np.uint32, len(mine))
             flat = np.fromiter((i for ids in mine for i in ids), np.uint32, int(counts.sum()))
@@ -164,7 +165,7 @@ def encode(
                 column.append(value)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _REPLY_FIELDS, strict=True)], schema=_REPLY_FIELDS)
 
-    replies = blocks.mapInArrow(pack, _PACK).groupBy("range").applyInArrow(encode_range, _REPLY)
+    replies = blocks.mapInArrow(pack, _PACK).repartition(min(ranges, tasks), "range").groupBy("range").applyInArrow(encode_range, _REPLY)
     kind = docs.schema[id_col].dataType.simpleString()
     key_type = pa.int32() if kind == "int" else pa.int64()
 
@@ -193,7 +194,7 @@ def encode(
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()))
         return pa.Table.from_arrays([pa.array(keys, key_type), lists], names=[id_col, "ids"])
 
-    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(reassemble, f"`{id_col}` {kind}, ids array<int>")
+    return blocks.groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block")).applyInArrow(reassemble, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -32,6 +32,24 @@ def test_decode_of_odd_ids(spark):
     assert bytes(found[1]) == first + bpe.REPLACEMENT and found[2] is None and bytes(found[3]) == b""
 
 
+def test_very_long_runs(spark):
+    prepare(spark)
+    ranks, _ = bpe.default_vocabulary()
+    texts = ["x" + " " * 1_000_000 + "y", " " * 10_000_000, "\n" * 300_000 + "a", "ab" * 200_000, "=" * 100_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.decode(bpe.encode(rows, block_bytes=1 << 20), ranks).select("doc_id", "decoded").collect()}
+    assert [found[i] for i in range(len(texts))] == texts
+
+
+def test_plan_grows_with_the_input():
+    last = (0, 0, 0)
+    for total in (0, 1 << 20, 1 << 30, 1 << 36, 100 << 40):
+        now = blocks.plan(total, 3 << 20, 2.5)
+        assert all(a >= b for a, b in zip(now, last, strict=True))
+        last = now
+    assert last[0] == blocks.MAX_BLOCK_BYTES and 2.5 * last[0] / last[1] >= 511
+
+
 def plain_count(word, scores):
     text, best = tokencount.MARK + word, [(0.0, 0)]
     byte = min(scores.values()) - 1.0
