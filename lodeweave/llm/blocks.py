@@ -24,7 +24,7 @@ BLOCK_ROWS = 20_000
 #: Largest block that ``plan`` asks for, and bytes of what blocks send that it deals to one hash range and of bodies to one task.
 MAX_BLOCK_BYTES, RANGE_BYTES, TASK_BYTES = 128 << 20, 8 << 20, 16 << 20
 #: Fewest bytes that a block should send to one hash range, and most tasks of a shuffle.
-_ROW_BYTES, _MAX_TASKS = 512, 100_000
+_ROW_BYTES, MAX_TASKS = 512, 50_000
 
 
 def input_bytes(docs: DataFrame) -> int:
@@ -44,7 +44,7 @@ def plan(total: int, block_bytes: int, ratio: float) -> tuple[int, int, int]:
     """
     size = min(max(block_bytes, math.isqrt(180 * total)), max(block_bytes, MAX_BLOCK_BYTES))
     ranges = max(4, min(math.ceil(ratio * total / RANGE_BYTES), int(ratio * size / _ROW_BYTES)))
-    return size, ranges, max(4, min(math.ceil(total / TASK_BYTES), _MAX_TASKS))
+    return size, ranges, max(4, min(math.ceil(total / TASK_BYTES), MAX_TASKS))
 
 
 def squeeze(data: bytes | np.ndarray) -> bytes:

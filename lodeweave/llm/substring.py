@@ -7,17 +7,21 @@ if a window over it also starts in a document with a smaller id.
    read this one shuffle.
 2. Each block hashes its windows, keeps each distinct one with the smallest
    id that has it, and sends them packed, one row per hash range.
-3. Per hash range the smallest id over all blocks is found; a passage is
-   confirmed as recurring for a block if an earlier document of another block
-   has it.  Only such entries go back.
-4. Each block turns its removable windows into passages, compiles them into
-   automata of bounded size and streams all of its documents through them;
-   every occurrence later than a passage's owner is removed.
+3. Per hash range the smallest id over all blocks is found, the window's owner.
+   A window is confirmed as recurring if a document other than its owner has
+   it.  Blocks are told the owners of those of their distinct windows that a
+   document of another block had earlier.  Such an answer names windows by their rank, not by where they occur.
+4. Each block joins its confirmed windows into passages: each distinct window
+   is in one passage, and windows are neighbours there if they always are
+   neighbours in the block and have one owner.  The passages are compiled into
+   automata of bounded size, which are the shard of the corpus' passages that
+   can occur in the block; all of its documents are streamed through them.
+   What the automata find after a passage's owner is removed, and nothing else.
 
 A block is named by its content, so a block that a lost executor made anew
 either equals the one that asked or the job fails; over a written table it is
-always equal.  A window that a third of all documents share is one entry per block in step
-2, so no range is larger than the others.  Hashes have ``DIGEST_BYTES`` bytes
+always equal.  A window that a third of all documents share is one entry per
+block in step 2, so no range is larger than the others.  Hashes have ``DIGEST_BYTES`` bytes
 (two independent sums of 64-bit word hashes); at 10 bytes two different
 windows among 10^10 agree with a chance below 10^-4.
 """
@@ -32,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from lodeweave.llm.blocks import BLOCK_BYTES, in_blocks, squeeze, unsqueeze
+from lodeweave.llm.blocks import BLOCK_BYTES, MAX_TASKS, in_blocks, input_bytes, plan, squeeze, unsqueeze
 from lodeweave.llm.common import Batcher
 
 WIDTH = 13
@@ -41,8 +45,8 @@ DIGEST_BYTES = 10
 PASSAGE = 64
 #: Words of all patterns of one automaton.
 SHARD_WORDS = 300_000
-#: Hash ranges per partition of the input.
-RANGES = 3
+#: Bytes of packed windows to bytes of input, by which hash ranges are planned.
+RATIO = 2.5
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -138,19 +142,52 @@ def _open_block(body: bytes) -> tuple[list, list[bytes]]:
     return ids, [text[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
 
 
-def _passages(flat: np.ndarray, removable: np.ndarray, latest: np.ndarray, width: int) -> dict[tuple, int]:
-    """Patterns over word numbers, each with the largest owner among its windows.
+def _neighbours(place: np.ndarray, chained: np.ndarray, known: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """True for each window after which, wherever it occurs, the same confirmed window of the same owner comes, and before that always it.
 
-    ``removable`` marks window starts; runs of them are cut into pieces of at
-    most ``PASSAGE`` words so that every window lies whole in one piece.
+    ``place`` is the number of each window, ``chained`` whether the next one
+    begins a word later in the same document, ``known`` whether it is
+    confirmed, ``owner`` by number.
+    """
+    count = len(owner)
+    follows = chained & known & np.concatenate((known[1:], [False]))
+    after = np.where(follows, np.concatenate((place[1:], [0])), -1)
+    before = np.full(len(place), -1, np.int64)
+    before[1:] = np.where(follows[:-1], place[:-1], -1)
+    least, most = np.full((2, count), count, np.int64), np.full((2, count), -1, np.int64)
+    for k, side in enumerate((after, before)):
+        np.minimum.at(least[k], place, side)
+        np.maximum.at(most[k], place, side)
+    sole = (least == most) & (least >= 0)
+    to = np.where(follows, after, 0)
+    return follows & sole[0][place] & sole[1][to] & (owner[place] == owner[to])
+
+
+def _passages(words: Words, place: np.ndarray, at: np.ndarray, doc: np.ndarray, confirmed: np.ndarray, owner: np.ndarray) -> dict[tuple, int]:
+    """Patterns over word numbers, each with the owner of its windows.
+
+    Every confirmed window lies whole in just one pattern, and a pattern
+    occurs wherever one of its windows does.  Only the first occurrence of a
+    window is looked at; long passages are cut into pieces of at most
+    ``PASSAGE`` words.
     """
     patterns: dict[tuple, int] = {}
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], removable.astype(np.int8), [0]))))
-    for begin, end in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        for start in range(begin, end, PASSAGE - width + 1):
-            stop = min(end, start + PASSAGE - width + 1)
-            key = tuple(flat[start : stop + width - 1].tolist())
-            patterns[key] = max(patterns.get(key, -(1 << 63)), int(latest[start:stop].max()))
+    if not len(at) or not confirmed.any():
+        return patterns
+    chained = np.zeros(len(at), bool)
+    chained[:-1] = (at[1:] == at[:-1] + 1) & (doc[1:] == doc[:-1])
+    known = confirmed[place]
+    joined = _neighbours(place, chained, known, owner)
+    inner = np.zeros(len(owner), bool)  # windows that go on from another one
+    inner[place[1:][joined[:-1]]] = True
+    _, first = np.unique(place, return_index=True)
+    starts = first[confirmed & ~inner]
+    last = np.flatnonzero(~joined)
+    ends = last[np.searchsorted(last, starts)]
+    for begin, end, least in zip(at[starts].tolist(), (at[ends] + 1).tolist(), owner[place[starts]].tolist(), strict=True):
+        for start in range(begin, end, PASSAGE - words.width + 1):
+            stop = min(end, start + PASSAGE - words.width + 1)
+            patterns[tuple(words.flat[start : stop + words.width - 1].tolist())] = least
     return patterns
 
 
@@ -181,15 +218,16 @@ def _letters(numbers: np.ndarray) -> np.ndarray:
     return np.stack((_FIRST + a, _FIRST + 0x40 + b, _FIRST + 0x80 + c), axis=1).astype("<u4")
 
 
-def _clean_block(words: Words, least: np.ndarray, place: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """True for the words of ``flat`` that are removed; ``least``: smallest id over the corpus per distinct window."""
-    owner = least[place]
+def _confirmed(words: Words, least: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """True for each distinct window that a document of the block later than its owner has."""
+    latest = np.full(len(least), -(1 << 63), np.int64)
+    np.maximum.at(latest, place, words.doc_ids[doc])
+    return latest > least
+
+
+def _clean_block(words: Words, patterns: dict[tuple, int]) -> np.ndarray:
+    """True for the words of ``flat`` that are removed: those under an occurrence of a pattern in a document later than its owner."""
     gone = np.zeros(len(words.flat) + 1, np.int64)
-    removable, latest = np.zeros(len(words.flat), bool), np.zeros(len(words.flat), np.int64)
-    later = owner < words.doc_ids[doc]
-    removable[at[later]] = True
-    latest[at[later]] = owner[later]
-    patterns = _passages(words.flat, removable, latest, words.width)
     if patterns:
         code = _letters(np.arange(len(words.vocabulary)))
         used = np.zeros(len(words.vocabulary), bool)
@@ -217,7 +255,7 @@ def _clean_block(words: Words, least: np.ndarray, place: np.ndarray, at: np.ndar
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, ranges: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, block_bytes: int | None = None, ranges: int | None = None
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, n_removed, kept_text, spans.
 
@@ -228,14 +266,13 @@ def remove_repeats(
     earlier than none and later than none: it keeps its words.  Other columns
     of ``docs`` are not read; an empty table gives an empty result.
 
-    A block sends one row per hash range in which it has entries, so the
-    number of rows is that of blocks times ranges.  ``block_bytes`` should
-    grow with the square root of the corpus (3 MB for 50 GB, 128 MB for
-    100 TB; a task needs some 15 times as much memory), and ``ranges`` be
-    about the number of blocks over ten; neither changes the result.
+    ``block_bytes`` and ``ranges`` follow from the size of ``docs`` (see
+    ``blocks.plan``) unless given; neither changes the result.  A task needs
+    some 15 times the memory of a block.
     """
-    bodies = in_blocks(docs, id_col, text_col, _pack_block, _BODY, _BODY_FIELDS, block_bytes).repartition("block")
-    ranges = ranges or RANGES * max(1, docs.select(id_col, text_col).rdd.getNumPartitions())
+    size, wanted, tasks = plan(input_bytes(docs), BLOCK_BYTES, RATIO)
+    ranges = ranges or wanted
+    bodies = in_blocks(docs, id_col, text_col, _pack_block, _BODY, _BODY_FIELDS, block_bytes or size).repartition(tasks, "block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batcher(_PACK_FIELDS)
@@ -275,7 +312,7 @@ def remove_repeats(
                     column.append(value)
         return pa.table({"block": pa.array(rows[0], pa.string()), "range": pa.array(rows[1], pa.int32()), "places": pa.array(rows[2], pa.binary()), "earlier": pa.array(rows[3], pa.binary())})
 
-    replies = bodies.mapInArrow(pack, _PACK).groupBy("range").applyInArrow(merge, _REPLY)
+    replies = bodies.mapInArrow(pack, _PACK).repartition(min(ranges, MAX_TASKS), "range").groupBy("range").applyInArrow(merge, _REPLY)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = pa.schema(
         [(id_col, pa.int32() if kind == "int" else pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()),
@@ -291,7 +328,8 @@ def remove_repeats(
         cuts = _ranges(high, ranges)
         for r in given.to_pylist():
             least[cuts[r["range"]] + np.cumsum(unsqueeze(r["places"], "<i8"))] = unsqueeze(r["earlier"], "<i8")
-        gone = _clean_block(words, least, place, at, doc)
+        patterns = _passages(words, place, at, doc, _confirmed(words, least, place, doc), least)
+        gone = _clean_block(words, patterns)
         out: tuple[list, ...] = ([], [], [], [], [])
         for k in range(len(ids)):
             begin, end = int(words.starts[k]), int(words.starts[k + 1])
@@ -304,4 +342,4 @@ def remove_repeats(
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, fields, strict=True)], schema=fields)
 
     result = f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept_text string, spans array<struct<start:int,stop:int>>"
-    return bodies.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(clean, result)
+    return bodies.groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block")).applyInArrow(clean, result)

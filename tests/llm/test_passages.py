@@ -50,6 +50,41 @@ def test_repeats_of_nested_and_partial_passages(spark):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == brute_repeats(rows)
 
 
+def test_automata_decide(spark, monkeypatch):
+    prepare(spark)
+    w = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([w, w[10:50], ["x"] + w[5:30] + ["y"], w[20:60] * 2])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in substring.remove_repeats(table).collect()) == brute_repeats(rows)
+    words = substring.Words([0, 1, 2], [t.encode() for _, t in rows[:3]], 13)
+    _, _, least, place, at, doc = substring._distinct(words)
+    patterns = substring._passages(words, place, at, doc, substring._confirmed(words, least, place, doc), least)
+    windows = [key[i : i + 13] for key in patterns for i in range(len(key) - 12)]
+    assert len(windows) == len(set(windows)) == 33  # those that start at words 5 to 37, each in one passage
+    assert set(patterns.values()) == {0} and substring._clean_block(words, {}).sum() == 0
+    one = dict([next(iter(patterns.items()))])
+    assert 0 < substring._clean_block(words, one).sum() < substring._clean_block(words, patterns).sum()
+
+
+def test_random_passages_in_small_blocks(spark, monkeypatch):
+    import random
+
+    prepare(spark)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 5)
+    rng = random.Random(8)
+    pool = [[rng.choice("abcd") * rng.randint(1, 3) for _ in range(rng.randint(10, 150))] for _ in range(6)]
+    rows = []
+    for i in range(60):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            part = rng.choice(pool)
+            a = rng.randint(0, len(part) - 1)
+            text += part[a : a + rng.randint(1, 120)] + [f"u{rng.randint(0, 3)}"] * rng.randint(0, 30)
+        rows.append((rng.randint(0, 50), " ".join(text)))
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), ranges=3).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == brute_repeats(rows)
+
+
 def bench_words(t):
     t = re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
