@@ -7,10 +7,14 @@ chain of l consecutive pieces differs in at most floor(l * T / segments) bits
 agree exactly and serves as the join key; longer chains are checked against
 their budgets, and only what passes them gets the full Hamming check.
 
-Only distinct fingerprints are linked, so copies cost nothing.  A key that
-many different fingerprints share is not paired up: its members meet under
-the values at half the distance, which links them all through one
-representative and emits 65 rows per member instead of all pairs.
+The principle holds for any way to cut, so where many fingerprints share a
+key they are cut once more, into ``FURTHER`` pieces of other bits: the key is
+then that chain and an exact chain of the second ring, and so on until few
+share one.  ``LEVELS`` rings leave at most 12 bits open, so no key has more
+than 4,096 members.
+
+Only distinct fingerprints are linked, so copies cost nothing, and a
+fingerprint has at most 2,080 others within two bits.
 """
 
 from __future__ import annotations
@@ -30,9 +34,12 @@ BITS = 64
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
-SEGMENTS = 5
-#: Fingerprints under one key that are still compared pair by pair.
-PAIRED = 48
+#: Pieces of a ring: of nine, four in a row agree, which is a key of 28 bits.
+SEGMENTS = 9
+#: Pieces of further rings, and rings in all.  Three pieces fix a third of the open bits for three rows a fingerprint.
+FURTHER, LEVELS = 3, 6
+#: Fingerprints under one key beyond which it is joined with a chain of a further ring.
+CROWDED = 256
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _PIECE = 1 << 15
@@ -76,29 +83,38 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _ring(segments: int) -> list[int]:
-    """Bit masks of the pieces, as even as the division allows."""
-    cuts = [BITS * i // segments for i in range(segments + 1)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+def _rings(segments: int, level: int) -> list[int]:
+    """Bit masks of the pieces of the ring of a level, as even as the division allows: neighbouring bits, then ever other ones."""
+    order = range(BITS) if level == 0 else np.random.default_rng(level).permutation(BITS).tolist()
+    masks = [0] * segments
+    for at, bit in enumerate(order):
+        masks[at * segments // BITS] |= 1 << bit
+    return masks
 
 
-def _distance(mask: int) -> Column:
-    return F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")).bitwiseAND(F.lit(_signed(mask))))
+def _distance(mask: int | Column) -> Column:
+    mask = F.lit(_signed(mask)) if isinstance(mask, int) else mask
+    return F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")).bitwiseAND(mask))
 
 
-def _chain_holds(ring: list[int], first: int, budgets: list[int]) -> Column:
-    """Every chain that begins at piece ``first`` stays within its budget."""
-    ok, mask = F.lit(True), 0
-    for length, budget in enumerate(budgets, 1):
-        mask |= ring[(first + length - 1) % len(ring)]
-        if budget or length == len(ring):
-            ok = ok & (_distance(mask) <= budget)
-    return ok
+def _chains(ring: list[int], budgets: list[int]) -> list[list[tuple[int, int]]]:
+    """For each piece the (mask, budget) of the chains that begin there and are not part of the key."""
+    found = []
+    for first in range(len(ring)):
+        mask, chains = 0, []
+        for length, budget in enumerate(budgets, 1):
+            mask |= ring[(first + length - 1) % len(ring)]
+            if budget and length < len(ring):
+                chains.append((mask, budget))
+        found.append(chains)
+    return found
 
 
-def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, paired: int = PAIRED) -> DataFrame:
-    """(a, b) links whose connected components are those of all pairs within ``max_bits``.
+def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, crowded: int = CROWDED) -> DataFrame:
+    """(a, b) for every pair of fingerprints within ``max_bits``, a < b.
 
+    A key of the first ring that more than ``crowded`` fingerprints share is
+    joined by keys of further rings; the pairs are the same for any bound.
     ``fps`` has one row per distinct fingerprint in column ``fp``.
     ``max_bits`` may be 0 (no links), 1 or 2.
     """
@@ -108,45 +124,43 @@ def link_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS, segments: int =
         raise ValueError("there must be more segments than bits that may differ")
     if not max_bits:
         return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    ring = _ring(segments)
-    budgets = [length * max_bits // segments for length in range(1, segments + 1)]
-    exact = sum(1 for b in budgets if b == 0)
-    masks = []
-    for first in range(segments):
-        mask = 0
-        for step in range(exact):
-            mask |= ring[(first + step) % segments]
-        masks.append(mask)
-    probes = F.array(
-        *(F.struct(F.lit(i).alias("first"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks))
-    )
-    keyed = materialize(fps.select("fp", F.explode(probes).alias("p")).select("fp", "p.first", "p.key"), "ring")
-    shared = keyed.groupBy("first", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(shared, "ring")
-    few = keyed.join(shared.where(F.col("n") <= paired).select("first", "key"), ["first", "key"], "left_semi")
-    few = materialize(few, "ring")
-    a, b = few.alias("a"), few.alias("b")
-    passes = F.lit(False)
-    for first in range(segments):
-        passes = passes | ((F.col("a.first") == first) & _chain_holds(ring, first, budgets))
-    pairs = a.join(
-        b,
-        (F.col("a.first") == F.col("b.first")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & passes
-        & (_distance((1 << BITS) - 1) <= max_bits),
-    ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    many = keyed.join(shared.where(F.col("n") > paired).select("first", "key"), ["first", "key"], "left_semi").select("fp").distinct()
-    flips = [_signed(1 << bit) for bit in range(BITS)]
-    if max_bits == 2:
-        # Two values at most two bits apart share a value at most one bit from each.
-        near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(f)) for f in flips))
-        met = many.select("fp", F.explode(near).alias("key")).select("fp", "key", F.lit(0).alias("bit"))
-    else:
-        # Two values one bit apart are equal once that bit is cleared.
-        near = F.array(*(F.struct(F.lit(i).alias("bit"), F.col("fp").bitwiseAND(F.lit(~f)).alias("key")) for i, f in enumerate(flips)))
-        met = many.select("fp", F.explode(near).alias("p")).select("fp", "p.key", "p.bit")
-    met = met.groupBy("key", "bit").agg(F.min("fp").alias("a"), F.max("fp").alias("z"), F.collect_set("fp").alias("all")).where("a <> z")
-    stars = met.select("a", F.explode("all").alias("b")).where("a <> b")
-    return pairs.union(stars).distinct()
+    # ``fixed``: the bits of the key; ``path``: which chain of each ring they are, which tells keys of other bits apart.
+    left = fps.select("fp", F.lit("").alias("path"), F.lit(0).cast("bigint").alias("fixed"))
+    pairs = None
+    for level in range(LEVELS):
+        ring = _rings(segments if level == 0 else FURTHER, level)
+        segments = len(ring)
+        budgets = [length * max_bits // segments for length in range(1, segments + 1)]
+        exact = sum(1 for b in budgets if b == 0)
+        masks = [sum(ring[(first + step) % segments] for step in range(exact)) for first in range(segments)]
+        probes = F.array(*(F.struct(F.lit(i).alias("first"), F.col("fixed").bitwiseOR(F.lit(_signed(m))).alias("fixed")) for i, m in enumerate(masks)))
+        keyed = left.select("fp", "path", F.explode(probes).alias("p"))
+        keyed = keyed.select(
+            "fp", F.concat_ws(".", "path", F.col("p.first").cast("string")).alias("path"), F.col("p.first").alias("first"), F.col("p.fixed").alias("fixed"),
+            F.col("fp").bitwiseAND(F.col("p.fixed")).alias("key"),
+        )
+        keyed = materialize(keyed, "ring")
+        shared = materialize(keyed.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1"), "ring")
+        over = (F.col("n") > crowded) if level + 1 < LEVELS else F.lit(False)
+        many = shared.where(over).select("path", "key")
+        few = materialize(keyed.join(shared.where(~over).select("path", "key"), ["path", "key"], "left_semi"), "ring")
+        a, b = few.alias("a"), few.alias("b")
+        passes = F.lit(False)
+        for first, chains in enumerate(_chains(ring, budgets)):
+            holds = F.col("a.first") == first
+            for mask, budget in chains:
+                holds = holds & (_distance(mask) <= budget)
+            passes = passes | holds
+        found = a.join(
+            b,
+            (F.col("a.path") == F.col("b.path")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & passes
+            & (_distance((1 << BITS) - 1) <= max_bits),
+        ).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+        pairs = found if pairs is None else pairs.union(found)
+        if many.isEmpty():
+            break
+        left = keyed.join(many, ["path", "key"], "left_semi").select("fp", "path", "fixed")
+    return pairs.distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:

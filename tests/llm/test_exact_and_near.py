@@ -126,8 +126,36 @@ def test_links_lose_no_pair(spark):
         for f, c in components(fps, bits).items():
             want.setdefault(c, set()).add(f)
         want = sorted(map(sorted, want.values()))
-        assert linked(spark, sorted(fps), bits, paired=4) == want  # heavy keys take the way without pairs
-        assert linked(spark, sorted(fps), bits, paired=10_000) == want
+        assert linked(spark, sorted(fps), bits, crowded=16) == want  # heavy keys take further rings
+        assert linked(spark, sorted(fps), bits, segments=5, crowded=10_000) == want
+
+
+def test_one_key_of_many_fingerprints(spark):
+    rng = np.random.default_rng(4)
+    low = rng.choice(1 << 20, 5000, replace=False)
+    fps = sorted(int(x) << 40 | 0x5A5A5 for x in low)  # all share 44 bits
+    member = set(fps)
+    near = [1 << i for i in range(64)] + [1 << i | 1 << j for i in range(64) for j in range(i)]
+    want = {(a, a ^ d) for a in fps for d in near if a < a ^ d and a ^ d in member}
+    rows = simhash.link_fingerprints(spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")).collect()
+    mask = (1 << 64) - 1
+    assert {tuple(sorted((r["a"] & mask, r["b"] & mask))) for r in rows} == want and len(rows) == len(want) > 1000
+
+
+def test_rings_cover_all_bits():
+    for level in range(4):
+        ring = simhash._rings(9, level)
+        assert sum(ring) == (1 << 64) - 1 and all(7 <= m.bit_count() <= 8 for m in ring)
+
+
+def test_open_bits_of_the_last_ring():
+    fixed = {0}
+    for level in range(simhash.LEVELS):
+        ring = simhash._rings(simhash.SEGMENTS if level == 0 else simhash.FURTHER, level)
+        exact = 4 if level == 0 else 1
+        masks = [sum(ring[(k + step) % len(ring)] for step in range(exact)) for k in range(len(ring))]
+        fixed = {f | m for f in fixed for m in masks}
+    assert 64 - min(f.bit_count() for f in fixed) <= 12
 
 
 def test_near_drop_and_empty(docs, no_docs, spark):
