@@ -4,7 +4,8 @@
    is one window), each with a 64-bit hash.
 2. Every window of every document is hashed and looked up in the hash set,
    which is broadcast after its size was checked; beyond the bound the lookup
-   is an ordinary shuffled join of hashes.
+   is an ordinary shuffled join of hashes.  One scan serves windows of all
+   lengths, and a window is hashed from the hashes of its words.
 3. The documents of hits are read again and each hit window is compared word
    for word.
 4. Verified windows give hit positions, hit items and the verdict.
@@ -40,10 +41,30 @@ def words(text: Column) -> Column:
     return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
 
 
-def _hashes(array: Column, length: int) -> Column:
-    """Hashes of all windows of ``length`` words; null if there are too few words."""
-    starts = F.sequence(F.lit(0), F.size(array) - length)
-    return F.when(F.size(array) >= length, F.transform(starts, lambda i: F.xxhash64(F.slice(array, i + 1, length))))
+def _window_hash(word_hashes: Column) -> Column:
+    return F.xxhash64(word_hashes)
+
+
+def _word_hashes(array: Column) -> Column:
+    return F.transform(array, lambda w: F.xxhash64(w))
+
+
+def scan(split: DataFrame, lengths: list[int]) -> DataFrame:
+    """(id, th, pos, length, h) of all windows of the words ``w`` of each row, of each of ``lengths``."""
+    hashed = split.select("id", "th", _word_hashes(F.col("w")).alias("hw"))
+    size = F.size("hw")
+    starts = F.sequence(F.lit(0), size - min(lengths))
+    window = lambda i, n: _window_hash(F.slice("hw", i + 1, n))
+    # The outer form, since for the other one the optimizer evaluates the array once more to filter it.
+    if len(lengths) == 1:
+        found = F.when(size >= lengths[0], F.transform(starts, lambda i: window(i, lengths[0])))
+        return hashed.select("id", "th", found.alias("h")).select("id", "th", F.posexplode_outer("h").alias("pos", "h")).select(
+            "id", "th", "pos", F.lit(lengths[0]).alias("length"), "h"
+        )
+    each = lambda i: F.array(*(F.when(i + n <= size, window(i, n)) for n in lengths))
+    found = hashed.select("id", "th", F.when(size >= min(lengths), F.transform(starts, each)).alias("h"))
+    found = found.select("id", "th", F.posexplode_outer("h").alias("pos", "h")).select("id", "th", "pos", F.posexplode_outer("h").alias("k", "h"))
+    return found.select("id", "th", "pos", F.element_at(F.array(*(F.lit(n) for n in lengths)), F.col("k") + 1).alias("length"), "h")
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -52,7 +73,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, item_col: str =
     items = items.withColumn("length", F.least(F.size("w"), F.lit(width))).where("length > 0")
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("length")), lambda i: F.slice("w", i + 1, F.col("length")))
     each = items.select("item", "length", F.explode(grams).alias("g"))
-    return each.select("item", "length", F.xxhash64("g").alias("h"), F.array_join("g", " ").alias("gram")).distinct()
+    return each.select("item", "length", _window_hash(_word_hashes(F.col("g"))).alias("h"), F.array_join("g", " ").alias("gram")).distinct()
 
 
 def _covered(spans: Column) -> Column:
@@ -74,6 +95,7 @@ def contamination(
     item_col: str = "item_id",
     bench_text_col: str = "text",
     broadcast_windows: int = BROADCAST_WINDOWS,
+    broadcast_docs: int = BROADCAST_DOCS,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_words, n_hit, n_items, items, contaminated, spans.
 
@@ -87,20 +109,34 @@ def contamination(
     is not among ``items``.  An empty benchmark leaves every document clean.
     Other columns of both tables are not read.
     """
+    hit = _found(docs, benchmark, width, id_col, text_col, item_col, bench_text_col, broadcast_windows, broadcast_docs)
+    return hit.select(
+        F.col("id").alias(id_col),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        "items",
+        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.array_sort("spans").alias("spans"),
+    )
+
+
+def _found(
+    docs: DataFrame, benchmark: DataFrame, width: int, id_col: str, text_col: str, item_col: str, bench_text_col: str, broadcast_windows: int, broadcast_docs: int
+) -> DataFrame:
+    """(id, th, n_words, spans, items, n_hit) per row of ``docs``; ``th`` is a hash of the text."""
     bench = materialize(benchmark_windows(benchmark, width, item_col, bench_text_col), "decontam")
+    # At most ``width`` rows.
     by_length = {r["length"]: r["n"] for r in bench.groupBy("length").agg(F.countDistinct("h").alias("n")).collect()}
     text = F.coalesce(F.col(text_col), F.lit(""))
     text = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), lower_ascii(text).alias("t"))
     split = text.select("id", "th", words(F.col("t")).alias("w"))
     candidates = None
-    for length in sorted(by_length):
-        # The outer form, since for the other one the optimizer evaluates the array once more to filter it.
-        scanned = split.select("id", "th", _hashes(F.col("w"), length).alias("h")).select("id", "th", F.posexplode_outer("h").alias("pos", "h"))
-        wanted = bench.where(F.col("length") == length).select("h").distinct()
-        if by_length[length] <= broadcast_windows:
+    if by_length:
+        wanted = bench.select("length", "h").distinct()
+        if sum(by_length.values()) <= broadcast_windows:
             wanted = F.broadcast(wanted)
-        found = scanned.join(wanted, "h", "left_semi").select("id", "th", "pos", F.lit(length).alias("length"))
-        candidates = found if candidates is None else candidates.union(found)
+        candidates = scan(split, sorted(by_length)).join(wanted, ["length", "h"], "left_semi").select("id", "th", "pos", "length")
     counted = text.select("id", "th", F.size(words(F.col("t"))).cast("long").alias("n_words"))
     no_spans = F.array().cast("array<struct<pos:int,length:int>>")
     if candidates is None:
@@ -109,7 +145,7 @@ def contamination(
         per_doc = candidates.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "length")).alias("c"))
         per_doc = materialize(per_doc, "decontam")
         narrowed = text
-        if per_doc.count() <= BROADCAST_DOCS:
+        if per_doc.count() <= broadcast_docs:
             keys = F.broadcast(per_doc.select(F.col("id").alias("__id"), F.col("th").alias("__th")))
             narrowed = text.join(keys, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left_semi")
         again = narrowed.alias("d").join(
@@ -131,18 +167,9 @@ def contamination(
         hit = counted.alias("d").join(
             verified.alias("v").hint("merge"), F.col("d.id").eqNullSafe(F.col("v.id")) & (F.col("d.th") == F.col("v.th")), "left"
         ).select(
-            "d.id", "d.n_words", F.coalesce("v.spans", no_spans).alias("spans"), F.coalesce("v.items", F.array().cast("array<string>")).alias("items")
+            "d.id", "d.th", "d.n_words", F.coalesce("v.spans", no_spans).alias("spans"), F.coalesce("v.items", F.array().cast("array<string>")).alias("items")
         )
-    hit = hit.withColumn("n_hit", _covered(F.col("spans")).cast("long"))
-    return hit.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        "items",
-        ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        F.array_sort("spans").alias("spans"),
-    )
+    return hit.withColumn("n_hit", _covered(F.col("spans")).cast("long"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -152,22 +179,32 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     return docs.join(bad, docs[id_col].eqNullSafe(bad["__id"]), "left_anti")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id_col, kept): the normalised words of each hit document outside its hit windows, joined by a space.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-    Only documents with a hit have a row; rows that repeat an id are merged
-    into the first by text, since a span is removed from a document, not a row.
+
+def remove_spans(
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    bench_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, broadcast_docs: int = BROADCAST_DOCS,
+) -> DataFrame:
+    """(id_col, kept) per row of ``docs`` with a hit: its text as it was, without the words inside hit windows.
+
+    What stands between two removed words goes with them; case, marks and
+    white space of the rest stay.  Rows that repeat an id are cut each by its
+    own spans, and rows that repeat both id and text each get a row.
     """
-    found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("n_hit > 0")
-    found = found.select(F.col(id_col).alias("id"), "spans").dropDuplicates(["id"])
-    texts = docs.groupBy(F.col(id_col).alias("id")).agg(F.min(text_col).alias("t"))
-    texts = texts.join(found.select(F.col("id").alias("__id")), F.col("id").eqNullSafe(F.col("__id")), "left_semi")
-    each = texts.select("id", F.posexplode(words(F.col("t"))).alias("pos", "word"))
-    within = found.select("id", F.explode("spans").alias("s")).select(
-        F.col("id").alias("__id"), F.explode(F.sequence(F.col("s.pos"), F.col("s.pos") + F.col("s.length") - 1)).alias("__pos")
-    )
-    left = each.join(within, F.col("id").eqNullSafe(F.col("__id")) & (F.col("pos") == F.col("__pos")), "left_anti")
-    kept = left.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("k"))
-    return found.join(kept.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left").select(
-        F.col("id").alias(id_col), F.coalesce(F.array_join(F.col("k.word"), " "), F.lit("")).alias("kept")
+    found = _found(docs, benchmark, width, id_col, text_col, item_col, bench_text_col, broadcast_windows, broadcast_docs).where("n_hit > 0")
+    gone = F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["length"] - 1)))
+    found = materialize(found.groupBy("id", "th").agg(F.first("spans").alias("spans")).select("id", "th", F.array_sort(F.array_distinct(gone)).alias("gone")), "decontam")
+    text = F.col(text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("th"), text.alias("t"))
+    both = texts.alias("d").join(found.alias("f").hint("merge"), F.col("d.id").eqNullSafe(F.col("f.id")) & (F.col("d.th") == F.col("f.th")))
+    parts = both.select("d.id", "f.gone", F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)).alias("w"), F.split("t", _WORD, -1).alias("gap"))
+    # For each removed position as many kept ones as lie before it, then those after the last one.
+    runs = F.transform("gone", lambda p, k: F.concat(F.array_repeat(F.lit(False), p - F.coalesce(F.get("gone", k - 1), F.lit(-1)) - 1), F.array(F.lit(True))))
+    rest = F.array_repeat(F.lit(False), F.size("w") - F.element_at("gone", -1) - 1)
+    marked = parts.select("id", "w", "gap", F.concat(F.flatten(runs), rest).alias("cut"))
+    piece = F.transform(
+        "w",
+        lambda w, i: F.when(F.get("cut", i), F.when(F.coalesce(F.get("cut", i + 1), F.lit(False)), F.lit("")).otherwise(F.get("gap", i + 1))).otherwise(F.concat(w, F.get("gap", i + 1))),
     )
+    return marked.select(F.col("id").alias(id_col), F.concat(F.get("gap", F.lit(0)), F.array_join(piece, "")).alias("kept"))

@@ -121,7 +121,7 @@ def test_contamination(docs, no_docs, spark):
     bench = spark.createDataFrame([(i, t, 1.0) for i, t in items()], "item_id long, text string, w double")
     want = brute_contamination(corpus(), items())
     for bound in (1 << 20, 0):  # broadcast and shuffled lookup
-        got = decontam.contamination(docs, bench, broadcast_windows=bound).collect()
+        got = decontam.contamination(docs, bench, broadcast_windows=bound, broadcast_docs=bound).collect()
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], ",".join(r["items"]), r["contaminated"]) for r in got) == want
     assert decontam.contamination(no_docs, bench).collect() == []
     clean = decontam.contamination(docs, bench.limit(0)).collect()
@@ -133,5 +133,13 @@ def test_drop_and_remove(docs, spark):
     bad = {k[0] for k in brute_contamination(corpus(), items()) if k[5]}
     left = decontam.drop_contaminated(docs, bench)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in corpus()} - bad
-    kept = {r["doc_id"]: r["kept"] for r in decontam.remove_spans(docs, bench).collect()}
-    assert kept[205] == "" and kept[9] == "" and len(kept[400]) < len(dict(corpus())[400])
+    kept = {r["doc_id"]: r["kept"] for r in decontam.remove_spans(docs, bench).where("doc_id is not null").collect()}
+    assert bench_words(kept[205]) == [] and bench_words(kept[9]) == [] and len(kept[400]) < len(dict(corpus())[400])
+
+
+def test_removed_spans_leave_the_rest_as_it_was(spark):
+    hit = "Alpha, beta; GAMMA (delta) e1 e2 e3 e4 e5 e6 e7 e8 e9"
+    rows = [(1, f"Before -- {hit.upper()}!  After\n it."), (1, f"Twice {hit}. {hit} Done"), (1, f"Twice {hit}. {hit} Done"), (2, "Clean Text"), (None, hit), (3, "short ITEM, short"), (4, None)]
+    bench = spark.createDataFrame([(1, hit), (2, "item")], "item_id long, text string")
+    got = decontam.remove_spans(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert Counter(map(tuple, got)) == Counter([(1, "Before -- !  After\n it."), (1, "Twice  Done"), (1, "Twice  Done"), (None, ""), (3, "short , short")])
