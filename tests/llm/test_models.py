@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from lodeweave.llm import htmltext, labelled_pages, quality
@@ -59,7 +60,7 @@ def test_sample_bounds_and_missing_labels(scored):
     rows, docs, labels = scored
     assert quality.fit(docs, labels.limit(0)).score("x") == 0.5
     assert quality.fit(docs, labels, max_rows=0).score("x") == 0.5
-    assert quality.fit(docs, labels, max_chars=0).score("x") != 2
+    assert quality.fit(docs, labels.union(labels), max_rows=50).score("x") == quality.fit(docs.union(docs), labels, max_rows=50).score("x")
     assert quality.fit(docs, labels.where("quality = 1")).score("x") > 0.9
 
 
@@ -74,30 +75,58 @@ def test_keep_good(scored):
 
 
 def test_pieces_of_a_long_text_count_like_the_whole(monkeypatch):
-    text = "aa bb cc aa " * 50
-    whole = dict(quality.word_counts(text))
+    text = "aa bb cc aa aa " * 50 + "ab文c" * 50
+    rows, part = quality.bag(text)
+    model = quality.Model(np.random.default_rng(1).normal(0, 1, quality.BUCKETS + quality.PAIRS).astype(np.float32), 0.1)
+    score = model.score(text)
+    word = "ab文c" * 50
+    assert len(quality.features(word)) == 1 + sum(len(word) + 2 - n + 1 for n in quality.GRAMS)
     monkeypatch.setattr(quality, "_PIECE", 17)
-    parts = {}
-    for w, n in quality.word_counts(text):
-        parts[w] = parts.get(w, 0) + n
-    assert parts == whole
+    monkeypatch.setattr(quality, "WORD_PIECE", 7)
+    again = quality.bag(text)
+    assert (again[0] == rows).all() and np.allclose(again[1], part) and model.score(text) == pytest.approx(score)
+    monkeypatch.setattr(quality, "_CACHED_WORDS", 1)
+    assert model.score(text) == pytest.approx(score)
 
 
-def test_middle_of_long_words_is_read(monkeypatch):
+def test_middle_of_long_words_is_read():
     ends = "文" * 60
     clean, junk = ends + "良" * 5000 + ends, ends + "×" * 5000 + ends
-    model = quality.train([clean[:4000], junk[:4000]] * 20, [1, 0] * 20)
+    model = quality.train([quality.bag(t) for t in (clean[:4000], junk[:4000])] * 20, [1, 0] * 20)
     assert model.score(clean) > 0.7 > 0.3 > model.score(junk)
-    word = "ab文c" * 50
-    whole = sorted(quality.features(word))
-    assert len(whole) == 1 + sum(len(word) + 2 - n + 1 for n in quality.GRAMS)
-    rows, part = quality.bag(word, {})
-    monkeypatch.setattr(quality, "WORD_PIECE", 7)
-    monkeypatch.setattr(quality, "_PIECE", 50)
-    cache = {}
-    assert sorted(quality.features(word)) == whole and model.score(word, cache) and not cache
-    again = quality.bag(word, {})
-    assert (again[0] == rows).all() and (again[1] == part).all()
+
+
+def test_folded_margin_is_the_softmax_of_the_mean():
+    texts = [t for _, t, _ in labelled(60)] + ["", "one"]
+    bags, labels = [quality.bag(t) for t in texts], [k % 3 > 0 for k in range(len(texts))]
+    vectors, weights, bias = quality.learn(bags, list(map(int, labels)))
+    model = quality.train(bags, list(map(int, labels)))
+    for text in [*texts, "never seen words", "a a a a"]:
+        words = text.split()
+        rows = [i for w in words for i in quality.features(w)]
+        mean = vectors[rows].mean(axis=0) if rows else np.zeros(quality.WIDTH)
+        hashes = np.array([zlib.crc32(w.encode()) for w in words], np.uint64)
+        pairs = quality.Numbers(None).pairs(hashes) + quality.BUCKETS
+        mean = mean + (vectors[pairs].mean(axis=0) if len(pairs) else 0)
+        z = weights @ mean + bias
+        assert model.score(text) == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), abs=1e-4)
+    assert len(set(quality.Numbers(None).pairs(np.array([5, 5, 5], np.uint64)).tolist())) == 1
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    vectors, weights, bias = rng.normal(size=(7, 4)), rng.normal(size=(2, 4)), rng.normal(size=2)
+    part = rng.random(7)
+    loss, by_weights, by_mean = quality.gradients(vectors, weights, bias, part, 1)
+    tiny = 1e-6
+    for at in np.ndindex(weights.shape):
+        moved = weights.copy()
+        moved[at] += tiny
+        assert (quality.gradients(vectors, moved, bias, part, 1)[0] - loss) / tiny == pytest.approx(by_weights[at], abs=1e-4)
+    for at in np.ndindex(vectors.shape):
+        moved = vectors.copy()
+        moved[at] += tiny
+        assert (quality.gradients(moved, weights, bias, part, 1)[0] - loss) / tiny == pytest.approx(part[at[0]] * by_mean[at[1]], abs=1e-4)
 
 
 @pytest.fixture(scope="module")
