@@ -63,6 +63,18 @@ def unsqueeze(data: bytes, dtype: str | np.dtype | None = None) -> bytes | np.nd
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(dtype).reshape(-1)
 
 
+def pack_strings(values: list[bytes]) -> bytes:
+    lengths = squeeze(np.fromiter(map(len, values), np.uint32, len(values)))
+    return len(lengths).to_bytes(8, "little") + lengths + squeeze(b"".join(values))
+
+
+def unpack_strings(data: bytes) -> list[bytes]:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    lengths, whole = unsqueeze(data[8:cut], "<u4"), unsqueeze(data[cut:])
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return [whole[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
+
+
 def in_blocks(
     docs: DataFrame,
     id_col: str,

@@ -27,7 +27,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 
-from lodeweave.llm.blocks import in_blocks, input_bytes, plan, squeeze, unsqueeze
+from lodeweave.llm.blocks import in_blocks, input_bytes, pack_strings, plan, squeeze, unpack_strings, unsqueeze
 from lodeweave.llm.common import Batcher
 from lodeweave.workspace import ship
 
@@ -51,18 +51,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _strings(values: list[bytes]) -> bytes:
-    lengths = squeeze(np.fromiter(map(len, values), np.uint32, len(values)))
-    return len(lengths).to_bytes(8, "little") + lengths + squeeze(b"".join(values))
-
-
-def _split(data: bytes) -> list[bytes]:
-    cut = 8 + int.from_bytes(data[:8], "little")
-    lengths, whole = unsqueeze(data[8:cut], "<u4"), unsqueeze(data[cut:])
-    ends = np.cumsum(lengths, dtype=np.int64)
-    return [whole[e - n : e] for n, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
-
-
 def _number_block(pattern: str, block: str, ids: list, texts: list[bytes]) -> Iterator[tuple]:
     match, numbers, coded = regex.compile(pattern), {}, []
     for text in texts:
@@ -76,7 +64,7 @@ def _number_block(pattern: str, block: str, ids: list, texts: list[bytes]) -> It
     head = [[len(c) for c in coded], [i is not None for i in ids], [0 if i is None else i for i in ids]]
     head = squeeze(np.array(head, np.int64).reshape(-1))
     body = len(head).to_bytes(8, "little") + head + squeeze(rank[flat].astype(np.uint32))
-    vocabulary = _strings([tokens[i].encode("utf-8", "replace") for i in order.tolist()])
+    vocabulary = pack_strings([tokens[i].encode("utf-8", "replace") for i in order.tolist()])
     name = f"{block}-{xxhash.xxh3_128_hexdigest(body + vocabulary)}"
     yield name, len(body).to_bytes(8, "little") + body + vocabulary
 
@@ -133,14 +121,14 @@ def encode(
         out = Batcher(_PACK_FIELDS)
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = _split(_parts(data)[1])
+                tokens = unpack_strings(_parts(data)[1])
                 to = np.fromiter((xxhash.xxh3_64_intdigest(t) % ranges for t in tokens), np.int64, len(tokens))
                 order = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[order], np.arange(ranges + 1))
                 for k in range(ranges):
                     mine = order[cuts[k] : cuts[k + 1]]
                     if len(mine):
-                        row = (block, k, squeeze(np.diff(mine, prepend=0).astype(np.uint32)), _strings([tokens[i] for i in mine.tolist()]))
+                        row = (block, k, squeeze(np.diff(mine, prepend=0).astype(np.uint32)), pack_strings([tokens[i] for i in mine.tolist()]))
                         yield from out.add(row, len(row[2]) + len(row[3]))
         yield from out.flush()
 
@@ -154,7 +142,7 @@ def encode(
         columns: tuple[list, ...] = ([], [], [], [])
         for block, numbers, data in zip(*(group.column(c).to_pylist() for c in ("block", "numbers", "tokens")), strict=True):
             mine = []
-            for token in _split(data):
+            for token in unpack_strings(data):
                 found = once.get(token)
                 if found is None:
                     found = once[token] = one(token)

@@ -87,17 +87,23 @@ def test_counts(docs, no_docs, spark, scores):
     assert tokencount.token_counts(no_docs, scores).collect() == []
 
 
-def test_trie_shares_prefixes_and_starts_anew(scores, monkeypatch):
-    trie = tokencount.Trie(tokencount.Forward(scores))
-    assert trie.count("running") == plain_count("running", scores)
-    before = len(trie.children)
-    trie.count("runner")
-    assert len(trie.children) == before + 2
-    monkeypatch.setattr(tokencount, "MAX_NODES", 20)
-    counts = tokencount.Counts(scores)
-    assert all(counts.of(w.encode()) == plain_count(w, scores) for w in ("alpha", "beta", "alphabet", "gamma", "日本", "alpha"))
+def test_trie_scores_each_prefix_once(scores):
+    forward = tokencount.Forward(scores)
+    trie = tokencount.Trie(forward)
+    words = sorted(["alpha", "beta", "alphabet", "gamma", "日本", "alphas", "al", "日本語", "running", "runner", "runs", "x" * 5000, "x" * 5000 + "y", "x" * 4000])
+    for w in words:
+        assert trie.count(w) == plain_count(w, scores)
+    prefixes = {(tokencount.MARK + w)[:k] for w in words for k in range(1, len(w) + 2)}
+    assert trie.scored == len(prefixes)
+    assert tokencount.counts_of([w.encode() for w in words + words], forward) == {w.encode(): plain_count(w, scores) for w in words}
+
+
+def test_a_very_long_word_is_counted(spark, scores):
+    rows = spark.createDataFrame([(1, "ab" * 150_000), (2, "ab" * 150_000 + "c ab"), (3, "http://example.org/" + "a" * 50)], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_tokens"] for r in tokencount.token_counts(rows, scores, block_bytes=10).collect()}
+    assert found[1] == plain_count("ab" * 150_000, scores) and found[2] == plain_count("ab" * 150_000 + "c", scores) + plain_count("ab", scores)
 
 
 def test_ties_count_fewer_pieces():
     scores = {"▁": -1.0, "a": -1.0, "▁a": -2.0}
-    assert tokencount.Forward(scores).count("a") == 1
+    assert tokencount.counts_of([b"a"], tokencount.Forward(scores)) == {b"a": 1}
