@@ -19,6 +19,8 @@ _NOTICE = [
 _FOOT = ["All rights reserved.", "Privacy policy", "Terms of use", "Imprint", "Powered by", "Copyright", "Back to top", "Follow us"]
 _ADS = ["Buy now and save 50%!", "Sponsored", "Advertisement", "Limited offer", "Click here to win", "Best deals today"]
 
+#: Share of pages whose article has no element of its own around it, and of pages that are an article and nothing else.
+BARE, ALONE = 0.15, 0.08
 #: Ways to wrap the article: opening and closing markup.
 _MAIN = [
     ("<article>", "</article>"), ("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div id="content">', "</div>"),
@@ -87,7 +89,7 @@ class _Writer:
         return self.rng.choice(wraps).format("".join(inner))
 
     def article(self) -> str:
-        opening, closing = self.rng.choice(_MAIN)
+        opening, closing = ("", "") if self.rng.random() < BARE else self.rng.choice(_MAIN)
         out = [opening]
         if self.rng.random() < 0.85:
             out.append(self.block(self.rng.choice(("<h1>{}</h1>", "<h2>{}</h2>", "<h1 class=\"title\">{}</h1>")), self.prose(2, 10), True))
@@ -118,6 +120,9 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     """(html, label of each leaf block in page order); 1 is main text."""
     rng = random.Random(seed)
     w = _Writer(rng)
+    if rng.random() < ALONE:
+        body = w.block("{}", w.prose(3, 60), True) if rng.random() < 0.3 else w.article()
+        return rng.choice(("{}", "<body>{}</body>", "<html><body>{}</body></html>")).format(body), w.labels
     parts = ["<!DOCTYPE html><html><head><title>", w.prose(2, 9), "</title><style>p{margin:0}</style><script>var a='<p>';</script></head><body>"]
     if rng.random() < 0.3:
         parts.append(w.boxed(_NOTICES, _NOTICE, 0.3))

@@ -181,6 +181,16 @@ def test_elements_without_end_hide_no_later_text(before):
     assert [b.text for b in htmltext.leaf_blocks(page)] == ["One.", "Main text."]
 
 
+def test_pages_without_a_wrapper(field):
+    prose = ["The river rose twice in one spring and the town moved its market uphill.", "Nobody wrote down who paid for the new square, which is still uneven."]
+    bare = "".join(f"<p>{p}</p>" for p in prose)
+    assert htmltext.main_text(f"<html><body>{bare}</body></html>", field) == " ".join(prose)
+    assert htmltext.main_text(f"<body><h1>Two floods</h1>{bare}</body>", field) == "Two floods " + " ".join(prose)
+    assert htmltext.main_text(f"<p>{prose[0]}</p>", field) == htmltext.main_text(prose[0], field) == prose[0]
+    page = f"<body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li></ul></nav>{bare}<div class='comments'><p>Great post!</p></div><footer>All rights reserved.</footer></body>"
+    assert htmltext.main_text(page, field) == " ".join(prose)
+
+
 def test_formulas_are_text():
     assert [b.text for b in htmltext.leaf_blocks("<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn><annotation>a=1</annotation></math> holds.</p>")] == ["So a=1 holds."]
     assert [b.text for b in htmltext.leaf_blocks("<textarea>" * 50_000 + "<p>x")] == ["x"]
