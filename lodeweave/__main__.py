@@ -10,8 +10,9 @@ import sys
 def main(argv: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
 
-    from lodeweave.functions.envelope import Envelope
-    from lodeweave.plans.engine import Engine
+    from lodeweave.functions.envelope import Envelope, plural
+    from lodeweave.operators.fusion import counts_by, coverage_totals
+    from lodeweave.plans.engine import MOST_USED, Engine
     from lodeweave.sources import ledger, store, tree
     from lodeweave.sources.diff import changed_lines
 
@@ -46,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     run = ledger.run_suite(spark, root) if a.suite and a.verb in ("effects", "tests", "describe") else None
     warnings, notes = list(run.warnings) if run else [], []
     query = {"verb": a.verb, "symbol": a.symbol, "root": root}
-    if a.symbol and a.verb in ("graph", "tests", "effects", "describe") and not engine.exists(a.symbol):
+    if a.symbol and a.verb in ("graph", "tests", "effects", "describe", "hierarchy", "callers") and not engine.exists(a.symbol):
         warnings.append(f"no definition matches {a.symbol}")
     if a.verb in ("callers", "tests", "graph") and a.symbol and (a.verb != "graph" or a.reverse):
         caveats = engine.dispatch_caveat(a.symbol).collect()
@@ -77,6 +78,21 @@ def main(argv: list[str] | None = None) -> int:
                 notes.append("scripts with inputs of their own: " + ", ".join(scripts[:6]) + (" ..." if len(scripts) > 6 else ""))
         if a.verb == "deadcode":
             warnings.append("names reached only by reflection or from outside the tree are listed too")
+    if a.verb == "effects":
+        counts = counts_by(df, "confidence", "category").orderBy("confidence").collect()
+        notes += [f"{r['n']} {r['confidence']}: {', '.join(r['category'])}" for r in counts]
+    if a.verb == "tests" and a.base and run:
+        totals = coverage_totals(df).orderBy("path").collect()
+        notes.append(f"{sum(r['covered'] for r in totals)} changed lines covered, {sum(r['uncovered'] for r in totals)} uncovered in {len(totals)} files")
+        bare = [r["path"] for r in totals if not r["covered"]]
+        warnings += [f"no covered changed line in {', '.join(bare)}"] if bare else []
+    if a.verb == "mock-targets":
+        drifted = df.where("verdict = 'drifted'").count()
+        warnings += [f"{drifted} drifted {plural('target', drifted)}"] if drifted else []
+    if a.verb == "deadcode":
+        notes.append(f"among {engine.population.count()} callables")
+    if a.verb == "canonical" and df.where("section = 'most-used'").count() == MOST_USED:
+        warnings.append(f"most-used shows the first {MOST_USED} by use at most")
     answer = Envelope.of("lodeweave", query, df, what, warnings, notes)
     print(answer.json(a.pretty) if a.json or a.pretty else answer.text())
     return 0

@@ -87,3 +87,10 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     labels = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def joined_to(links: DataFrame, left: str, right: str, seeds: DataFrame, local_edges: int = 0) -> DataFrame:
+    """(node) of everything that ``links`` join, in either direction, to a node of ``seeds`` (node) they mention."""
+    parts = materialize(connected_components(links, left, right, local_edges=local_edges), "joined")
+    hit = parts.join(seeds, "node", "left_semi").select("component").distinct()
+    return parts.join(hit, "component", "left_semi").select("node")

@@ -43,3 +43,28 @@ def fill_header(df: DataFrame, group: list[str], order: str, header: Column, out
 
     over = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn(out_col, F.last(header, ignorenulls=True).over(over))
+
+
+def sole_value(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, sole): the one distinct ``value`` of each group, null where there are several."""
+    n = F.count_distinct(F.col(value))
+    return df.groupBy(*keys).agg(F.when(n == 1, F.min(value)).alias("sole"))
+
+
+def covered_lines(changed: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(path, line, status, tests): distinct (path, line) of ``changed`` with the sorted ids (nodeid) that ``coverage`` has for them."""
+    ran = coverage.groupBy("path", "line").agg(F.array_sort(F.collect_set("nodeid")).alias("tests"))
+    out = changed.select("path", "line").distinct().join(ran, ["path", "line"], "left")
+    status = F.when(F.col("tests").isNull(), "uncovered").otherwise("covered")
+    return out.select("path", "line", status.alias("status"), F.coalesce("tests", F.array().cast("array<string>")).alias("tests"))
+
+
+def coverage_totals(lines: DataFrame) -> DataFrame:
+    """(path, covered, uncovered) of ``covered_lines``; a file without a covered line has 0."""
+    count = lambda status: F.sum((F.col("status") == status).cast("long"))
+    return lines.groupBy("path").agg(count("covered").alias("covered"), count("uncovered").alias("uncovered"))
+
+
+def counts_by(df: DataFrame, key: str, kinds: str) -> DataFrame:
+    """(key, n, kinds): rows per ``key`` and the sorted distinct ``kinds`` among them."""
+    return df.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(kinds)).alias(kinds))

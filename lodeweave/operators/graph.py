@@ -93,13 +93,13 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = None, lo
     return out
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, extra: DataFrame | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, extra: DataFrame | None = None, local_edges: int | None = None) -> DataFrame:
     """(node) reached from any of ``seeds`` (column node), the seeds included, over ``edges`` and ``extra`` edges."""
     both = edges.select("src", "dst")
     if extra is not None:
         both = both.union(extra.select("src", "dst"))
     seeds = seeds.select("node").where("node is not null").distinct()
-    return seeds.union(closure(both, seeds).select("node"))
+    return seeds.union(closure(both, seeds, local_edges=local_edges).select("node"))
 
 
 def pair_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -282,3 +282,23 @@ def cycles(edges: DataFrame) -> DataFrame:
         return pd.DataFrame({"component": [group["component"].iloc[0]], "size": [len(names)], "path": [_cycle_of(group)]})
 
     return inside.groupBy("component").applyInPandas(one, f"component {kind}, size int, path array<{kind}>")
+
+
+def unreached(population: DataFrame, live: DataFrame, key: str, owner: str) -> DataFrame:
+    """Rows of ``population`` whose ``key`` is no node of ``live``, but for those whose ``owner`` is unreached itself."""
+    dead = materialize(population.join(live.select(F.col("node").alias(key)), key, "left_anti"), "dead")
+    return dead.join(dead.select(F.col(key).alias(owner)).distinct(), owner, "left_anti").select(*population.columns)
+
+
+def callers_of(edges: DataFrame, skip_src: DataFrame | None = None, skip_dst: DataFrame | None = None) -> DataFrame:
+    """(node, uses): distinct other sources of each target; ``skip_src`` and ``skip_dst`` (node) are left out on their side."""
+    e = edges.where("src <> dst")
+    for end, skip in (("src", skip_src), ("dst", skip_dst)):
+        if skip is not None:
+            e = e.join(skip.select(F.col("node").alias(end)), end, "left_anti")
+    return e.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("uses"))
+
+
+def most_used(uses: DataFrame, least: int, limit: int) -> DataFrame:
+    """The ``limit`` rows of (node, uses) of most uses, ``least`` at least; of equal ones those of the smaller node."""
+    return uses.where(F.col("uses") >= least).orderBy(F.desc("uses"), "node").limit(limit)

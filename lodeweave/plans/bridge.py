@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from lodeweave.functions import predicates
 from lodeweave.functions.ids import def_fqn, fqn_names, import_module_name, module_name, scoped_by
 from lodeweave.functions.rules import effect_category, event_category
-from lodeweave.operators.components import connected_components
-from lodeweave.operators.fusion import fill_header, first_by, first_match, fuse, multiset_digest
-from lodeweave.operators.graph import LOCAL_EDGES, closure, cycles, pair_closure, reachable, reversed_edges, strong_components
+from lodeweave.operators.components import joined_to
+from lodeweave.operators.fusion import counts_by, coverage_totals, covered_lines, fill_header, first_by, first_match, fuse, multiset_digest, sole_value
+from lodeweave.operators.graph import LOCAL_EDGES, callers_of, closure, cycles, most_used, pair_closure, reachable, reversed_edges, strong_components, unreached
 from lodeweave.operators.joins import longest_prefix_join, prefix_semi_join, unique_suffix_table
+from lodeweave.sources.store import snapshot_diff
 from lodeweave.workspace import materialize
 
 
@@ -80,6 +81,12 @@ SELECT d.node, d.depth, min(p.node) AS via FROM d JOIN e ON e.dst = d.node JOIN
 GROUP BY d.node, d.depth"""
 
 
+def q01b_closure_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q01 in distributed rounds, as graphs too large for one task are walked."""
+    e = part_edges(spark, sf_dir)
+    return closure(e, e.agg(F.min("src").alias("node")), 4, local_edges=0).select("node", "depth")
+
+
 def _brand_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "part").where("p_brand = 'Brand#13'").select(F.col("p_partkey").alias("node"))
 
@@ -100,6 +107,16 @@ r(node) AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' UNION SELECT x
 SELECT node FROM r"""
 
 
+def q04b_reachable_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts reached from one brand over E, in distributed rounds."""
+    return reachable(part_edges(spark, sf_dir), _brand_seeds(spark, sf_dir), local_edges=0)
+
+
+SQL_Q04B = f"""WITH RECURSIVE {_e()}, r(node) AS (
+  SELECT p_partkey FROM part WHERE p_brand = 'Brand#13' UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)
+SELECT node FROM r"""
+
+
 def q05_dead_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts that no part of the brand reaches."""
     live = reachable(part_edges(spark, sf_dir), _brand_seeds(spark, sf_dir))
@@ -117,10 +134,12 @@ def q06_dead_subsumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = reachable(part_edges(spark, sf_dir), _brand_seeds(spark, sf_dir))
     lines = _table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_partkey", "l_suppkey")
     used = lines.join(live, lines["l_partkey"] == live["node"], "left_semi").select("l_suppkey").distinct()
-    supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    dead = supplier.join(used, supplier["s_suppkey"] == used["l_suppkey"], "left_anti")
-    alive = supplier.join(used, supplier["s_suppkey"] == used["l_suppkey"], "left_semi").select("s_nationkey").distinct()
-    return dead.join(alive, "s_nationkey", "left_semi").select("s_suppkey", "s_nationkey")
+    key = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    supplier = _table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", key("s", "s_suppkey").alias("fqn"), key("n", "s_nationkey").alias("owner"))
+    nations = supplier.select(F.lit(None).cast("bigint").alias("s_suppkey"), "s_nationkey", F.col("owner").alias("fqn"), F.lit("").alias("owner")).distinct()
+    reached = supplier.join(used, supplier["s_suppkey"] == used["l_suppkey"], "left_semi")
+    reached = reached.select(F.col("fqn").alias("node")).union(reached.select("owner")).distinct()
+    return unreached(supplier.union(nations), reached, "fqn", "owner").where("s_suppkey is not null").select("s_suppkey", "s_nationkey")
 
 
 SQL_Q06 = f"""WITH RECURSIVE {_e()}, r(node) AS (
@@ -133,10 +152,10 @@ WHERE s_suppkey NOT IN (SELECT l_suppkey FROM used) AND s_nationkey IN (SELECT s
 
 def q07_most_used(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30 parts of most distinct suppliers outside one brand."""
-    skip = _table(spark, sf_dir, "part").where("p_brand = 'Brand#13'").select("p_partkey")
-    lines = _table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    uses = lines.join(skip, lines["l_partkey"] == skip["p_partkey"], "left_anti").groupBy("l_partkey").agg(F.count("*").alias("uses"))
-    return uses.where("uses >= 2").orderBy(F.desc("uses"), "l_partkey").limit(30)
+    skip = _table(spark, sf_dir, "part").where("p_brand = 'Brand#13'").select(F.concat(F.lit("p"), "p_partkey").alias("node"))
+    lines = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    uses = callers_of(lines, None, skip).select(F.substring("node", 2, 20).cast("bigint").alias("node"), "uses")
+    return most_used(uses, 2, 30).withColumnRenamed("node", "l_partkey")
 
 
 SQL_Q07 = """SELECT l_partkey, count(DISTINCT l_suppkey) AS uses FROM lineitem
@@ -153,6 +172,11 @@ SQL_Q08 = f"""WITH RECURSIVE {_e(44)}, p(a, b) AS (SELECT src, dst FROM e UNION
 SELECT x.a AS node, min(x.b) AS component FROM p x JOIN p y ON y.a = x.b AND y.b = x.a GROUP BY x.a"""
 
 
+def q08c_strong_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q08 in distributed rounds."""
+    return strong_components(part_edges(spark, sf_dir, 44), local_edges=0)
+
+
 def q08b_cycle_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components with their sizes; a representative cycle is one of its columns' own check."""
     found = cycles(part_edges(spark, sf_dir, 44))
@@ -335,8 +359,7 @@ SQL_Q17 = f"WITH {_FUSE_SQL} SELECT user_id, event_type, label FROM f"
 
 def q18_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: rows per label with the sorted types among them."""
-    types = F.array_join(F.array_sort(F.collect_set("event_type")), ",")
-    return q17_fusion(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"), types.alias("types"))
+    return counts_by(q17_fusion(spark, sf_dir), "label", "event_type").select("label", "n", F.array_join("event_type", ",").alias("types"))
 
 
 SQL_Q18 = f"WITH {_FUSE_SQL} SELECT label, count(*) AS n, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types FROM f GROUP BY label"
@@ -348,13 +371,8 @@ def q19_change_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.sequence(F.col("l_linenumber").cast("long") * 3, F.col("l_linenumber").cast("long") * 3 + F.pmod("l_partkey", F.lit(4)))
     changed = lines.select(F.pmod("l_suppkey", F.lit(10)).alias("path"), F.explode(span).alias("line")).distinct()
     events = _table(spark, sf_dir, "events")
-    executed = events.select(F.pmod("user_id", F.lit(10)).alias("path"), F.hour("ts").cast("long").alias("line"), "event_type").distinct()
-    tests = executed.groupBy("path", "line").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("tests"))
-    joined = changed.join(tests, ["path", "line"], "left")
-    return joined.select(
-        "path", "line", F.when(F.col("tests").isNull(), "uncovered").otherwise("covered").alias("status"),
-        F.coalesce("tests", F.lit("")).alias("tests"),
-    )
+    executed = events.select(F.pmod("user_id", F.lit(10)).alias("path"), F.hour("ts").cast("long").alias("line"), F.col("event_type").alias("nodeid"))
+    return covered_lines(changed, executed).withColumn("tests", F.array_join("tests", ","))
 
 
 SQL_Q19 = """WITH c AS (SELECT DISTINCT l_suppkey % 10 AS path, unnest(range(l_linenumber * 3, l_linenumber * 3 + l_partkey % 4 + 1)) AS line FROM lineitem WHERE l_quantity = 50),
@@ -362,6 +380,15 @@ x AS (SELECT user_id % 10 AS path, hour(ts) AS line, array_to_string(list_sort(l
 SELECT path, line, CASE WHEN tests IS NULL THEN 'uncovered' ELSE 'covered' END AS status, coalesce(tests, '') AS tests FROM c LEFT JOIN x USING (path, line)"""
 
 
+def q19b_coverage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: covered and uncovered lines of each path of q19."""
+    return coverage_totals(q19_change_coverage(spark, sf_dir))
+
+
+SQL_Q19B = f"""SELECT path, count(*) FILTER (status = 'covered') AS covered, count(*) FILTER (status = 'uncovered') AS uncovered
+FROM ({SQL_Q19}) GROUP BY path"""
+
+
 def q20_last_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last user turn at or before each turn of a conversation."""
     talk = _table(spark, sf_dir, "conversations")
@@ -399,14 +426,9 @@ UNION ALL SELECT DISTINCT c_custkey, 'test', o_orderstatus FROM roots JOIN order
 def q22_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots of the documents compared by hash; one lacks a source each, German texts were edited."""
     docs = _table(spark, sf_dir, "documents")
-    old = docs.where("source <> 'src3'").select("doc_id", F.sha2("text", 256).alias("old"))
-    new = docs.where("source <> 'src5'").select(
-        "doc_id", F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("new"),
-    )
-    status = first_match(
-        [(F.col("old").isNull(), "added"), (F.col("new").isNull(), "removed"), (F.col("old") != F.col("new"), "changed")], F.lit("same"),
-    )
-    return old.join(new, "doc_id", "full").select("doc_id", status.alias("status"))
+    edited = F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    old, new = docs.where("source <> 'src3'"), docs.where("source <> 'src5'")
+    return snapshot_diff(old.select("doc_id", F.sha2("text", 256).alias("sha")), new.select("doc_id", F.sha2(edited, 256).alias("sha")), "doc_id")
 
 
 SQL_Q22 = """WITH o AS (SELECT doc_id, sha256(text) AS old FROM documents WHERE source <> 'src3'),
@@ -418,10 +440,8 @@ FROM o FULL JOIN n USING (doc_id)"""
 def q23_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts joined to the smallest source or largest target in either direction."""
     e = part_edges(spark, sf_dir)
-    parts = materialize(connected_components(e, "src", "dst", local_edges=LOCAL_EDGES), "affected")
     seeds = e.agg(F.explode(F.array(F.min("src"), F.max("dst"))).alias("node"))
-    hit = parts.join(seeds, "node", "left_semi").select("component").distinct()
-    return parts.join(hit, "component", "left_semi").select("node")
+    return joined_to(e, "src", "dst", seeds, LOCAL_EDGES)
 
 
 SQL_Q23 = f"""WITH RECURSIVE {_e()}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
@@ -463,21 +483,25 @@ FROM part JOIN (SELECT p_brand, min(p_type) AS low, max(p_type) AS high FROM par
 
 
 def q26_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """String predicates over part names and page addresses."""
+    """Names, bases and surfaces of definitions built from parts."""
     part = _table(spark, sf_dir, "part").select(
-        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_name").startswith("a").alias("starts"),
-        F.col("p_name").endswith("e").alias("ends"), F.col("p_name").rlike("^[a-z]+ ").alias("shaped"), (F.element_at(F.split("p_name", " "), -1) == F.split_part("p_type", F.lit(" "), F.lit(-1))).alias("leaf"),
-    )
-    pages = _table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("u"), F.col("page_id").cast("string")), F.col("url").startswith("https"), F.col("url").endswith("#top"),
-        F.col("url").rlike(r"^https?://[a-z]\."), (F.split_part("url", F.lit("/"), F.lit(4)) == "en"),
-    )
-    return part.union(pages)
+        "p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word"), (F.col("p_size") % 4).alias("k"), F.split(F.lower("p_type"), " ").alias("types")
+    )
+    word, k = F.col("word"), F.col("k")
+    name = F.when(k == 0, F.concat(F.lit("test_"), word)).when(k == 1, F.concat(F.lit("__"), word, F.lit("__"))).when(k == 2, F.concat(F.lit("_"), word)).otherwise(word)
+    bases = F.array(F.array_join("types", "."), F.concat(F.lit("unittest."), F.initcap(F.element_at("types", -1)), F.when(k == 0, "TestCase").otherwise("Case")))
+    rows = part.select("p_partkey", name.alias("name"), bases.alias("bases"), F.when(k == 3, F.array(word)).otherwise(F.array().cast("array<string>")).alias("container"))
+    return rows.select(
+        "p_partkey", "name", predicates.is_test_name(F.col("name")).alias("test_name"), predicates.is_dunder(F.col("name")).alias("dunder"),
+        predicates.has_test_case_base(F.col("bases")).alias("test_case"),
+        predicates.is_public_surface(F.lit("function"), F.col("container"), F.lit(False), F.col("name")).alias("public"),
+    )
 
 
-SQL_Q26 = r"""SELECT 'p' || p_partkey AS key, starts_with(p_name, 'a') AS starts, ends_with(p_name, 'e') AS ends, regexp_matches(p_name, '^[a-z]+ ') AS shaped,
-  split_part(p_name, ' ', -1) = split_part(p_type, ' ', -1) AS leaf FROM part
-UNION ALL SELECT 'u' || page_id, starts_with(url, 'https'), ends_with(url, '#top'), regexp_matches(url, '^https?://[a-z]\.'), split_part(url, '/', 4) = 'en' FROM pages"""
+SQL_Q26 = r"""WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS word, p_size % 4 AS k FROM part),
+n AS (SELECT *, CASE k WHEN 0 THEN 'test_' || word WHEN 1 THEN '__' || word || '__' WHEN 2 THEN '_' || word ELSE word END AS name FROM p)
+SELECT p_partkey, name, starts_with(name, 'test') AS test_name, regexp_matches(name, '^__.*__$') AND length(name) > 4 AS dunder, k = 0 AS test_case,
+  k <> 3 AND NOT starts_with(name, '_') AS public FROM n"""
 
 
 def q27_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -507,7 +531,7 @@ def q29_caller_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct parts before each part in orders, itself left out."""
     over = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     pairs = _table(spark, sf_dir, "lineitem").select(F.lag("l_partkey").over(over).alias("src"), F.col("l_partkey").alias("dst"))
-    return pairs.where("src <> dst").distinct().groupBy("dst").agg(F.count("*").alias("callers"))
+    return callers_of(pairs).select(F.col("node").alias("dst"), F.col("uses").alias("callers"))
 
 
 SQL_Q29 = """SELECT dst, count(DISTINCT src) AS callers FROM (SELECT l_partkey AS dst,
@@ -638,12 +662,9 @@ SQL_Q35 = "SELECT conv_id, role, count(*) AS n, min(turn) AS first, max(length(t
 
 def q36_sole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supplier of high balance of each nation if there is just one."""
-    rich = _table(spark, sf_dir, "supplier").where("s_acctbal > 6000").groupBy("s_nationkey").agg(
-        F.count("*").alias("n"), F.min("s_suppkey").alias("s"),
-    )
+    rich = sole_value(_table(spark, sf_dir, "supplier").where("s_acctbal > 6000"), "s_suppkey", "s_nationkey")
     nation = _table(spark, sf_dir, "nation")
-    joined = nation.join(rich, nation["n_nationkey"] == rich["s_nationkey"], "left")
-    return joined.select("n_nationkey", F.when(F.col("n") == 1, F.col("s")).alias("sole"))
+    return nation.join(rich, nation["n_nationkey"] == rich["s_nationkey"], "left").select("n_nationkey", "sole")
 
 
 SQL_Q36 = """SELECT n_nationkey, CASE WHEN count(s_suppkey) = 1 THEN min(s_suppkey) END AS sole
@@ -651,13 +672,16 @@ FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 6000
 
 _ALL = {
     "q01_closure_forward": (q01_closure_forward, SQL_Q01),
+    "q01b_closure_rounds": (q01b_closure_rounds, SQL_Q01),
     "q02_closure_reverse": (q02_closure_reverse, SQL_Q02),
     "q03_closure_via": (q03_closure_via, SQL_Q03),
     "q04_reachable_extra": (q04_reachable_extra, SQL_Q04),
+    "q04b_reachable_rounds": (q04b_reachable_rounds, SQL_Q04B),
     "q05_dead_parts": (q05_dead_parts, SQL_Q05),
     "q06_dead_subsumed": (q06_dead_subsumed, SQL_Q06),
     "q07_most_used": (q07_most_used, SQL_Q07),
     "q08_strong_components": (q08_strong_components, SQL_Q08),
+    "q08c_strong_rounds": (q08c_strong_rounds, SQL_Q08),
     "q08b_cycle_sizes": (q08b_cycle_sizes, SQL_Q08B),
     "q09_subclasses": (q09_subclasses, SQL_Q09),
     "q10_overrides": (q10_overrides, SQL_Q10),
@@ -670,6 +694,7 @@ _ALL = {
     "q17_fusion": (q17_fusion, SQL_Q17),
     "q18_label_counts": (q18_label_counts, SQL_Q18),
     "q19_change_coverage": (q19_change_coverage, SQL_Q19),
+    "q19b_coverage_totals": (q19b_coverage_totals, SQL_Q19B),
     "q20_last_header": (q20_last_header, SQL_Q20),
     "q21_sections": (q21_sections, SQL_Q21),
     "q22_snapshot_diff": (q22_snapshot_diff, SQL_Q22),

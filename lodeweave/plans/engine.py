@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import predicates as P
 from lodeweave.functions.ids import fqn_names, import_module_name, leaf, location, module_name, parent, scope_fqn, scoped_by
-from lodeweave.operators.components import connected_components
-from lodeweave.operators.graph import LOCAL_EDGES, closure, cycles, reachable, reversed_edges
+from lodeweave.operators.components import joined_to
+from lodeweave.operators.fusion import covered_lines, first_by, fuse, sole_value
+from lodeweave.operators.graph import LOCAL_EDGES, callers_of, closure, cycles, most_used, reachable, reversed_edges, unreached
 from lodeweave.operators.joins import longest_prefix_join, prefix_semi_join, unique_suffix_join
 from lodeweave.plans.facts import facts, split
 from lodeweave.plans.resolve import Resolver, relative_module
@@ -105,9 +106,7 @@ class Engine:
         d = found.where("kind <> 'import'").select(
             "path", "line", "col", "kind", F.lit("definition").alias("role"), F.lit(None).cast("string").alias("resolves_to"),
         )
-        sole = d.select(location().alias("l")).distinct().agg(F.count("*").alias("n"), F.min("l").alias("only")).select(
-            F.when(F.col("n") == 1, F.col("only")).alias("only")
-        )
+        sole = sole_value(d.select(location().alias("l")), "l").withColumnRenamed("sole", "only")
         # One row, so the side is bounded.
         b = found.where("kind = 'import'").crossJoin(F.broadcast(sole)).select("path", "line", "col", "kind", F.lit("binding"), "only")
         return self._located(d.union(b).dropDuplicates(["path", "line", "col"]))
@@ -229,18 +228,24 @@ class Engine:
         )
         for target in self.console:
             why = F.when(why.isNull() & fqn_names(F.col("fqn"), target), "console-script").otherwise(why)
-        return materialize(d.withColumn("why", why).where("why is not null").groupBy("fqn").agg(F.min("why").alias("why")), "entries")
+        first = F.min(F.struct("path", "offset", "why"))["why"]
+        return materialize(d.withColumn("why", why).where("why is not null").groupBy("fqn").agg(first.alias("why")), "entries")
 
     @cached_property
-    def seeds(self) -> DataFrame:
-        """(node) from which code runs: framework entries, tests, exports, import-time uses, dotted strings."""
-        exported = self.tables["exports"].select(F.concat_ws(".", module_name(F.col("path")), "name").alias("symbol"))
-        exported = exported.join(self.resolver.symbols, "symbol").where("kind in ('function', 'class')").select("fqn")
+    def driven(self) -> DataFrame:
+        """(fqn) that a framework or tool runs: framework entries, what modules use when they are loaded, and what dotted strings name."""
         touched = self.resolver.resolved.where("module_scope").select("fqn")
         named = self.tables["dotted_strings"].select("value").distinct()
         known = self.defs.where("kind in ('function', 'class')").select("fqn").distinct()
         strings = unique_suffix_join(named, "value", known, "fqn", "hit").where("hit is not null").select("hit")
-        return self.framework_entries.select("fqn").union(self.tests_defs.select("fqn")).union(exported).union(touched).union(strings).distinct().withColumnRenamed("fqn", "node")
+        return materialize(self.framework_entries.select("fqn").union(touched).union(strings).distinct(), "driven")
+
+    @cached_property
+    def seeds(self) -> DataFrame:
+        """(node) from which code runs: framework entries, tests, exports, import-time uses, dotted strings."""
+        exported = self.tables["exports"].select(F.concat_ws(".", module_name(F.col("path")), "name").alias("symbol"))
+        exported = exported.join(self.resolver.symbols, "symbol").where("kind in ('function', 'class')").select("fqn")
+        return self.driven.union(self.tests_defs.select("fqn")).union(exported).distinct().withColumnRenamed("fqn", "node")
 
     @cached_property
     def _inside(self) -> DataFrame:
@@ -254,23 +259,31 @@ class Engine:
         mentions = self.resolver.resolved.where("not is_call")
         return self.edges.union(self.resolver.owned(mentions).select(F.col("owner").alias("src"), F.col("fqn").alias("dst"))).distinct()
 
+    @property
+    def population(self) -> DataFrame:
+        """The functions and classes among which ``deadcode`` looks."""
+        return self.defs.where("kind in ('function', 'class')")
+
     def deadcode(self) -> DataFrame:
         """(fqn, path, line, col, kind) of callables that no entry point reaches; methods of a dead class are not listed."""
         live = materialize(
             reachable(self.edges, self.seeds, self.resolver.override_edges.union(self._inside)), "live",
-        ).withColumnRenamed("node", "fqn")
-        population = self.defs.where("kind in ('function', 'class')")
-        dead = materialize(
-            population.join(live, "fqn", "left_anti").withColumn("owner", scope_fqn(F.col("path"), F.col("container"))), "dead",
         )
-        gone = dead.select(F.col("fqn").alias("owner")).distinct()
-        left = dead.join(gone, "owner", "left_anti")
+        owned = self.population.withColumn("owner", scope_fqn(F.col("path"), F.col("container")))
+        left = unreached(owned, live, "fqn", "owner")
         kind = F.when((F.col("kind") == "function") & (F.size("container") > 0), "method").otherwise(F.col("kind"))
         return left.select("fqn", "path", "line", "col", kind.alias("kind")).orderBy("path", "line", "col")
 
     def dispatch_caveat(self, symbol: str) -> DataFrame:
-        """(fqn, why) of the definitions of a symbol that something outside the tree may call."""
-        return self.framework_entries.join(self._targets(_symbol(symbol)), "fqn", "left_semi")
+        """(fqn, why): the first definition of a symbol, in file order, that something outside the tree may call; at most one row.
+
+        Marks of the definition itself come before uses by a module or a
+        dotted string, which make it a framework entry.
+        """
+        at = self.nodes.select("fqn", "path", "line", "col").join(self._targets(_symbol(symbol)), "fqn", "left_semi")
+        own = at.join(self.framework_entries, "fqn").withColumn("o", F.lit(0))
+        used = at.join(self.driven, "fqn", "left_semi").withColumns({"why": F.lit("framework-entry"), "o": F.lit(1)})
+        return own.unionByName(used).orderBy("o", "path", "line", "col").limit(1).select("fqn", "why")
 
     def canonical(self) -> DataFrame:
         """(section, fqn, loc, uses, markers): most used callables, public surface that no test reaches, tests with markers."""
@@ -279,11 +292,9 @@ class Engine:
             self.files.where(P.in_test_tree(F.col("path"))).select(module_name(F.col("path")))
         ).distinct()
         entry = self.defs.where(P.is_entry_file(F.col("path"))).select("fqn").distinct()
-        e = self.edges.where("src <> dst").join(trees.withColumnRenamed("fqn", "src"), "src", "left_anti")
-        e = e.join(
-            trees.withColumnRenamed("fqn", "dst"), "dst", "left_anti",
-        ).join(entry.withColumnRenamed("fqn", "dst"), "dst", "left_anti").where(~P.is_dunder(leaf(F.col("dst"))))
-        used = e.groupBy(F.col("dst").alias("fqn")).agg(F.countDistinct("src").alias("uses")).where(f"uses >= {MIN_USES}").orderBy(F.desc("uses"), "fqn").limit(MOST_USED)
+        skip = trees.union(entry).distinct().withColumnRenamed("fqn", "node")
+        uses = callers_of(self.edges.where(~P.is_dunder(leaf(F.col("dst")))), trees.withColumnRenamed("fqn", "node"), skip)
+        used = most_used(uses, MIN_USES, MOST_USED).withColumnRenamed("node", "fqn")
         none = F.lit(None).cast("string")
         used = used.join(info, "fqn", "left").select(
             F.lit("most-used").alias("section"), "fqn", location().alias("loc"), "uses", none.alias("markers"),
@@ -297,7 +308,7 @@ class Engine:
             reachable(self.edges, self.tests_defs.select(F.col("fqn").alias("node")), self.resolver.override_edges), "tested",
         )
         tested = reached.select(F.col("node").alias("fqn")).union(reached.select(parent(F.col("node")))).distinct()
-        left = public.join(tested, "fqn", "left_anti").join(self.framework_entries, "fqn", "left_anti")
+        left = public.join(tested, "fqn", "left_anti").join(self.driven, "fqn", "left_anti")
         untested = left.select(F.lit("untested"), "fqn", location(), F.lit(None).cast("bigint"), none)
         mark = lambda c: F.transform(F.filter(c, lambda d: d.rlike(r"(^|\.)mark\.\w")), lambda d: F.regexp_extract(d, r"(?:^|\.)mark\.(\w+)", 1))
         owners = self.defs.where("kind = 'class'").select(F.col("fqn").alias("owner"), mark(F.col("decorators")).alias("inherited"))
@@ -322,13 +333,7 @@ class Engine:
         """(path, line, status, tests): changed (path, line) joined to coverage (nodeid, path, line); ``unknown`` without coverage."""
         if coverage is None:
             return changed.distinct().select("path", "line", F.lit("unknown").alias("status"), F.array().cast(_STRINGS).alias("tests"))
-        ran = coverage.groupBy("path", "line").agg(F.array_sort(F.collect_set("nodeid")).alias("tests"))
-        out = changed.distinct().join(ran, ["path", "line"], "left")
-        out = out.select(
-            "path", "line", F.when(F.col("tests").isNull(), "uncovered").otherwise("covered").alias("status"),
-            F.coalesce("tests", F.array().cast(_STRINGS)).alias("tests"),
-        )
-        return out.orderBy(F.desc("status"), F.concat_ws(":", "path", "line"))
+        return covered_lines(changed, coverage).orderBy(F.desc("status"), F.concat_ws(":", "path", "line"))
 
     def describe(self, symbol: str, shapes: DataFrame | None = None) -> DataFrame:
         """(section, fqn, loc, kind, depth, detail) of definition, callers, callees and tests; detail holds the signature."""
@@ -447,26 +452,22 @@ class Engine:
             inside = sites.where("not import_time").join(reach.withColumnRenamed("fqn", "owner"), "owner", "left_semi")
             sites = inside.unionByName(sites.where("import_time").join(play, "path", "left_semi"))
         auditable = F.col("category").isin(*AUDITABLE)
-        if observed is None:
-            out = sites.withColumn("confidence", F.when(auditable, "predicted").otherwise("unverifiable"))
-        else:
-            seen = observed.select(F.col("owner_fqn").alias("owner"), "category").where("category <> 'import'").distinct()
-            hit = sites.join(seen.withColumn("__seen", F.lit(True)), ["owner", "category"], "left")
-            out = hit.withColumn(
-                "confidence", F.when(F.col("__seen"), "confirmed").when(auditable, "predicted").otherwise("unverifiable"),
-            ).drop("__seen")
-            only = seen.join(sites.select("owner", "category").distinct(), ["owner", "category"], "left_anti")
-            if reach is not None:
-                only = only.join(reach.withColumnRenamed("fqn", "owner"), "owner", "left_semi")
-            none = F.lit(None).cast("string")
-            out = out.unionByName(
-                only.select(
-                    "owner", "category", none.alias("api"), none.alias("path"), none.alias("loc"), F.lit(False).alias("import_time"),
-                    F.lit("observed").alias("confidence"),
-                )
-            )
+        # Of sites of one place and callee the first counts; what is only observed has no place.
+        keys = ["owner", "category"]
+        seen = sites.select(*keys).limit(0) if observed is None else observed.select(F.col("owner_fqn").alias("owner"), "category").where("category <> 'import'")
+        labels = fuse(sites, seen, keys)
+        shown = first_by(sites.select("loc", "api", "owner", "category", "path", "import_time"), ["loc", "api"], [F.col("import_time"), F.col("owner"), F.col("category")])
+        sure = F.when((F.col("label") == "predicted") & ~auditable, "unverifiable").otherwise(F.col("label"))
+        out = shown.join(labels, keys).withColumn("confidence", sure).drop("label")
+        only = labels.where("label = 'observed'")
+        if reach is not None:
+            only = only.join(reach.withColumnRenamed("fqn", "owner"), "owner", "left_semi")
+        none = F.lit(None).cast("string")
+        out = out.unionByName(
+            only.select("owner", "category", none.alias("api"), none.alias("path"), none.alias("loc"), F.lit(False).alias("import_time"), F.col("label").alias("confidence"))
+        )
         rank = F.array_position(F.array(*(F.lit(c) for c in ("confirmed", "observed", "predicted", "unverifiable"))), F.col("confidence"))
-        return out.dropDuplicates(["loc", "api", "owner", "category"]).drop("path").orderBy(rank, "category", "loc")
+        return out.select("owner", "category", "api", "loc", "import_time", "confidence").orderBy(rank, "category", "loc")
 
     def mock_targets(self) -> DataFrame:
         """(target, loc, verdict) of patch targets: valid, drifted, external, unverifiable or dynamic."""
@@ -522,12 +523,23 @@ class Engine:
     # Snapshots
 
     def affected(self, changed: DataFrame) -> DataFrame:
-        """(path) of files joined to ``changed`` (path) by imports in either direction."""
+        """(path) whose resolved facts may change with the files ``changed`` (path).
+
+        Those joined to a changed file by imports in either direction, and
+        those with a recorded value that points into one: a callee, a caller,
+        the target of a use, or a base class.
+        """
         modules = self.files.select(import_module_name(F.col("path")).alias("target"), F.col("path").alias("target_file"))
         links = self.import_edges.join(modules, "target").where("importer_file <> target_file").select("importer_file", "target_file")
-        parts = connected_components(links, "importer_file", "target_file", local_edges=LOCAL_EDGES)
-        hit = parts.join(changed.select(F.col("path").alias("node")), "node", "left_semi").select("component").distinct()
-        return parts.join(hit, "component", "left_semi").select(F.col("node").alias("path")).union(changed.select("path")).distinct()
+        joined = joined_to(links, "importer_file", "target_file", changed.select(F.col("path").alias("node")), LOCAL_EDGES)
+        at = self.nodes.select("fqn", "path")
+        ends = self.edges.join(at.toDF("src", "src_path"), "src").join(at.toDF("dst", "dst_path"), "dst")
+        values = ends.select("src_path", "dst_path").union(ends.select("dst_path", "src_path"))
+        values = values.union(self.resolver.resolved.select("path", "fqn").join(at.toDF("fqn", "to"), "fqn").select("path", "to"))
+        classes = self.resolver.supertypes.where("base_fqn is not null").select("class", "base_fqn")
+        values = values.union(classes.join(at.toDF("class", "of"), "class").join(at.toDF("base_fqn", "to"), "base_fqn").select("of", "to"))
+        points = values.toDF("path", "to").join(changed.select(F.col("path").alias("to")), "to", "left_semi").select("path")
+        return joined.withColumnRenamed("node", "path").union(changed.select("path")).union(points).distinct()
 
 
 def stdlib_members(spark: SparkSession, asked: DataFrame) -> DataFrame:

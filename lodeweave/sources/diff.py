@@ -13,7 +13,7 @@ def changed_lines(spark: SparkSession, lines: list[str]) -> DataFrame:
 
     A ``+++ b/path`` line names the file of the hunks after it; a hunk
     ``+c,d`` covers d lines from c, and one that only deletes (d = 0) covers
-    none.  Deleted files have no lines.
+    line c, after which the deleted lines were.  Deleted files have no lines.
     """
     numbered = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "n long, line string")
     return parse_diff(numbered.withColumn("part", F.lit(0)))
@@ -25,5 +25,5 @@ def parse_diff(numbered: DataFrame) -> DataFrame:
     named = fill_header(numbered, ["part"], "n", header, "path").where(F.col("line").startswith("@@ "))
     first = F.regexp_extract("line", r"^@@ [^+]*\+(\d+)", 1).cast("int")
     size = F.coalesce(F.nullif(F.regexp_extract("line", r"^@@ [^+]*\+\d+,(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
-    hunks = named.where("path <> '/dev/null'").select("path", first.alias("first"), size.alias("size")).where("size > 0")
+    hunks = named.where("path <> '/dev/null'").select("path", first.alias("first"), F.greatest(size, F.lit(1)).alias("size"))
     return hunks.select("path", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("line")).distinct()

@@ -49,6 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     application = spark.sparkContext.applicationId
     named = spark.conf.get(_SETTING, None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_SETTING} names no folder that all executors share")
         if application not in _own:
             folder = tempfile.mkdtemp(prefix="lodeweave-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from lodeweave.plans import bridge
+from lodeweave.plans import bridge, verbs
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="the driver's tables are not here")
@@ -22,9 +22,12 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(bridge.queries()))
+QUERIES, SQL = bridge.queries() | verbs.queries(), bridge.oracle_sql() | verbs.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, con, name):
-    got, want = bridge.queries()[name](spark, SMALL), con.sql(bridge.oracle_sql()[name])
+    got, want = QUERIES[name](spark, SMALL), con.sql(SQL[name])
     order = sorted(got.columns)
     assert order == sorted(want.columns)
     assert sorted(map(str, (tuple(r) for r in got.select(*order).collect()))) == sorted(map(str, want.select(", ".join(order)).fetchall()))

@@ -40,7 +40,7 @@ def test_project_settings(tmp_path):
 
 def test_diff(spark, tmp_path):
     lines = "--- a/x.py\n+++ b/x.py\n@@ -1 +1,2 @@\n+a\n+b\n@@ -9,3 +10,0 @@ def f\n-q\n--- a/y.py\n+++ /dev/null\n@@ -1,2 +0,0 @@\n--- a/z.py\n+++ b/z.py\n@@ -0,0 +5 @@\n+z".split("\n")
-    assert {(r["path"], r["line"]) for r in changed_lines(spark, lines).collect()} == {("x.py", 1), ("x.py", 2), ("z.py", 5)}
+    assert {(r["path"], r["line"]) for r in changed_lines(spark, lines).collect()} == {("x.py", 1), ("x.py", 2), ("x.py", 10), ("z.py", 5)}
     assert changed_lines(spark, ["nothing"]).collect() == []
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
     put(tmp_path, {"pkg/ops.py": "def f():\n    return 1\n"})
