@@ -5,7 +5,7 @@
 2. Every window of every document is hashed and looked up in the hash set,
    which is broadcast after its size was checked; beyond the bound the lookup
    is an ordinary shuffled join of hashes.  One scan serves windows of all
-   lengths, and a window is hashed from the hashes of its words.
+   lengths.
 3. The documents of hits are read again and each hit window is compared word
    for word.
 4. Verified windows give hit positions, hit items and the verdict.
@@ -41,28 +41,19 @@ def words(text: Column) -> Column:
     return F.slice(parts, first, F.greatest(last - first + 1, F.lit(0)))
 
 
-def _window_hash(word_hashes: Column) -> Column:
-    return F.xxhash64(word_hashes)
-
-
-def _word_hashes(array: Column) -> Column:
-    return F.transform(array, lambda w: F.xxhash64(w))
-
-
 def scan(split: DataFrame, lengths: list[int]) -> DataFrame:
     """(id, th, pos, length, h) of all windows of the words ``w`` of each row, of each of ``lengths``."""
-    hashed = split.select("id", "th", _word_hashes(F.col("w")).alias("hw"))
-    size = F.size("hw")
+    size = F.size("w")
     starts = F.sequence(F.lit(0), size - min(lengths))
-    window = lambda i, n: _window_hash(F.slice("hw", i + 1, n))
+    window = lambda i, n: F.xxhash64(F.slice("w", i + 1, n))
     # The outer form, since for the other one the optimizer evaluates the array once more to filter it.
     if len(lengths) == 1:
         found = F.when(size >= lengths[0], F.transform(starts, lambda i: window(i, lengths[0])))
-        return hashed.select("id", "th", found.alias("h")).select("id", "th", F.posexplode_outer("h").alias("pos", "h")).select(
+        return split.select("id", "th", found.alias("h")).select("id", "th", F.posexplode_outer("h").alias("pos", "h")).select(
             "id", "th", "pos", F.lit(lengths[0]).alias("length"), "h"
         )
     each = lambda i: F.array(*(F.when(i + n <= size, window(i, n)) for n in lengths))
-    found = hashed.select("id", "th", F.when(size >= min(lengths), F.transform(starts, each)).alias("h"))
+    found = split.select("id", "th", F.when(size >= min(lengths), F.transform(starts, each)).alias("h"))
     found = found.select("id", "th", F.posexplode_outer("h").alias("pos", "h")).select("id", "th", "pos", F.posexplode_outer("h").alias("k", "h"))
     return found.select("id", "th", "pos", F.element_at(F.array(*(F.lit(n) for n in lengths)), F.col("k") + 1).alias("length"), "h")
 
@@ -73,7 +64,7 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH, item_col: str =
     items = items.withColumn("length", F.least(F.size("w"), F.lit(width))).where("length > 0")
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("length")), lambda i: F.slice("w", i + 1, F.col("length")))
     each = items.select("item", "length", F.explode(grams).alias("g"))
-    return each.select("item", "length", _window_hash(_word_hashes(F.col("g"))).alias("h"), F.array_join("g", " ").alias("gram")).distinct()
+    return each.select("item", "length", F.xxhash64("g").alias("h"), F.array_join("g", " ").alias("gram")).distinct()
 
 
 def _covered(spans: Column) -> Column:
