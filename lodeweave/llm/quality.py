@@ -89,7 +89,7 @@ def pieces(text: str | None) -> Iterator[list[str]]:
 class Numbers:
     """Numbers words as they come, and hashes pairs of numbered words.
 
-    ``new`` is called with each word that has no number yet.  Beyond a bound
+    ``new`` is called with the words that had no number, in the order of theirs.  Beyond a bound
     on words and their bytes the numbering starts anew, between two pieces.
     """
 
@@ -103,19 +103,17 @@ class Numbers:
             known.clear()
             self.bytes = 0
             self.forget()
-        found = list(map(known.get, words))
-        if None in found:
-            for k, word in enumerate(words):
-                if word not in known:
-                    number = len(known)
-                    if number == len(self.hashes):
-                        self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
-                    data = word.encode("utf-8", "replace")
-                    self.hashes[number], known[word] = crc32(data), number
-                    self.bytes += len(data)
-                    self.new(word)
-                found[k] = known[word]
-        return np.array(found, np.int64)
+        fresh = set(words).difference(known)
+        if fresh:
+            coded = [word.encode("utf-8", "replace") for word in fresh]
+            first, last = len(known), len(known) + len(fresh)
+            known.update(zip(fresh, range(first, last), strict=True))
+            while last > len(self.hashes):
+                self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+            self.hashes[first:last] = list(map(crc32, coded))
+            self.bytes += sum(map(len, coded))
+            self.new(fresh)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def pairs(self, hashes: np.ndarray) -> np.ndarray:
         """Rows of the pairs of neighbours among word hashes; the ditto mark has the first row."""
@@ -139,15 +137,19 @@ class Model:
     def _forget(self) -> None:
         self._sums, self._counts, self._size = np.zeros(1 << 10), np.zeros(1 << 10, np.int64), 0
 
-    def _learn(self, word: str) -> None:
-        if self._size == len(self._sums):
+    def _learn(self, words: set[str]) -> None:
+        while self._size + len(words) > len(self._sums):
             self._sums, self._counts = (np.concatenate((x, np.zeros_like(x))) for x in (self._sums, self._counts))
-        total, count, item = 0.0, 0, self._margin.__getitem__
-        for ids in feature_pieces(word):
-            total += sum(map(item, ids))
-            count += len(ids)
-        self._sums[self._size], self._counts[self._size] = total, count
-        self._size += 1
+        item, sums, counts = self._margin.__getitem__, [], []
+        for word in words:
+            total, count = 0.0, 0
+            for ids in feature_pieces(word):
+                total += sum(map(item, ids))
+                count += len(ids)
+            sums.append(total)
+            counts.append(count)
+        end = self._size + len(words)
+        self._sums[self._size : end], self._counts[self._size : end], self._size = sums, counts, end
 
     def score(self, text: str | None) -> float:
         total, count, paired, pairs, last = 0.0, 0, 0.0, 0, np.zeros(0, np.uint64)
@@ -174,7 +176,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         each.clear()
         counts.clear()
 
-    numbers = Numbers(lambda word: None)
+    numbers = Numbers(lambda words: None)
     for words in pieces(text):
         for word, n in Counter(words).items():
             for ids in feature_pieces(word):
