@@ -41,36 +41,39 @@ SAMPLE_ROWS, AHEAD = 4000, 16
 #: Rows for words and n-grams, after them rows for pairs; length of a vector; lengths of n-grams.
 BUCKETS, PAIRS, WIDTH, GRAMS = 1 << 16, 1 << 15, 12, (3, 4, 5)
 EPOCHS, RATE, SEED = 4, 0.5, 7
-#: N-grams are taken from pieces of so many characters.
-WORD_PIECE = 4096
+#: N-grams are taken from pieces of so many characters of words.
+WORD_PIECE = 1 << 17
 #: Distinct words, and their bytes, that a worker keeps at a time.
 _CACHED_WORDS, _CACHED_BYTES = 300_000, 32 << 20
 _PIECE = 1 << 20
 
 
-def feature_pieces(word: str, buckets: int = BUCKETS) -> Iterator[list[int]]:
-    """Rows of a word: the word itself and all its character n-grams with end marks, a bounded number at a time.
+def feature_rows(words: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, places in ``words``) of the features of words: each itself and all its character n-grams with end marks, a bounded number at a time.
 
     Case and symbols are kept: they are what tells shouting and junk from prose.
     """
-    marked, whole, overlap = f"<{word}>", 0, max(GRAMS) - 1
+    yield np.fromiter((crc32(w.encode("utf-8", "replace")) % buckets for w in words), np.int64, len(words)), np.arange(len(words))
+    marked, overlap = "".join([f"<{w}>" for w in words]), max(GRAMS) - 1
+    ends = np.cumsum(np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
     for at in range(0, len(marked), WORD_PIECE):
-        part = marked[at : at + WORD_PIECE + overlap]  # an n-gram belongs to the piece in which it begins
-        data = part.encode("utf-8", "replace")
-        if len(data) == len(part):  # one byte a character: slices need no encoding of their own
-            whole = crc32(data[:WORD_PIECE], whole)
-            found = [crc32(data[i : i + n]) % buckets for n in GRAMS for i in range(min(WORD_PIECE, len(data) - n + 1))]
-        else:
-            whole = crc32(part[:WORD_PIECE].encode("utf-8", "replace"), whole)
-            found = [crc32(part[i : i + n].encode("utf-8", "replace")) % buckets for n in GRAMS for i in range(min(WORD_PIECE, len(part) - n + 1))]
-        if found:
-            yield found
-    yield [whole % buckets]
+        size = min(WORD_PIECE, len(marked) - at)
+        part = marked[at : at + size + overlap]  # an n-gram belongs to the piece in which it begins
+        codes = np.zeros(size + overlap, np.uint64)
+        codes[: len(part)] = np.frombuffer(part.encode("utf-32-le", "replace"), "<u4")
+        owner = np.searchsorted(ends, np.arange(at, at + size), "right")
+        left = ends[owner] - np.arange(at, at + size)
+        mixed = codes[:size].copy()
+        for n in range(2, overlap + 2):
+            mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 : n - 1 + size]
+            if n in GRAMS:
+                fits = left >= n
+                yield ((mixed[fits] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)).astype(np.int64) % buckets, owner[fits]
 
 
 def features(word: str, buckets: int = BUCKETS) -> list[int]:
     """All rows of a word."""
-    return [i for piece in feature_pieces(word, buckets) for i in piece]
+    return np.concatenate([rows for rows, _ in feature_rows([word], buckets)]).tolist()
 
 
 def pieces(text: str | None) -> Iterator[list[str]]:
@@ -103,7 +106,7 @@ class Numbers:
             known.clear()
             self.bytes = 0
             self.forget()
-        fresh = set(words).difference(known)
+        fresh = list(set(words).difference(known))
         if fresh:
             coded = [word.encode("utf-8", "replace") for word in fresh]
             first, last = len(known), len(known) + len(fresh)
@@ -129,27 +132,21 @@ class Model:
     bias: float
 
     def __post_init__(self) -> None:
-        # Single items of a list are read faster than those of an array.
-        self._margin, self._pairs = self.margin[:BUCKETS].tolist(), self.margin[BUCKETS:].astype(np.float64)
+        self._margin, self._pairs = self.margin[:BUCKETS].astype(np.float64), self.margin[BUCKETS:].astype(np.float64)
         self._numbers = Numbers(self._learn, self._forget)
         self._forget()
 
     def _forget(self) -> None:
         self._sums, self._counts, self._size = np.zeros(1 << 10), np.zeros(1 << 10, np.int64), 0
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         while self._size + len(words) > len(self._sums):
             self._sums, self._counts = (np.concatenate((x, np.zeros_like(x))) for x in (self._sums, self._counts))
-        item, sums, counts = self._margin.__getitem__, [], []
-        for word in words:
-            total, count = 0.0, 0
-            for ids in feature_pieces(word):
-                total += sum(map(item, ids))
-                count += len(ids)
-            sums.append(total)
-            counts.append(count)
-        end = self._size + len(words)
-        self._sums[self._size : end], self._counts[self._size : end], self._size = sums, counts, end
+        mine = slice(self._size, self._size + len(words))
+        for rows, owner in feature_rows(words):
+            self._sums[mine] += np.bincount(owner, self._margin[rows], len(words))
+            self._counts[mine] += np.bincount(owner, minlength=len(words))
+        self._size += len(words)
 
     def score(self, text: str | None) -> float:
         total, count, paired, pairs, last = 0.0, 0, 0.0, 0, np.zeros(0, np.uint64)
@@ -168,27 +165,17 @@ class Model:
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all features of a text and the weight of each: its share of the words and n-grams, or of the pairs."""
-    total, of_pairs = np.zeros(BUCKETS), np.zeros(PAIRS)
-    each, counts, last = [], [], np.zeros(0, np.uint64)
-
-    def flush() -> None:
-        total[:] += np.bincount(np.array(each, np.int64), counts, BUCKETS)
-        each.clear()
-        counts.clear()
-
+    total, of_pairs, last = np.zeros(BUCKETS), np.zeros(PAIRS), np.zeros(0, np.uint64)
     numbers = Numbers(lambda words: None)
     for words in pieces(text):
-        for word, n in Counter(words).items():
-            for ids in feature_pieces(word):
-                each += ids
-                counts += [n] * len(ids)
-                if len(each) >= _PIECE:
-                    flush()
+        counted = Counter(words)
+        times = np.fromiter(counted.values(), np.float64, len(counted))
+        for rows, owner in feature_rows(list(counted)):
+            total += np.bincount(rows, times[owner], BUCKETS)
         found = numbers.of(words)
         hashes = np.concatenate((last, numbers.hashes[found]))
         of_pairs += np.bincount(numbers.pairs(hashes), minlength=PAIRS)
         last = hashes[-1:]
-    flush()
     whole = np.concatenate((total / max(1.0, total.sum()), of_pairs / max(1.0, of_pairs.sum())))
     rows = np.flatnonzero(whole).astype(np.int32)
     return rows, whole[rows].astype(np.float32)

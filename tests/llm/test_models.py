@@ -87,6 +87,8 @@ def test_pieces_of_a_long_text_count_like_the_whole(monkeypatch):
     assert (again[0] == rows).all() and np.allclose(again[1], part) and model.score(text) == pytest.approx(score)
     monkeypatch.setattr(quality, "_CACHED_WORDS", 1)
     assert model.score(text) == pytest.approx(score)
+    before = model.score("zz yy " + text)
+    assert model.score("other words") and model.score("zz yy " + text) == before and quality.Model(model.margin, 0.1).score("zz yy " + text) == before
 
 
 def test_middle_of_long_words_is_read():
