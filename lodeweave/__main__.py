@@ -16,7 +16,7 @@ def main(argv: list[str] | None = None) -> int:
     from lodeweave.sources import ledger, store, tree
     from lodeweave.sources.diff import changed_lines
 
-    verbs = "refs callers defs graph effects tests describe inputs mock-targets hierarchy deadcode canonical imports index".split()
+    verbs = "refs callers defs graph effects tests describe inputs mock-targets hierarchy deadcode canonical imports index trace".split()
     p = argparse.ArgumentParser(prog="lodeweave")
     p.add_argument("verb", choices=verbs)
     p.add_argument("symbol", nargs="?")
@@ -26,11 +26,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--depth", type=int)
     p.add_argument("--base")
     p.add_argument("--suite", action="store_true", help="run the tests once and fuse what they show")
-    p.add_argument("--store", help="folder of stored facts")
+    p.add_argument("--store", help="folder of stored facts and of the last test run")
+    p.add_argument("--python", help="interpreter that runs the tests")
     p.add_argument("--clean", action="store_true")
     p.add_argument("--json", action="store_true")
     p.add_argument("--pretty", action="store_true")
-    a = p.parse_args(argv)
+    a, rest = p.parse_known_args(argv)
+    if rest and a.verb != "trace":
+        p.error(f"unrecognized arguments: {' '.join(rest)}")
     if a.verb in ("refs", "callers", "defs", "graph", "hierarchy", "describe") and not (a.symbol or "").strip():
         p.exit(1, "lodeweave: a symbol is required\n")
     if a.verb == "tests" and not a.symbol and not a.base:
@@ -43,8 +46,21 @@ def main(argv: list[str] | None = None) -> int:
     if a.verb == "index" and a.clean:
         store.clean(spark, a.store)
         return 0
+    if a.verb == "trace":
+        arguments = [a.symbol, *rest] if a.symbol else rest
+        run = ledger.run_suite(spark, root, arguments, a.python)
+        df = ledger.events(run) if run.events is not None else spark.createDataFrame([], "owner_fqn string")
+        answer = Envelope.of("lodeweave", {"verb": a.verb, "arguments": arguments, "root": root}, df, "event", run.warnings)
+        print(answer.json(a.pretty) if a.json or a.pretty else answer.text())
+        return 0
     engine = store.engine(spark, root, a.store) if a.store else Engine.of_tree(spark, root)
-    run = ledger.run_suite(spark, root) if a.suite and a.verb in ("effects", "tests", "describe") else None
+    run = None
+    if a.suite and a.verb in ("effects", "tests", "describe"):
+        run = (
+            ledger.stored_run(spark, root, a.store, store.fingerprint(engine.files), a.python)
+            if a.store
+            else ledger.run_suite(spark, root, python=a.python)
+        )
     warnings, notes = list(run.warnings) if run else [], []
     query = {"verb": a.verb, "symbol": a.symbol, "root": root}
     if a.symbol and a.verb in ("graph", "tests", "effects", "describe", "hierarchy", "callers") and not engine.exists(a.symbol):

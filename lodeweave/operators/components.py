@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.workspace import materialize, ship
+from lodeweave.workspace import discard, materialize, ship
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -76,7 +76,9 @@ def connected_components(links: DataFrame, left: str, right: str, max_rounds: in
     edges = edges.where("a <> b")
     seen = None
     for _ in range(max_rounds):
-        edges = materialize(_small_star(materialize(_large_star(edges), "cc")), "cc")
+        last, large = edges, materialize(_large_star(edges), "cc")
+        edges = materialize(_small_star(large), "cc")
+        discard(last, large)
         state = edges.agg(
             F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a", "a").cast("decimal(38,0)"))
         ).first()

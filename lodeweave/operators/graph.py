@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeweave.workspace import materialize, ship
+from lodeweave.workspace import discard, materialize, ship
 
 #: Edges up to which a graph is walked in one task (about 100 bytes each there).
 LOCAL_EDGES = 500_000
@@ -124,10 +124,13 @@ def pair_closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges left after nodes without a way in or out are taken off, again and again."""
-    count = edges.count()
+    count, given = edges.count(), edges
     while count:
+        last = edges
         ins, outs = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
         edges = materialize(edges.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"), "scc")
+        if last is not given:
+            discard(last)
         left = edges.count()
         if left == count:
             break
@@ -138,14 +141,15 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 def _spread_smallest(edges: DataFrame) -> DataFrame:
     """(node, color): the smallest node from which each node is reached, itself included."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    colors = materialize(nodes.select("node", F.col("node").alias("color")), "scc")
+    last = colors = materialize(nodes.select("node", F.col("node").alias("color")), "scc")
     while True:
         offered = colors.join(edges, colors["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("offer"))
         after = colors.join(offered, "node", "left").select(
             "node", F.least("color", "offer").alias("color"), (F.col("offer") < F.col("color")).alias("moved"),
         )
         after = materialize(after, "scc")
-        colors = after.select("node", "color")
+        discard(last)
+        last, colors = after, after.select("node", "color")
         if after.where("moved").isEmpty():
             return colors
 

@@ -10,7 +10,9 @@ from lodeweave.plans.engine import Engine
 from lodeweave.plans.facts import facts, split
 from lodeweave.schema import RAW, SCHEMA_VERSION
 from lodeweave.sources import tree
-from lodeweave.workspace import materialize
+from lodeweave.workspace import delete, exists, materialize, names_in, touch
+
+_DONE = "DONE"
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "path", value: str = "sha") -> DataFrame:
@@ -29,15 +31,15 @@ def fingerprint(files: DataFrame) -> str:
     return files.agg(multiset_digest(row).alias("h")).first()["h"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def clean(spark: SparkSession, folder: str | None) -> None:
     if folder:
-        p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        delete(spark, folder)
+
+
+def _generations(spark: SparkSession, home: str) -> list[int]:
+    """Numbers of the generations that were written to the end, ascending."""
+    numbers = [int(n[1:]) for n in names_in(spark, home) if n[:1] == "g" and n[1:].isdigit()]
+    return sorted(n for n in numbers if exists(spark, f"{home}/g{n}/{_DONE}"))
 
 
 def refresh(spark: SparkSession, files: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -46,12 +48,13 @@ def refresh(spark: SparkSession, files: DataFrame, folder: str) -> tuple[DataFra
     A store of another schema version, or a broken one, is rebuilt.
     """
     home = f"{folder.rstrip('/')}/v{SCHEMA_VERSION}"
-    marker, current = f"{home}/CURRENT", None
-    if _exists(spark, marker):
+    whole, current = _generations(spark, home), None
+    if whole:
         try:
-            current = spark.read.text(marker).first()["value"]
-            old_files, old_facts = spark.read.parquet(f"{home}/{current}/files"), spark.read.schema(RAW).parquet(f"{home}/{current}/facts")
+            old = f"{home}/g{whole[-1]}"
+            old_files, old_facts = spark.read.parquet(f"{old}/files"), spark.read.schema(RAW).parquet(f"{old}/facts")
             old_files.count()
+            current = whole[-1]
         except Exception:
             current = None
     if current is None:
@@ -61,11 +64,13 @@ def refresh(spark: SparkSession, files: DataFrame, folder: str) -> tuple[DataFra
         changed = status.where("status <> 'same'").select("path")
         again = files.join(status.where("status in ('added', 'changed')"), "path", "left_semi")
         fresh = old_facts.join(status.where("status = 'same'"), "path", "left_semi").unionByName(facts(again))
-    generation = f"g{int(current[1:]) + 1}" if current else "g1"
+    generation = f"g{whole[-1] + 1 if whole else 1}"
     fresh.write.mode("overwrite").parquet(f"{home}/{generation}/facts")
     files.drop("text").write.mode("overwrite").parquet(f"{home}/{generation}/files")
-    # The marker is written last, so readers see the old generation or the whole new one.
-    spark.createDataFrame([(generation,)], "value string").coalesce(1).write.mode("overwrite").text(marker)
+    # The marker is written last, so readers see the old generation or the whole new one; the old one stays for those that read it now.
+    touch(spark, f"{home}/{generation}/{_DONE}")
+    for number in whole[:-1]:
+        delete(spark, f"{home}/g{number}")
     return spark.read.schema(RAW).parquet(f"{home}/{generation}/facts"), changed
 
 

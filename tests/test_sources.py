@@ -1,5 +1,6 @@
 """Tree walking, project settings, diffs, test runs, stored facts, streams and envelopes."""
 
+import shutil
 import subprocess
 import sys
 
@@ -75,6 +76,41 @@ def test_instrumented_run_and_fusion(spark, tmp_path):
         assert e.describe("ops.add", run.shapes).first()["observed_return"] == "float | int"
 
 
+def test_stored_test_run(spark, tmp_path):
+    root, folder = tmp_path / "src", str(tmp_path / "store")
+    put(root, SUITE)
+    shown = lambda run: [snapshot(t) for t in (run.events, run.coverage, run.shapes) if t is not None]
+    first = ledger.stored_run(spark, str(root), folder, "one")
+    assert first.exit_code == 0 and first.warnings == [] and shown(first)
+    (root / "test_ops.py").unlink()
+    again = ledger.stored_run(spark, str(root), folder, "one")
+    assert shown(again) == shown(first) and again.exit_code == 0
+    # Another state of the tree is run, and replaces the stored run.
+    other = ledger.stored_run(spark, str(root), folder, "two")
+    assert other.exit_code == 5 and other.events.where("owner_fqn = 'pkg.ops.read'").isEmpty()
+    assert ledger.stored_run(spark, str(root), folder, "one").exit_code == 5
+    # What ended without a result isn't stored.
+    assert ledger.stored_run(spark, str(root), folder, "three", python="/no/such/python").warnings
+    put(root, SUITE)
+    assert ledger.stored_run(spark, str(root), folder, "three").exit_code == 0
+
+
+def test_trace_verb(spark, tmp_path, capsys, monkeypatch):
+    import json
+
+    from lodeweave.__main__ import main
+
+    put(tmp_path, SUITE)
+    monkeypatch.setenv("LODEWEAVE_MASTER", "local[4]")
+    assert main(["trace", "test_ops.py", "--root", str(tmp_path), "--json", "-k", "all"]) == 0
+    out = json.loads(capsys.readouterr().out.strip().split("\n")[-1])
+    assert out["query"]["arguments"] == ["test_ops.py", "-k", "all"] and out["count"] == len(out["results"]) > 0
+    rows = [(r["owner_fqn"], r.get("effect", ""), r["event"]) for r in out["results"]]
+    assert rows == sorted(rows) and ("pkg.ops.read", "fs", "open") in rows and all(r["hits"] > 0 for r in out["results"])
+    with pytest.raises(SystemExit):
+        main(["deadcode", "--no-such-option"])
+
+
 def test_trace_of_a_script(tmp_path):
     import json
     import os
@@ -117,6 +153,12 @@ def test_stored_facts_are_repaired(spark, tmp_path):
     second, print2 = both()
     assert second == {"a.py", "c.py", "d.py"} and print2 != print1
     assert {r["fqn"] for r in store.engine(spark, str(root), folder).defs.where("kind = 'function'").collect()} == {"a.g"}
+    # A generation that wasn't written to the end is passed over and written again.
+    home = next((tmp_path / "store").glob("v*"))
+    assert {p.name for p in home.glob("g*")} == {"g3", "g4"}
+    (home / "g4" / "DONE").unlink()
+    shutil.rmtree(home / "g4" / "facts")
+    assert both() == (set(), print2) and (home / "g4" / "DONE").exists()
     store.clean(spark, folder)
     assert both()[0] == {"a.py", "b.py", "d.py"}
 
